@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import exact_dedup, url_filter
+from barloom.llm import exact_dedup, quality_rules, url_filter
 from barloom.llm.common import table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -41,5 +41,57 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
-QUERIES = {"op4_url_filters": op4_url_filters, "op6_exact_dedup": op6_exact_dedup}
-ORACLE_SQL = {"op4_url_filters": OP4_SQL, "op6_exact_dedup": OP6_SQL}
+def op3_quality_rules(spark, sf_dir):
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), quality_rules.trusted_ids(table(spark, sf_dir, "labels")))
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), tok AS (
+  SELECT n, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d
+), crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), b) ORDER BY b) AS t FROM range(256) r(b)
+), distinct_words AS (
+  SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM tok)
+), hashed AS (
+  SELECT word, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: (16 * (instr('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1)::BIGINT),
+                               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h
+  FROM distinct_words, crc_table
+), grams AS (
+  SELECT n, doc_id, i, h, lead(h) OVER o AS after,
+         CASE WHEN lead(word, 7) OVER o IS NOT NULL THEN concat_ws(' ', word, lead(word) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o, lead(word, 5) OVER o, lead(word, 6) OVER o, lead(word, 7) OVER o) END AS win
+  FROM tok JOIN hashed USING (word) WINDOW o AS (PARTITION BY n ORDER BY i)
+), marked AS (
+  SELECT n, i, CASE WHEN win IS NOT NULL AND count(*) OVER (PARTITION BY n, win) > 1 THEN 1 ELSE 0 END AS twice FROM grams
+), covered AS (
+  SELECT n, max(twice) OVER (PARTITION BY n ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c FROM marked
+), repeats AS (
+  SELECT n, sum(c)::BIGINT AS n_repeat_words FROM covered GROUP BY n
+), buckets AS (
+  SELECT n, doc_id, h % 65521 AS b FROM grams
+  UNION ALL SELECT n, doc_id, 65521 + (h * 1000003 + after) % 65521 FROM grams WHERE after IS NOT NULL
+), counts AS (
+  SELECT b, count(*) AS raw, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good FROM buckets GROUP BY b
+), weights AS (
+  SELECT b, round(ln(((good + 1.0::DOUBLE) / ((SELECT sum(good) FROM counts)::DOUBLE + 131042)) / ((raw + 1.0::DOUBLE) / ((SELECT sum(raw) FROM counts)::DOUBLE + 131042))) * 1000000.0::DOUBLE)::BIGINT AS weight FROM counts
+), totals AS (
+  SELECT n, sum(weight)::BIGINT AS total FROM buckets JOIN weights USING (b) GROUP BY n
+), stats AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, total
+  FROM d LEFT JOIN repeats USING (n) LEFT JOIN totals USING (n)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND total >= -150000 * (2 * n_words - 1) AS kept,
+       total / (2 * n_words - 1)::DOUBLE / 1000000.0::DOUBLE AS score
+FROM stats
+"""
+
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_url_filters": op4_url_filters, "op6_exact_dedup": op6_exact_dedup}
+ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op4_url_filters": OP4_SQL, "op6_exact_dedup": OP6_SQL}
