@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from barloom.llm import exact_dedup, quality_rules, url_filter
-from barloom.llm.common import table
+from barloom.llm import exact_dedup, quality_rules, token_shards, url_filter
+from barloom.llm.common import shared_folder, table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -93,5 +93,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM stats
 """
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_url_filters": op4_url_filters, "op6_exact_dedup": op6_exact_dedup}
+def op8_token_shards(spark, sf_dir):
+    folder = shared_folder(spark)
+    token_shards.write_shards(table(spark, sf_dir, "documents"), folder)
+    return token_shards.read_documents(spark, folder)
+
+
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_url_filters": op4_url_filters, "op6_exact_dedup": op6_exact_dedup, "op8_token_shards": op8_token_shards}
 ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op4_url_filters": OP4_SQL, "op6_exact_dedup": OP6_SQL}
