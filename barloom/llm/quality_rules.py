@@ -84,7 +84,7 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
     trusted: the doc_ids of the target documents, whose texts are in docs.
     """
-    known = trusted.select(F.col("doc_id").alias("_trusted")).filter("_trusted is not null").distinct()
+    known = trusted.select(F.col("doc_id").alias("_trusted")).filter("_trusted is not null").distinct().hint("merge")  # the same plan at every size
     marked = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_trusted"), "left").select(F.col("_trusted").isNotNull().cast("long").alias("good"), _hashes(words(F.col("text"))).alias("h"))
     grams = F.concat(F.transform("h", lambda x: x % BUCKETS), _pairs(F.col("h")))
     counts = marked.select("good", F.explode(grams).alias("bucket")).groupBy("bucket").agg(F.sum("good").alias("good"), F.count("*").alias("raw"))
