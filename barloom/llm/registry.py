@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import exact_dedup, quality_rules, token_shards, url_filter
+from barloom.llm import bpe, exact_dedup, quality_rules, token_shards, url_filter
 from barloom.llm.common import shared_folder, table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -99,5 +99,9 @@ def op8_token_shards(spark, sf_dir):
     return token_shards.read_documents(spark, folder)
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_url_filters": op4_url_filters, "op6_exact_dedup": op6_exact_dedup, "op8_token_shards": op8_token_shards}
+def op10_bpe(spark, sf_dir):
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_url_filters": op4_url_filters, "op6_exact_dedup": op6_exact_dedup, "op8_token_shards": op8_token_shards, "op10_bpe": op10_bpe}
 ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op4_url_filters": OP4_SQL, "op6_exact_dedup": OP6_SQL}

@@ -35,6 +35,19 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def parts_of(word: bytes) -> tuple[bytes, bytes]:
+    """(stem, tail) of a word, whose ids are the stem's, then the tail's (which may be empty).
+
+    The stem is lower-cased as the tokenizer would; the tail is the run of ASCII marks after the word's last
+    letter or digit.
+    """
+    low = word if _GUARD.search(word) else word.lower()
+    if low is word and not word.isascii():
+        return word, b""
+    m = _TAIL.search(low)
+    return (low[: m.start()], m[0]) if m else (low, b"")
+
+
 class WordEncoder:
     """Encodes texts word by word, each distinct word once while the cache has room.
 
@@ -64,11 +77,7 @@ class WordEncoder:
         if len(known) + len(missing) > self.MOST:
             known.clear()
             missing = set(words)
-        split = {}
-        for w in missing:
-            low = w if _GUARD.search(w) else w.lower()
-            m = None if low is w and not w.isascii() else _TAIL.search(low)
-            split[w] = (low[: m.start()], m[0]) if m else (low, b"")
+        split = {w: parts_of(w) for w in missing}
         self._add({p for pair in split.values() for p in pair if p})
         for w, (stem, tail) in split.items():
             known[w] = known[stem] + (known[tail] if tail else b"")
