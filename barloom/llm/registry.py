@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import bpe, exact_dedup, quality_rules, token_shards, url_filter
+from barloom.llm import bpe, exact_dedup, jaccard_join, quality_rules, token_shards, url_filter
 from barloom.llm.common import shared_folder, table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -30,6 +30,10 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 """
 
 
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -103,5 +107,5 @@ def op10_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_url_filters": op4_url_filters, "op6_exact_dedup": op6_exact_dedup, "op8_token_shards": op8_token_shards, "op10_bpe": op10_bpe}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_url_filters": op4_url_filters, "op5_jaccard_join": op5_jaccard_join, "op6_exact_dedup": op6_exact_dedup, "op8_token_shards": op8_token_shards, "op10_bpe": op10_bpe}
 ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op4_url_filters": OP4_SQL, "op6_exact_dedup": OP6_SQL}
