@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from struct import pack
 
-import numpy as np
 from tokenizers import Tokenizer
 
 #: A letter or digit of ASCII, then ASCII marks to the end: the marks are pieces of their own.
@@ -41,6 +41,8 @@ def parts_of(word: bytes) -> tuple[bytes, bytes]:
     The stem is lower-cased as the tokenizer would; the tail is the run of ASCII marks after the word's last
     letter or digit.
     """
+    if word.isalpha() and word.islower():  # ASCII letters alone
+        return word, b""
     low = word if _GUARD.search(word) else word.lower()
     if low is word and not word.isascii():
         return word, b""
@@ -48,40 +50,63 @@ def parts_of(word: bytes) -> tuple[bytes, bytes]:
     return (low[: m.start()], m[0]) if m else (low, b"")
 
 
+#: Stems that are one pre-token of lower-case Latin-1 letters in their composed form: the model takes them as they are.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where printable, else one past 255."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(other)) for b in range(256)]
+
+
+_SHOWN = _byte_letters()
+
+
 class WordEncoder:
-    """Encodes texts word by word, each distinct word once while the cache has room.
+    """Encodes texts word by word, most words from a table of those it has met.
 
     The tokenizer lower-cases, drops white space and never forms pieces across it, so a text's ids are its
     words' ids in order; and where ASCII marks follow a word's last letter or digit, the word's ids are its
-    stem's and the marks'. A full cache is emptied, which bounds memory and changes no result.
+    stem's and the marks'. The table stops growing at MOST words, which bounds memory and changes no result.
     """
 
     MOST = 600_000
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
+        self.model = self.tok.model
         self.known: dict[bytes, bytes] = {}
 
-    def _add(self, parts: set[bytes]) -> None:
-        parts = [p for p in parts if p not in self.known]
-        for p, e in zip(parts, self.tok.encode_batch([p.decode() for p in parts], add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u2").tobytes()
+    def part(self, p: bytes) -> bytes:
+        """The ids of a stem or tail as little-endian unsigned 16-bit integers."""
+        if _LETTERS.fullmatch(p):
+            ids = [t.id for t in self.model.tokenize(p.decode("ascii") if p.isascii() else "".join([_SHOWN[b] for b in p]))]
+        else:
+            ids = self.tok.encode(p.decode(), add_special_tokens=False).ids
+        return pack(f"<{len(ids)}H", *ids)
 
-    def look_up(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word (UTF-8, without ASCII white space) as little-endian unsigned 16-bit integers."""
+    def word(self, w: bytes) -> bytes:
+        """The ids of a word (UTF-8, without ASCII white space)."""
         known = self.known
-        try:
-            return [known[w] for w in words]
-        except KeyError:
-            missing = {w for w in words if w not in known}
-        if len(known) + len(missing) > self.MOST:
-            known.clear()
-            missing = set(words)
-        split = {w: parts_of(w) for w in missing}
-        self._add({p for pair in split.values() for p in pair if p})
-        for w, (stem, tail) in split.items():
-            known[w] = known[stem] + (known[tail] if tail else b"")
-        return [known[w] for w in words]
+        stem, tail = parts_of(w)
+        ids = self.part(stem)
+        if tail:
+            end = known.get(tail)
+            ids += self.part(tail) if end is None else end
+        if len(known) < self.MOST:
+            known[w] = ids
+        return ids
 
     def encode(self, text: bytes) -> bytes:
-        return b"".join(self.look_up(text.split()))
+        """The ids of a text."""
+        words = text.split()
+        out = list(map(self.known.get, words))
+        if None in out:
+            get, new = self.known.get, self.word
+            for k, ids in enumerate(out):
+                if ids is None:
+                    found = get(words[k])
+                    out[k] = new(words[k]) if found is None else found
+        return b"".join(out)
