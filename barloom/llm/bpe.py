@@ -33,9 +33,10 @@ from barloom.llm.tokens import default_path, encoder, parts_of, tokenizer
 
 #: Stems in the table that every task holds, each of at most HOT_BYTES: 32 MB at the very most, about 8 MB for prose.
 HOT_STEMS, HOT_BYTES = 1 << 19, 32
-#: A stem counts in a task from this many occurrences there; fewer don't matter for which are the most frequent.
+#: A stem counts in a task from this many occurrences there (of words that occur twice); fewer don't matter for which are
+#: the most frequent, and which they are changes no result.
 LEAST_IN_TASK = 4
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,9 +45,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def told() -> pa.RecordBatch:
         stems: Counter[bytes] = Counter()
         for w, n in seen.items():
-            for part in parts_of(w):
-                if part and len(part) <= HOT_BYTES:
-                    stems[part] += n
+            if n > 1:
+                for part in parts_of(w):
+                    if part and len(part) <= HOT_BYTES:
+                        stems[part] += n
         kept = [(w, n) for w, n in stems.items() if n >= LEAST_IN_TASK]
         return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], ["stem", "n"])
 
@@ -55,7 +57,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         view = raw.tobytes()
         for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             seen.update(view[s:e].split())
-        if len(seen) > 1_500_000:
+        if len(seen) > 500_000:
             yield told()
             seen.clear()
     yield told()
@@ -71,39 +73,36 @@ def _encode_stems(path: str):
     """Rows sorted by stem, to stem, ids and the other columns; each distinct stem is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, last = tokenizer(path), (b"", b"")
+        part, last, ids = encoder(path).part, None, b""
         for b in batches:
-            for first in range(0, b.num_rows, 20_000):
-                part = b.slice(first, 20_000)
-                stems = part.column("stem").to_pylist()
-                new = [s for s in dict.fromkeys(stems) if s != last[0]]
-                ids = dict(zip(new, (np.array(e.ids, "<u2").tobytes() for e in tok.encode_batch([s.decode() for s in new], add_special_tokens=False)), strict=True))
-                ids.setdefault(*last)
-                if stems:
-                    last = (stems[-1], ids[stems[-1]])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([ids[s] for s in stems], pa.binary())], [*part.schema.names, "ids"])
+            out = []
+            for stem in b.column("stem").to_pylist():
+                if stem != last:
+                    last, ids = stem, part(stem)
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "ids"])
 
     return run
 
 
 class _Hot:
-    """Per Python worker: the frequent stems' ids, and words known to consist of them."""
+    """Per Python worker: the frequent stems' ids, and some words that consist of them."""
 
-    MOST = 500_000
+    MOST = 250_000
 
     def __init__(self, stems: list[bytes], ids: list[bytes]):
-        self.ids, self.words = dict(zip(stems, ids, strict=True)), set()
+        self.ids = dict(zip(stems, ids, strict=True))
+        self.words: set[bytes] = set()
+        self.pairs: dict[bytes, tuple[bytes, bytes]] = {}
 
     def missing(self, words: set[bytes]) -> set[bytes]:
         """Stems and tails of words that aren't among the frequent ones."""
         out: set[bytes] = set()
-        if len(self.words) > self.MOST:
-            self.words.clear()
         for w in words - self.words:
             lack = [p for p in parts_of(w) if p and p not in self.ids]
             if lack:
                 out.update(lack)
-            else:
+            elif len(self.words) < self.MOST:
                 self.words.add(w)
         return out
 
@@ -156,12 +155,17 @@ def _pieces(path: str) -> list[bytes]:
 def _assembled(shared, path: str):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         hot, pieces, unpack = _hot(shared), _pieces(path), zstandard.ZstdDecompressor()
+        hot.words.clear()
         own = dict(zip(answers.column("stem").to_pylist(), answers.column("ids").to_pylist(), strict=True))
-        known: dict[bytes, tuple[bytes, bytes]] = {}
+        known = dict(hot.pairs)
 
         def look_up(w: bytes) -> tuple[bytes, bytes]:
-            ids = b"".join(hot.ids[p] if p in hot.ids else own[p] for p in parts_of(w) if p)
+            parts = [p for p in parts_of(w) if p]
+            frequent = all(p in hot.ids for p in parts)
+            ids = b"".join([hot.ids[p] if p in hot.ids else own[p] for p in parts])
             known[w] = out = (ids, b" ".join([pieces[k] for k in memoryview(ids).cast("H")]))
+            if frequent and len(hot.pairs) < hot.MOST:
+                hot.pairs[w] = out
             return out
 
         docs, ids, sizes, decoded = [], [], [], []
