@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from barloom.llm import bpe, exact_dedup, jaccard_join, quality_rules, token_shards, url_filter
-from barloom.llm.common import shared_folder, table
+from pyspark.sql import functions as F
+
+from barloom.llm import bpe, exact_dedup, jaccard_join, licenses, mixing, quality_rules, token_rollup, token_shards, url_filter
+from barloom.llm.common import shared_folder, table, written
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -45,6 +47,65 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
+def op1_license_scan(spark, sf_dir):
+    return licenses.license_scan(table(spark, sf_dir, "documents"), licenses.known_licences(spark))
+
+
+def _canonical_sql(text: str) -> str:
+    """canonical() for DuckDB."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    c = f"regexp_replace({text}, {quote('(?m)' + licenses.COPYRIGHT_LINE)}, '', 'g')"
+    c = f"concat(' ', regexp_replace({c}, {quote(licenses.MARKS)}, ' ', 'g'), ' ')"
+    for pattern, to in licenses.SPELLINGS:
+        c = f"regexp_replace({c}, {quote(pattern)}, {quote(to)}, 'g')"
+    return f"trim({c}, ' ')"
+
+
+OP1_SQL = f"""
+WITH known(license_id, text) AS (VALUES {', '.join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in licenses.KNOWN.items())}),
+     digests AS (SELECT sha256({_canonical_sql(_LOWER)}) AS canonical_sha256, min(license_id) AS license_id FROM known GROUP BY 1)
+SELECT doc_id, canonical_sha256, license_id FROM (SELECT doc_id, sha256({_canonical_sql(_LOWER)}) AS canonical_sha256 FROM documents) LEFT JOIN digests USING (canonical_sha256)
+"""
+
+#: Pieces as two versions of one simple tokenizer count them: the second one knows letters beyond ASCII.
+PIECES_1 = r"[A-Za-z]+|[0-9]+|[^\x20\x09-\x0DA-Za-z0-9]"
+PIECES_2 = r"[A-Za-z\x{80}-\x{10ffff}]+|[0-9]+|[\x21-/:-@\[-`{-~]"
+
+
+def op2_token_counts(spark, sf_dir):
+    """Totals after five batches: two tokenizers' counts, a replay, revised counts, a new version, deletions."""
+    text = F.coalesce("text", F.lit(""))
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
+    docs = table(spark, sf_dir, "documents").select("source", "lang", count(r"[^\x20\x09-\x0D]+").alias("words"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long").alias("breaks"), count(PIECES_1).alias("p1"), count(PIECES_2).alias("p2"))
+    docs = written(docs)
+    words, short = F.col("words"), docs.filter("words < 20")
+    change = token_rollup.change
+    batches = {
+        "1-words": change(docs, "insert", "words-1", words),
+        "2-pieces": change(docs, "insert", "pieces-1", F.col("p1")),
+        "3-line-ends": change(docs, "revise", "words-1", words + F.col("breaks"), words),
+        "4-pieces": change(docs, "delete", "pieces-1", F.col("p1")).union(change(docs, "insert", "pieces-2", F.col("p2"))),
+        "5-short": change(short, "delete", "words-1", words + F.col("breaks")).union(change(short, "delete", "pieces-2", F.col("p2"))),
+    }
+    rollup = token_rollup.TokenRollup(spark, shared_folder(spark))
+    for batch in [*batches, "2-pieces", "5-short"]:  # the last two are replays
+        rollup.commit(batch, batches[batch])
+    return rollup.totals(list(batches))
+
+
+OP2_SQL = f"""
+WITH d AS (
+  SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words,
+         length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS breaks,
+         len(regexp_extract_all(coalesce(text, ''), '{PIECES_2}')) AS p2
+  FROM documents
+)
+SELECT source, lang, 'words-1' AS tokenizer, count(*) FILTER (WHERE words >= 20) AS documents, coalesce(sum(words + breaks) FILTER (WHERE words >= 20), 0)::BIGINT AS tokens FROM d GROUP BY source, lang
+UNION ALL SELECT source, lang, 'pieces-1', 0, 0 FROM d GROUP BY source, lang
+UNION ALL SELECT source, lang, 'pieces-2', count(*) FILTER (WHERE words >= 20), coalesce(sum(p2) FILTER (WHERE words >= 20), 0)::BIGINT FROM d GROUP BY source, lang
+"""
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), quality_rules.trusted_ids(table(spark, sf_dir, "labels")))
 
@@ -97,6 +158,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM stats
 """
 
+def op7_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.placed(docs, mixing.square_root_targets(docs))
+
+
+OP7_SQL = f"""
+WITH RECURSIVE roots AS (
+  SELECT coalesce(source, chr(0)) AS key, floor(sqrt(count(*)))::BIGINT AS root FROM documents GROUP BY 1
+), shares AS (
+  SELECT key, greatest(1, ({mixing.PERIOD} * root) // (SELECT sum(root)::BIGINT FROM roots)) AS share FROM roots
+), one AS (
+  SELECT list({{'k': key, 'e': share}} ORDER BY key) AS al, sum(share)::BIGINT AS p FROM shares
+), sim AS (
+  SELECT -1::BIGINT AS slot, list_transform(al, lambda s: 0::BIGINT) AS done, NULL::BIGINT AS i FROM one
+  UNION ALL
+  SELECT slot + 1, list_transform(done, lambda d, k: d + CASE WHEN k = c.i THEN 1 ELSE 0 END), c.i
+  FROM (
+    SELECT slot, done, p, list_sort(list_filter(list_transform(range(1, len(al) + 1), lambda k: CASE WHEN done[k] < al[k].e AND (done[k] * p) // al[k].e <= slot + 1 THEN {{'d': ((done[k] + 1) * p + al[k].e - 1) // al[k].e, 'i': k}} END), lambda x: x IS NOT NULL))[1] AS c
+    FROM sim, one
+  ) WHERE slot + 1 < p
+), turns AS (
+  SELECT al[i].k AS key, al[i].e AS share, p, slot, row_number() OVER (PARTITION BY i ORDER BY slot) - 1 AS turn FROM sim, one WHERE i IS NOT NULL
+), ranked AS (
+  SELECT doc_id, source, coalesce(source, chr(0)) AS key, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS r FROM documents
+), blocks AS (
+  SELECT *, r // {mixing.BLOCK_DOCS} AS block, r % {mixing.BLOCK_DOCS} AS place FROM ranked
+)
+SELECT doc_id, source, block, (block // share) * p + (turn * p) // share AS release, (block // share) * p + ((turn + 1) * p + share - 1) // share AS deadline, (block // share) * p + slot AS slot, place
+FROM blocks JOIN turns USING (key) WHERE turn = block % share
+"""
+
+
 def op8_token_shards(spark, sf_dir):
     folder = shared_folder(spark)
     token_shards.write_shards(table(spark, sf_dir, "documents"), folder)
@@ -107,5 +200,5 @@ def op10_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_url_filters": op4_url_filters, "op5_jaccard_join": op5_jaccard_join, "op6_exact_dedup": op6_exact_dedup, "op8_token_shards": op8_token_shards, "op10_bpe": op10_bpe}
-ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op4_url_filters": OP4_SQL, "op6_exact_dedup": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_quality_rules, op4_url_filters, op5_jaccard_join, op6_exact_dedup, op7_mixing, op8_token_shards, op10_bpe)}
+ORACLE_SQL = {"op1_license_scan": OP1_SQL, "op2_token_counts": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_url_filters": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL}
