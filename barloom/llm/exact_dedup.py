@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import TO_LOWER, mix64, text_bytes, written
+from barloom.llm.common import TO_LOWER, lower_ascii, mix64, text_bytes, written
 
 #: Chunk sizes in bytes: cuts fall after MIN at the earliest, after MIN + MEAN on average, at MAX at the latest.
 MIN, MEAN, MAX = 256, 1024, 8192
@@ -95,7 +95,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_largest(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all columns; repeated rows become one row."""
+    """The rows of docs that stay, with all columns; rows with one doc_id and equal texts become one of them."""
     stay = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_stay_id"))
     left = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay_id")), "left_semi")
-    return left.dropDuplicates(["doc_id", "text"])
+    digest = F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256)
+    return left.withColumn("_digest", digest).dropDuplicates(["doc_id", "_digest"]).drop("_digest")

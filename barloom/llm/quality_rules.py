@@ -61,13 +61,14 @@ def repeated_words(w: Column, h: Column) -> Column:
     return F.when(last < 1, 0).when(repeats, let(exact, counted)).otherwise(0).cast("long")
 
 
-def base_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, the base columns, base_failed, and hashes (of the words) for every row of docs."""
+def base_statistics(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, the base columns, base_failed, hashes (of the words) and columns to carry along for every row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    split = docs.select("doc_id", text.alias("text"), words(F.col("text")).alias("w"))
-    hashed = split.select("doc_id", "text", "w", _hashes(F.col("w")).alias("hashes"))
+    split = docs.select(*also, "doc_id", text.alias("text"), words(F.col("text")).alias("w"))
+    hashed = split.select(*also, "doc_id", "text", "w", _hashes(F.col("w")).alias("hashes"))
     counted = hashed.select(
+        *also,
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
@@ -103,13 +104,21 @@ def _total(h: Column, weights: Column) -> Column:
     return F.aggregate(h, start, lambda a, x: F.struct(x.alias("before"), (a["sum"] + F.get(weights, (x % BUCKETS).cast("int")) + pair(a, x)).alias("sum")), lambda a: a["sum"])
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score."""
-    scored = base_statistics(docs).withColumn("weights", bucket_weights(docs, trusted).scalar())
+def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, *also: str) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score, and columns to carry along."""
+    scored = base_statistics(docs, *also).withColumn("weights", bucket_weights(docs, trusted).scalar())
     scored = scored.withColumn("total", _total(F.col("hashes"), F.col("weights"))).withColumn("grams", 2 * F.col("n_words") - 1)
     score = F.when(F.col("n_words") > 0, F.col("total") / F.col("grams") / 1e6)
     verdict = F.col("total") >= F.lit(round(threshold * 1e6)) * F.col("grams")
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict).alias("kept"), score.alias("score"))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict).alias("kept"), score.alias("score"), *also)
+
+
+def keep_good(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are kept. Every row is judged where it is read; none is shuffled."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
+    told = quality_rules(rows, trusted, threshold, "_row")
+    # not a filter: that would move below the projections and work the statistics out once for each use
+    return told.select(F.inline(F.when(F.col("kept"), F.array("_row"))))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

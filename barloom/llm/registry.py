@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from barloom.llm import bpe, exact_dedup, jaccard_join, licenses, mixing, quality_classifier, quality_rules, token_rollup, token_shards, url_filter
@@ -204,5 +205,5 @@ def op10_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_quality_rules, op4_url_filters, op5_jaccard_join, op6_exact_dedup, op7_mixing, op8_token_shards, op9_quality_classifier, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_quality_rules, op4_url_filters, op5_jaccard_join, op6_exact_dedup, op7_mixing, op8_token_shards, op9_quality_classifier, op10_bpe)} | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL = {"op1_license_scan": OP1_SQL, "op2_token_counts": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_url_filters": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL}
