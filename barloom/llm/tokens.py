@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 #: A letter or digit of ASCII, then ASCII marks to the end: the marks are pieces of their own.
 _TAIL = re.compile(rb"(?<=[0-9a-z])[!-/:-@\[-`{-~]+\Z")
-#: What rules out lower-casing A-Z before the tokenizer does: its special tokens, and marks that may combine.
+#: What keeps a word whole as it is: the tokenizer's special tokens, and marks that may combine.
 _GUARD = re.compile(rb"<\||[\xcc\xcd]")
 
 
@@ -43,9 +43,9 @@ def parts_of(word: bytes) -> tuple[bytes, bytes]:
     """
     if word.isalpha() and word.islower():  # ASCII letters alone
         return word, b""
-    low = word if _GUARD.search(word) else word.lower()
-    if low is word and not word.isascii():
+    if _GUARD.search(word):
         return word, b""
+    low = word.lower()
     m = _TAIL.search(low)
     return (low[: m.start()], m[0]) if m else (low, b"")
 
@@ -69,15 +69,18 @@ class WordEncoder:
 
     The tokenizer lower-cases, drops white space and never forms pieces across it, so a text's ids are its
     words' ids in order; and where ASCII marks follow a word's last letter or digit, the word's ids are its
-    stem's and the marks'. The table stops growing at MOST words, which bounds memory and changes no result.
+    stem's and the marks'. A full table becomes the old one, from which words that are met again move to the
+    new one, so that two tables bound memory and frequent words are never encoded twice.
     """
 
-    MOST = 600_000
+    MOST = 400_000
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
         self.model = self.tok.model
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.packed = [pack("<H", k) for k in range(self.tok.get_vocab_size())]
 
     def part(self, p: bytes) -> bytes:
         """The ids of a stem or tail as little-endian unsigned 16-bit integers."""
@@ -85,28 +88,39 @@ class WordEncoder:
             ids = [t.id for t in self.model.tokenize(p.decode("ascii") if p.isascii() else "".join([_SHOWN[b] for b in p]))]
         else:
             ids = self.tok.encode(p.decode(), add_special_tokens=False).ids
-        return pack(f"<{len(ids)}H", *ids)
+        packed = self.packed
+        return b"".join([packed[k] for k in ids])
+
+    def _met(self, w: bytes) -> bytes | None:
+        ids = self.known.get(w)
+        return self.old.get(w) if ids is None else ids
 
     def word(self, w: bytes) -> bytes:
         """The ids of a word (UTF-8, without ASCII white space)."""
-        known = self.known
         stem, tail = parts_of(w)
-        ids = self.part(stem)
+        ids = None if stem is w else self._met(stem)
+        if ids is None:
+            ids = self.part(stem)
         if tail:
-            end = known.get(tail)
-            ids += self.part(tail) if end is None else end
-        if len(known) < self.MOST:
-            known[w] = ids
+            end = self._met(tail)
+            if end is None:
+                self.known[tail] = end = self.part(tail)
+            ids += end
         return ids
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a text."""
-        words = text.split()
-        out = list(map(self.known.get, words))
-        if None in out:
-            get, new = self.known.get, self.word
-            for k, ids in enumerate(out):
-                if ids is None:
-                    found = get(words[k])
-                    out[k] = new(words[k]) if found is None else found
+        if len(self.known) > self.MOST:
+            self.known, self.old = {}, self.known
+        words, known, old = text.split(), self.known, self.old
+        out = list(map(known.get, words))
+        k = -1
+        for _ in range(out.count(None)):
+            k = out.index(None, k + 1)
+            w = words[k]
+            ids = known.get(w)
+            if ids is None:
+                ids = old.get(w)
+                known[w] = ids = self.word(w) if ids is None else ids
+            out[k] = ids
         return b"".join(out)
