@@ -68,16 +68,15 @@ def token_sets(raw: np.ndarray, at: np.ndarray, n: int = WORDS) -> list[np.ndarr
     return out
 
 
-def _sets_of(b: pa.RecordBatch) -> list[np.ndarray]:
-    """The sets of a batch's texts, worked out for about SLICE bytes at a time."""
+def _sets_of(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """The doc_ids and sets of a batch's texts, about SLICE bytes of text at a time."""
     raw, at = text_bytes(b.column("text"))
-    out, first = [], 0
+    first = 0
     while first < len(at) - 1:
         last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE, "right")) - 1)
         low = raw[at[first] : at[last]].tobytes().translate(TO_LOWER)
-        out += token_sets(np.frombuffer(low, np.uint8), at[first : last + 1] - at[first])
+        yield b.column("doc_id").slice(first, last - first), token_sets(np.frombuffer(low, np.uint8), at[first : last + 1] - at[first])
         first = last
-    return out
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
@@ -100,11 +99,10 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = _sets_of(b)
+    for docs, sets in (part for b in batches for part in _sets_of(b)):
         kinds = [pa.int32(), pa.binary(), pa.binary()]
         cols = [[len(s) for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [parity_sketch(s) for s in sets]]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n", "digest", "sketch"])
+        yield pa.RecordBatch.from_arrays([docs, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n", "digest", "sketch"])
 
 
 def _classes(sets: list[np.ndarray], docs: list[int]) -> dict[bytes, int]:
@@ -117,9 +115,9 @@ def _classes(sets: list[np.ndarray], docs: list[int]) -> dict[bytes, int]:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens that two or more different sets of a batch have, with their number."""
-    for b in batches:
-        own = {s.tobytes(): s for s in _sets_of(b) if len(s)}
+    """Tokens that two or more different sets of a part of a batch have, with their number."""
+    for _, sets in (part for b in batches for part in _sets_of(b)):
+        own = {s.tobytes(): s for s in sets if len(s)}
         tokens, counts = np.unique(np.concatenate([*own.values(), np.zeros(0, np.uint64)]), return_counts=True)
         some = counts > 1
         yield pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(counts[some], pa.int64())], ["token", "sets"])
@@ -128,8 +126,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _prefixes(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.sort(np.frombuffer(shared.value, np.uint64))
-        for b in batches:
-            sets, docs = _sets_of(b), b.column("doc_id").to_pylist()
+        for ids, sets in (part for b in batches for part in _sets_of(b)):
+            docs = ids.to_pylist()
             tokens, rows, sizes, places = [], [], [], []
             for k in _classes(sets, docs).values():
                 s = sets[k]
@@ -171,9 +169,8 @@ def _sketch_test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = _sets_of(b)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "digest", "tokens"])
+    for docs, sets in (part for b in batches for part in _sets_of(b)):
+        yield pa.RecordBatch.from_arrays([docs, pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "digest", "tokens"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +239,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     across = across.filter(F.coalesce(bound >= _needed("an", "bn"), F.lit(True)))
     across = across.select(F.col("arep").alias("a"), F.col("brep").alias("b"), "an", "bn").distinct()
     second = _tested(written(across.join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "an", "bn")), reps, texts)
-    parts = connected_components(_links(first).union(_links(second)))
+    parts = connected_components(parts.union(_links(second)))
 
     component = same.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     rows = told.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
