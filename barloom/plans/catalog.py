@@ -2,5 +2,415 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from barloom.functions import text
+from barloom.operators import alerts, analysis, profile, recursive, rolling, scoring, simulate
+from barloom.plans.oracle import ORACLE_SQL
+from barloom.sources import feeds, tables
+from barloom.sources.tables import daily_bars, macro_history, macro_point, table, ticks, weekly_bars
+
+MARKET, PEERS = "NATION_0", ("NATION_1", "NATION_2")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _of_bars(name: str, fn: Callable[[DataFrame], DataFrame], *columns: str) -> None:
+    """Register a query: symbol, d and the columns that fn adds to daily bars, doubles to 6 places."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(fn(daily_bars(spark, sf_dir)).select("symbol", "d", *columns))
+
+    run.__name__ = name
+    query(run)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
+
+
+_of_bars("day_change", rolling.with_change, "prev_close", "change_pct")
+_of_bars("sma_bbands", rolling.with_bands, "sma", "bb_upper", "bb_lower", "pct_from_lower", "bb_signal")
+_of_bars("bb_squeeze", rolling.with_squeeze, "squeeze", "bb_pos", "below_lower", "near_lower")
+_of_bars("atr", rolling.with_atr, "atr")
+_of_bars("cmf", rolling.with_cmf, "cmf", "cmf_skip")
+_of_bars("cmf_turning", rolling.with_cmf_turning, "cmf_now", "cmf_prev", "turning", "positive")
+_of_bars("evsr", rolling.with_evsr, "evsr")
+_of_bars("upvol", rolling.with_upvol, "upvol")
+_of_bars("mfi", rolling.with_mfi, "mfi")
+_of_bars("stoch", rolling.with_stochastic, "stoch_k", "stoch_d")
+_of_bars("obv", rolling.with_obv, "obv", "obv_points")
+_of_bars("vol_contraction", rolling.with_contraction, "vol_contraction")
+_of_bars("drawdown_atr", rolling.with_drawdown_atr, "drawdown_atr")
+_of_bars("volume_surge", rolling.with_volume_surge, "avg_volume", "volume_ratio", "surge")
+_of_bars("daily_hvn", rolling.with_hvn, "hvn_pct")
+_of_bars("forward_returns", rolling.with_forward_returns, *(f"return_{h}d" for h in analysis.HORIZONS))
+_of_bars("rsi", recursive.with_rsi, "rsi")
+_of_bars("ema_stack", recursive.with_emas, "ema20", "ema50", "ema200", "structure_points")
+_of_bars("ema_reclaim", recursive.with_emas, "above", "just_crossed", "distance_pct")
+_of_bars("macd", recursive.with_macd, "macd", "signal", "hist")
+_of_bars("macd_signals", recursive.with_macd, "macd_alert", "convergence_points")
+_of_bars("macd_hist_scan", recursive.with_scan_histogram, "macd_hist", "macd_hist_prev")
+_of_bars("adx", recursive.with_adx, "adx", "plus_di", "minus_di")
+_of_bars("rsi_divergence", recursive.with_divergence, "divergence")
+
+
+@query
+def daily_bars_query(spark, sf_dir):
+    return rounded(daily_bars(spark, sf_dir))
+
+
+@query
+def weekly_bars_query(spark, sf_dir):
+    return rounded(weekly_bars(daily_bars(spark, sf_dir)))
+
+
+@query
+def macro(spark, sf_dir):
+    return rounded(macro_history(spark, sf_dir))
+
+
+@query
+def macro_now(spark, sf_dir):
+    return macro_point(macro_history(spark, sf_dir))
+
+
+@query
+def weekly_rsi_macd(spark, sf_dir):
+    weeks = weekly_bars(daily_bars(spark, sf_dir))
+    by_week = Window.partitionBy("symbol").orderBy("week")
+    r = recursive.with_rsi(weeks, "week").withColumn("_n", F.row_number().over(by_week))
+    m = recursive.with_macd(weeks, "week").withColumn("_prev", F.lag("hist").over(by_week)).select("symbol", "week", "hist", "_prev")
+    return r.join(m, ["symbol", "week"]).select("symbol", "week", "rsi", "hist", scoring.weekly_rsi_points().alias("rsi_points"), scoring.weekly_macd_points().alias("macd_points"))
+
+
+def _scan(spark, sf_dir):
+    return scoring.market_scan(daily_bars(spark, sf_dir), macro_point(macro_history(spark, sf_dir)))
+
+
+_SCAN = ("symbol", "sector", "d", "close", "cmf_now", "evsr", "upvol", "layer_A", "layer_B", "raw", "macro_mult", "score", "grade", "cmf_state", "evsr_tier")
+
+
+@query
+def market_scan(spark, sf_dir):
+    return rounded(_scan(spark, sf_dir).select(*_SCAN))
+
+
+@query
+def scan_top15(spark, sf_dir):
+    return scoring.ranked(_scan(spark, sf_dir), 15).select("symbol", "sector", "score", "grade")
+
+
+@query
+def scan_bottom10(spark, sf_dir):
+    return scoring.ranked(_scan(spark, sf_dir), 10, best=False).select("symbol", "sector", "score", "grade")
+
+
+@query
+def sector_rollup(spark, sf_dir):
+    return scoring.sector_rollup(_scan(spark, sf_dir))
+
+
+@query
+def layer_champion(spark, sf_dir):
+    return scoring.layer_champions(_scan(spark, sf_dir))
+
+
+def _scored(spark, sf_dir):
+    return scoring.rolling_scores(daily_bars(spark, sf_dir), macro_history(spark, sf_dir))
+
+
+def _labelled(spark, sf_dir):
+    return analysis.labelled(_scored(spark, sf_dir))
+
+
+@query
+def rolling_scores(spark, sf_dir):
+    return rounded(_scored(spark, sf_dir).select(*_SCAN, scoring.buy_amount(F.col("score")).alias("buy_target")))
+
+
+@query
+def score_distribution(spark, sf_dir):
+    return analysis.score_distribution(_scored(spark, sf_dir))
+
+
+@query
+def forward_returns_clipped(spark, sf_dir):
+    return rounded(_labelled(spark, sf_dir).select("symbol", "d", "score", *(f"return_{h}d" for h in analysis.HORIZONS)))
+
+
+@query
+def bucket_analysis(spark, sf_dir):
+    return analysis.bucket_analysis(_labelled(spark, sf_dir))
+
+
+@query
+def sweet_spot(spark, sf_dir):
+    return analysis.sweet_spots(analysis.bucket_analysis(_labelled(spark, sf_dir)))
+
+
+@query
+def layer_spearman(spark, sf_dir):
+    return analysis.rank_correlation(_labelled(spark, sf_dir), ["layer_A", "layer_B"])
+
+
+@query
+def indicator_spearman(spark, sf_dir):
+    return analysis.rank_correlation(_labelled(spark, sf_dir), ["cmf_now", "evsr", "upvol"])
+
+
+@query
+def layer_tiers(spark, sf_dir):
+    return analysis.layer_tiers(_labelled(spark, sf_dir))
+
+
+@query
+def layer_tiers_compat(spark, sf_dir):
+    return analysis.layer_tiers(_labelled(spark, sf_dir), compat=True)
+
+
+@query
+def layer_combos(spark, sf_dir):
+    return analysis.layer_combinations(_labelled(spark, sf_dir))
+
+
+@query
+def best_combos(spark, sf_dir):
+    return analysis.best_combinations(analysis.layer_combinations(_labelled(spark, sf_dir)))
+
+
+@query
+def indicator_tiers(spark, sf_dir):
+    return analysis.indicator_tiers(_labelled(spark, sf_dir))
+
+
+@query
+def best_indicator_tiers(spark, sf_dir):
+    return analysis.best_tiers(analysis.indicator_tiers(_labelled(spark, sf_dir)))
+
+
+@query
+def cmf_evsr_cross(spark, sf_dir):
+    return analysis.cross_table(_labelled(spark, sf_dir))
+
+
+@query
+def return_histogram(spark, sf_dir):
+    return analysis.return_histogram(_labelled(spark, sf_dir))
+
+
+@query
+def dca_dynamic(spark, sf_dir):
+    return rounded(simulate.dynamic_plan(_scored(spark, sf_dir)))
+
+
+@query
+def dca_baseline(spark, sf_dir):
+    return rounded(simulate.baseline_plan(_scored(spark, sf_dir)))
+
+
+@query
+def dca_summary(spark, sf_dir):
+    return simulate.summary(simulate.dynamic_plan(_scored(spark, sf_dir)))
+
+
+@query
+def dca_compared(spark, sf_dir):
+    scored = _scored(spark, sf_dir)
+    return simulate.compared(simulate.summary(simulate.dynamic_plan(scored)), simulate.summary(simulate.baseline_plan(scored)))
+
+
+@query
+def beta_by_date(spark, sf_dir):
+    return analysis.beta_by_date(daily_bars(spark, sf_dir), MARKET)
+
+
+@query
+def beta_compat(spark, sf_dir):
+    return analysis.beta_by_position(daily_bars(spark, sf_dir), MARKET)
+
+
+@query
+def btc_corr(spark, sf_dir):
+    return analysis.tail_correlation(daily_bars(spark, sf_dir), macro_history(spark, sf_dir).select("d", F.col("btc_close").alias("close")))
+
+
+def _last_changes(bars):
+    return rolling.with_change(bars).withColumn("_last", F.lead("d").over(rolling.by_day()).isNull()).filter("_last").select("symbol", F.round("change_pct", 2).alias("change_pct"))
+
+
+@query
+def beta_divergence(spark, sf_dir):
+    bars = daily_bars(spark, sf_dir)
+    return analysis.beta_divergence(_last_changes(bars), analysis.beta_by_date(bars, MARKET).select("symbol", "beta"), MARKET, PEERS)
+
+
+@query
+def technical_score_items(spark, sf_dir):
+    bars = daily_bars(spark, sf_dir)
+    return scoring.technical_items(bars, weekly_bars(bars))
+
+
+@query
+def technical_score_total(spark, sf_dir):
+    bars = daily_bars(spark, sf_dir)
+    return scoring.technical_total(scoring.technical_items(bars, weekly_bars(bars)))
+
+
+@query
+def safety_margin(spark, sf_dir):
+    bars = daily_bars(spark, sf_dir)
+    market = _last_changes(bars).filter(F.col("symbol") == MARKET)
+    return scoring.safety_margin(bars, market, analysis.beta_by_date(bars, MARKET).select("symbol", "beta"))
+
+
+@query
+def volume_profile(spark, sf_dir):
+    return profile.volume_profile(ticks(spark, sf_dir), minutes=24 * 60)
+
+
+@query
+def same_time_volume(spark, sf_dir):
+    return profile.same_time_volume(ticks(spark, sf_dir), minutes=180)
+
+
+@query
+def nearest_price(spark, sf_dir):
+    return profile.momentum(ticks(spark, sf_dir), tolerance=1800)
+
+
+@query
+def hourly_bars(spark, sf_dir):
+    return rounded(profile.bars_from_ticks(ticks(spark, sf_dir)))
+
+
+@query
+def price_snapshot(spark, sf_dir):
+    return profile.price_snapshot(ticks(spark, sf_dir))
+
+
+@query
+def market_session(spark, sf_dir):
+    return ticks(spark, sf_dir).groupBy("symbol", text.market_session(F.col("ts")).alias("session")).agg(F.count("*").alias("n"))
+
+
+@query
+def alert_hysteresis(spark, sf_dir):
+    return alerts.price_alerts(_tick_changes(ticks(spark, sf_dir)))
+
+
+def _tick_changes(t: DataFrame) -> DataFrame:
+    """Each tick's change from its symbol's last close of the day before."""
+    days = t.groupBy("symbol", F.to_date("ts").alias("day")).agg(F.max_by("close", F.struct("ts", "close")).alias("last"))
+    prev = days.select("symbol", "day", F.lag("last").over(Window.partitionBy("symbol").orderBy("day")).alias("prev")).filter("prev > 0")
+    return t.withColumn("day", F.to_date("ts")).join(prev, ["symbol", "day"]).select("symbol", "ts", F.round((F.col("close") - F.col("prev")) / F.col("prev") * 100, 2).alias("change_pct"))
+
+
+@query
+def alert_deferred(spark, sf_dir):
+    return alerts.deferred_alerts(rolling.with_change(daily_bars(spark, sf_dir)))
+
+
+@query
+def weekly_accumulators(spark, sf_dir):
+    readings = ticks(spark, sf_dir).select("ts", F.col("symbol").alias("name"), F.col("close").alias("value"))
+    return alerts.weekly_readings(readings)
+
+
+@query
+def pcr(spark, sf_dir):
+    """Put to call ratio by day: purchases stand for puts, clicks for calls."""
+    rows = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.sum(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("put"), F.sum(F.when(F.col("event_type") == "click", F.col("value"))).alias("call"))
+    ratio = F.try_divide("put", "call")
+    return rows.select("day", F.round(ratio, 4).alias("pcr"), F.when(ratio > 1.2, "heavy_hedging").when(ratio < 0.5, "bullish").when(ratio.isNotNull(), "neutral").alias("signal"))
+
+
+@query
+def short_pct(spark, sf_dir):
+    """Returned lines stand for short sales."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("d")).agg(F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0)).cast("long").alias("short_volume"), F.sum("l_quantity").cast("long").alias("total_volume"))
+    return feeds.with_short_share(rows)
+
+
+def _trades(spark, sf_dir):
+    """Orders as trades: the status is the code, and orders of 100,000 or more dispose."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("d"))
+    rows = orders.join(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+    kind = text.trade_type(F.col("o_orderstatus"), F.when(F.col("o_totalprice") >= 100_000, "D").otherwise("A"))
+    return rows.select(F.col("o_orderkey").alias("id"), F.col("c_name").alias("filer"), kind.alias("trade_type"), F.floor(F.col("o_totalprice") / 10).cast("long").alias("shares"), F.col("o_totalprice").alias("total_value"), "d").filter("trade_type is not null")
+
+
+@query
+def insider_classify(spark, sf_dir):
+    rows = _trades(spark, sf_dir).withColumn("size", text.size_band(F.col("total_value"), F.col("shares")))
+    return rows.groupBy("trade_type", "size").agg(F.count("*").alias("n"), F.sum("shares").alias("shares"), F.round(F.sum("total_value"), 2).alias("total_value"))
+
+
+@query
+def insider_new(spark, sf_dir):
+    """Trades since 2000 of filers and kinds that weren't seen before."""
+    rows = _trades(spark, sf_dir).withColumn("hash", text.title_hash(F.concat("filer", F.lit("|"), "trade_type")))
+    return alerts.new_by_hash(rows.filter("d >= '2000-01-01'"), rows.filter("d < '2000-01-01'").select("hash")).select("hash", "id", "filer", "trade_type", "d")
+
+
+@query
+def news_dedup(spark, sf_dir):
+    """Texts once each, in their first row, of languages other than German where a German text has the same hash."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", text.title_hash(F.coalesce("text", F.lit(""))).alias("hash"))
+    return alerts.new_by_hash(docs.filter("lang <> 'de'"), docs.filter("lang = 'de'")).select("hash", "id", "lang")
+
+
+@query
+def html_excerpt(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", text.is_blocked(F.col("url"), ["example.net"]).alias("blocked"), F.when(~text.is_blocked(F.col("url"), ["example.net"]), text.html_excerpt(F.col("html"))).alias("excerpt"))
+
+
+@query
+def app_rank_trend(spark, sf_dir):
+    """Symbols by monthly volume, with changes of rank from the month before."""
+    months = daily_bars(spark, sf_dir).groupBy("symbol", (F.year("d") * 12 + F.month("d")).alias("period")).agg(F.sum("volume").alias("v"))
+    rank = F.row_number().over(Window.partitionBy("period").orderBy(F.desc("v"), "symbol"))
+    return alerts.rank_trend(months.select("symbol", "period", rank.alias("rank")))
+
+
+@query
+def weighted_cost(spark, sf_dir):
+    bars = daily_bars(spark, sf_dir)
+    return simulate.ledger(bars.select("symbol", F.col("volume").alias("shares"), F.col("close").alias("price")))
+
+
+@query
+def event_props(spark, sf_dir):
+    """JSON properties: events and their mean value by key."""
+    rows = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k bigint")["k"].alias("k"), "value")
+    return rows.groupBy("event_type", (F.col("k") % 10).alias("k_class")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
+
+
+@query
+def conversation_tails(spark, sf_dir):
+    """The last five turns of each conversation, with the first turn's role beside them."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))
+    back = Window.partitionBy("conv_id").orderBy(F.desc("turn"), "role", "n_chars")
+    first = turns.groupBy("conv_id").agg(F.min_by("role", F.struct("turn", "role")).alias("first_role"))
+    return turns.withColumn("back", F.row_number().over(back)).filter("back <= 5").join(first, "conv_id").select("conv_id", "turn", "role", "n_chars", "back", "first_role")
+
+
+@query
+def sector_universe(spark, sf_dir):
+    """Symbols per sector, and how many have bars; those without are in sector Unknown's list of one row each."""
+    bars = daily_bars(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("bars"))
+    return tables.universe(spark, sf_dir).join(bars, "symbol", "left").select("symbol", F.coalesce("sector", F.lit("Unknown")).alias("sector"), F.coalesce("bars", F.lit(0)).alias("bars"))
+
+
+for old in ("daily_bars_query", "weekly_bars_query"):
+    QUERIES[old.removesuffix("_query")] = QUERIES.pop(old)
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
