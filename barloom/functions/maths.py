@@ -12,6 +12,12 @@ def ratio(a: Column, b: Column, default: float | None = None) -> Column:
     return out if default is None else F.coalesce(out, F.lit(float(default)))
 
 
+def places(x: Column | str, n: int) -> Column:
+    """x to n places, halves away from zero, by scaling: ties are those of the binary product, in every engine alike."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.round(x * 10.0**n) / 10.0**n
+
+
 def clamp(x: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.maths import places
+
 #: The zone whose calendar day resets an alert: nine hours ahead of UTC.
 DAY_SHIFT = "interval 9 hours"
 LEAST, STEP = 4.0, 1.0
@@ -36,7 +38,7 @@ def price_alerts(changes: DataFrame, least: float = LEAST, step: float = STEP) -
 def deferred_alerts(closes: DataFrame, least: float = LEAST) -> DataFrame:
     """symbol, d, alert_on, change_pct, direction: days (symbol, d, change_pct) that closed with a large change, told on the next day's morning, once."""
     following = F.lead("d").over(Window.partitionBy("symbol").orderBy("d"))
-    return closes.withColumn("alert_on", following).filter((F.abs("change_pct") >= least) & F.col("alert_on").isNotNull()).select("symbol", "d", "alert_on", F.round("change_pct", 4).alias("change_pct"), F.when(F.col("change_pct") > 0, "up").otherwise("down").alias("direction"))
+    return closes.withColumn("alert_on", following).filter((F.abs("change_pct") >= least) & F.col("alert_on").isNotNull()).select("symbol", "d", "alert_on", places("change_pct", 4).alias("change_pct"), F.when(F.col("change_pct") > 0, "up").otherwise("down").alias("direction"))
 
 
 def new_by_hash(items: DataFrame, stored: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def rank_trend(ranks: DataFrame, step: int = 3, top: int = 5) -> DataFrame:
 
 def weekly_readings(readings: DataFrame, tail: int = 8) -> DataFrame:
     """week, name, n, average, last values of readings (ts, name, value): a week's accumulators."""
-    by = readings.groupBy(F.date_trunc("week", "ts").cast("date").alias("week"), "name").agg(F.count("*").alias("n"), F.round(F.avg("value"), 2).alias("average"))
+    by = readings.groupBy(F.date_trunc("week", "ts").cast("date").alias("week"), "name").agg(F.count("*").alias("n"), places(F.avg("value"), 2).alias("average"))
     late = Window.partitionBy(F.date_trunc("week", "ts"), "name").orderBy(F.desc("ts"), F.desc("value"))
-    last = readings.withColumn("_r", F.row_number().over(late)).filter(f"_r <= {tail}").groupBy(F.date_trunc("week", "ts").cast("date").alias("week"), "name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("_r")).alias("at"), "value"))), lambda x: F.round(x["value"], 2).cast("string")), ",").alias("last"))
+    last = readings.withColumn("_r", F.row_number().over(late)).filter(f"_r <= {tail}").groupBy(F.date_trunc("week", "ts").cast("date").alias("week"), "name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("_r")).alias("at"), "value"))), lambda x: places(x["value"], 2).cast("string")), ",").alias("last"))
     return by.join(last, ["week", "name"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.maths import correlation, ladder, ratio
+from barloom.functions.maths import correlation, ladder, places, ratio
 from barloom.operators.rolling import by_day
 
 HORIZONS = (5, 10, 20, 30, 60)
@@ -47,7 +47,7 @@ def bucket_of(score: Column) -> Column:
 def _statistics(least: int) -> list[Column]:
     """count, avg, winrate, ev of r, null where there are too few returns."""
     n, avg, wins = F.count("r"), F.avg("r"), F.avg((F.col("r") > 0).cast("double"))
-    guard = lambda c: F.when(n >= least, F.round(c, 6))
+    guard = lambda c: F.when(n >= least, places(c, 6))
     return [n.alias("count"), guard(avg).alias("avg"), guard(wins).alias("winrate"), guard(avg * wins).alias("ev")]
 
 
@@ -55,7 +55,7 @@ def bucket_analysis(df: DataFrame, least: int = 3) -> DataFrame:
     """symbol, bucket, horizon, bucket_count, count, avg, median, winrate, ev, std: every bucket of every symbol, rows or none."""
     rows = long_returns(df.withColumn("bucket", bucket_of(F.col("score"))), "symbol", "bucket")
     n = F.count("r")
-    found = rows.groupBy("symbol", "bucket", "horizon").agg(F.count("*").alias("bucket_count"), *_statistics(least), F.when(n >= least, F.round(F.percentile("r", 0.5), 6)).alias("median"), F.when(n >= least, F.round(F.stddev_samp("r"), 6)).alias("std"))
+    found = rows.groupBy("symbol", "bucket", "horizon").agg(F.count("*").alias("bucket_count"), *_statistics(least), F.when(n >= least, places(F.percentile("r", 0.5), 6)).alias("median"), F.when(n >= least, places(F.stddev_samp("r"), 6)).alias("std"))
     grid = df.select("symbol").distinct().withColumn("bucket", F.explode(F.array(*(F.lit(f"{lo}-{hi}") for lo, hi in BUCKETS)))).withColumn("horizon", F.explode(F.array(*map(F.lit, HORIZONS))))
     return grid.join(found, ["symbol", "bucket", "horizon"], "left").na.fill(0, ["bucket_count", "count"])
 
@@ -79,7 +79,7 @@ def rank_correlation(df: DataFrame, columns: list[str], least: int = 10) -> Data
     medians = rows.groupBy(*group).agg(F.percentile("x", 0.5).alias("median"))
     ranked = rows.withColumn("rx", rank("x")).withColumn("ry", rank("r")).join(medians, group)
     n, high = F.count("*"), F.col("x") >= F.col("median")
-    guard = lambda c: F.when(n >= least, F.round(c, 4))
+    guard = lambda c: F.when(n >= least, places(c, 4))
     return ranked.groupBy(*group).agg(n.alias("count"), guard(correlation("rx", "ry")).alias("spearman"), guard(F.avg(F.when(high, F.col("r"))) - F.avg(F.when(~high, F.col("r")))).alias("edge"))
 
 
@@ -107,7 +107,7 @@ def layer_combinations(df: DataFrame, least: int = 5) -> DataFrame:
     medians = df.groupBy("symbol").agg(*(F.percentile(f"layer_{x}", 0.5).alias(f"_{x}") for x in LAYERS))
     flagged = df.join(medians, "symbol").withColumn("a_high", (F.col("layer_A") >= F.col("_A")).cast("int")).withColumn("b_high", (F.col("layer_B") >= F.col("_B")).cast("int"))
     by = flagged.filter("a_high + b_high > 0").select("symbol", "a_high", "b_high", F.col("return_10d").alias("r")).groupBy("symbol", "a_high", "b_high").agg(*_statistics(least))
-    return by.filter(F.col("count") >= least).select("symbol", "a_high", "b_high", "count", F.round("avg", 4).alias("avg_10d"), F.round("winrate", 4).alias("wr_10d"), F.round("ev", 4).alias("ev_10d"))
+    return by.filter(F.col("count") >= least).select("symbol", "a_high", "b_high", "count", places("avg", 4).alias("avg_10d"), places("winrate", 4).alias("wr_10d"), places("ev", 4).alias("ev_10d"))
 
 
 def best_combinations(combinations: DataFrame, n: int = 12) -> DataFrame:
@@ -140,16 +140,16 @@ def cross_table(df: DataFrame, least: int = 3) -> DataFrame:
     sets = df.groupingSets([["symbol", "cmf_state", "evsr_tier"], ["symbol", "cmf_state"]], "symbol", "cmf_state", "evsr_tier")
     return sets.agg(
         n.alias("count"),
-        F.when(enough, F.round(avg, 4)).alias("avg_10d"),
-        F.when(enough, F.round(wins, 4)).alias("wr_10d"),
-        F.when(~total & (n >= least), F.round(avg * wins, 4)).alias("ev_10d"),
-        F.when(total, F.round(F.avg("return_20d"), 4)).alias("avg_20d"),
+        F.when(enough, places(avg, 4)).alias("avg_10d"),
+        F.when(enough, places(wins, 4)).alias("wr_10d"),
+        F.when(~total & (n >= least), places(avg * wins, 4)).alias("ev_10d"),
+        F.when(total, places(F.avg("return_20d"), 4)).alias("avg_20d"),
     )
 
 
 def score_distribution(df: DataFrame, high: int = 61) -> DataFrame:
     """symbol, n, mean, median, high_share."""
-    return df.groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.percentile("score", 0.5).alias("median"), F.round(F.avg((F.col("score") >= high).cast("double")), 6).alias("high_share"))
+    return df.groupBy("symbol").agg(F.count("*").alias("n"), places(F.avg("score"), 6).alias("mean"), F.percentile("score", 0.5).alias("median"), places(F.avg((F.col("score") >= high).cast("double")), 6).alias("high_share"))
 
 
 def return_histogram(df: DataFrame, bins: int = 40, high: int = 61, low: int = 40) -> DataFrame:
@@ -168,7 +168,7 @@ def beta_by_date(bars: DataFrame, market: str, least: int = 20) -> DataFrame:
     returns = bars.withColumn("r", ratio(F.col("close") - prev, prev)).filter("r is not null").select("symbol", "d", "r")
     base = returns.filter(F.col("symbol") == market).select("d", F.col("r").alias("m"))
     slope = F.try_divide(F.covar_pop("r", "m"), F.var_pop("m"))
-    return returns.join(base, "d").groupBy("symbol").agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.round(slope, 3)).alias("beta"))
+    return returns.join(base, "d").groupBy("symbol").agg(F.count("*").alias("n"), F.when(F.count("*") >= least, places(slope, 3)).alias("beta"))
 
 
 def beta_by_position(bars: DataFrame, market: str, least: int = 30) -> DataFrame:
@@ -180,7 +180,7 @@ def beta_by_position(bars: DataFrame, market: str, least: int = 30) -> DataFrame
     returns = bars.withColumn("r", ratio(F.col("close") - prev, prev)).withColumn("i", F.row_number().over(by_place)).select("symbol", "i", "r")
     base = returns.filter(F.col("symbol") == market).select("i", F.col("r").alias("m"))
     slope = F.try_divide(F.covar_pop("r", "m"), F.var_pop("m"))
-    return returns.join(base, "i").groupBy("symbol").agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.round(slope, 3)).alias("beta"))
+    return returns.join(base, "i").groupBy("symbol").agg(F.count("*").alias("n"), F.when(F.count("*") >= least, places(slope, 3)).alias("beta"))
 
 
 def tail_correlation(bars: DataFrame, other: DataFrame, n: int = 30) -> DataFrame:
@@ -192,7 +192,7 @@ def tail_correlation(bars: DataFrame, other: DataFrame, n: int = 30) -> DataFram
         return r.withColumn("i", F.row_number().over(back)).filter(f"i <= {n} and r is not null").select(*keys, "i", "r")
 
     met = tail(bars.select("symbol", "d", "close"), "symbol").join(tail(other.select("d", "close")).withColumnRenamed("r", "m"), "i")
-    out = met.groupBy("symbol").agg(F.when(F.count("*") == n, F.round(correlation("r", "m"), 3)).alias("corr"))
+    out = met.groupBy("symbol").agg(F.when(F.count("*") == n, places(correlation("r", "m"), 3)).alias("corr"))
     return out.withColumn("signal", F.when(F.col("corr") >= 0.7, "high").when(F.col("corr") >= 0.4, "moderate").when(F.col("corr").isNotNull(), "low"))
 
 
@@ -200,7 +200,7 @@ def beta_divergence(changes: DataFrame, beta: DataFrame, market: str, peers: tup
     """symbol, expected, divergence, signal, peer_avg, peer_diff, peer_signal from changes (symbol, change_pct) and beta (symbol, beta)."""
     base = changes.agg(F.max(F.when(F.col("symbol") == market, F.col("change_pct"))).alias("m"), F.avg(F.when(F.col("symbol").isin(*peers), F.col("change_pct"))).alias("p"))
     rows = changes.join(beta, "symbol").withColumn("_m", base.select("m").scalar()).withColumn("_p", base.select("p").scalar())
-    rows = rows.withColumn("expected", F.round(F.col("beta") * F.col("_m"), 2)).withColumn("divergence", F.round(F.col("change_pct") - F.col("expected"), 2))
-    rows = rows.withColumn("peer_avg", F.round("_p", 2)).withColumn("peer_diff", F.round(F.col("change_pct") - F.col("peer_avg"), 2))
+    rows = rows.withColumn("expected", places(F.col("beta") * F.col("_m"), 2)).withColumn("divergence", places(F.col("change_pct") - F.col("expected"), 2))
+    rows = rows.withColumn("peer_avg", places("_p", 2)).withColumn("peer_diff", places(F.col("change_pct") - F.col("peer_avg"), 2))
     of = lambda c, strong, some: F.when(F.col(c) >= strong, "much stronger").when(F.col(c) >= some, "stronger").when(F.col(c) <= -strong, "much weaker").when(F.col(c) <= -some, "weaker").otherwise("in line")
     return rows.select("symbol", "expected", "divergence", of("divergence", 3, 1).alias("signal"), "peer_avg", "peer_diff", of("peer_diff", 2, 0.5).alias("peer_signal"))

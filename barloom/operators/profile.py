@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.maths import ratio
+from barloom.functions.maths import places, ratio
 
 
 def _with_now(ticks: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def _with_now(ticks: DataFrame) -> DataFrame:
 def volume_profile(ticks: DataFrame, minutes: int = 30, bucket: float = 0.10, least: int = 5) -> DataFrame:
     """symbol, poc_price, vol_recent, poc_signal: the price bucket with the most volume in the last minutes; ties to the bucket met first."""
     recent = _with_now(ticks).filter(F.col("ts") >= F.col("now") - F.expr(f"interval {minutes} minutes"))
-    sums = recent.groupBy("symbol", "current", F.round(F.rint(F.col("close") / bucket) * bucket, 2).alias("price")).agg(F.sum("volume").alias("v"), F.count("*").alias("n"), F.min("ts").alias("at"))
+    sums = recent.groupBy("symbol", "current", places(F.rint(F.col("close") / bucket) * bucket, 2).alias("price")).agg(F.sum("volume").alias("v"), F.count("*").alias("n"), F.min("ts").alias("at"))
     best = sums.groupBy("symbol", "current").agg(F.max_by("price", F.struct("v", (-F.unix_micros("at")).alias("at"))).alias("poc_price"), F.sum("v").alias("vol_recent"), F.sum("n").alias("n"))
     return best.filter(F.col("n") >= least).select("symbol", "poc_price", "vol_recent", F.when(F.col("current") < F.col("poc_price"), "resistance").otherwise("support").alias("poc_signal"))
 
@@ -32,7 +32,7 @@ def same_time_volume(ticks: DataFrame, minutes: int = 30, whale: float = 1.5) ->
     past = (F.to_date("ts") != F.to_date("now")) & minute("ts").between(minute("since"), minute("now"))
     days = rows.groupBy("symbol", F.to_date("ts").alias("day")).agg(F.sum(recent).alias("recent"), F.sum(F.when(past, F.col("volume"))).alias("past"))
     out = days.groupBy("symbol").agg(F.coalesce(F.sum("recent"), F.lit(0)).alias("vol_recent"), F.coalesce(F.floor(F.avg("past")), F.lit(0)).cast("long").alias("vol_avg"))
-    out = out.withColumn("vol_ratio", F.when(F.col("vol_avg") > 0, F.round(ratio(F.col("vol_recent"), F.col("vol_avg")), 2)).otherwise(0.0))
+    out = out.withColumn("vol_ratio", F.when(F.col("vol_avg") > 0, places(ratio(F.col("vol_recent"), F.col("vol_avg")), 2)).otherwise(0.0))
     return out.withColumn("whale", F.col("vol_ratio") >= whale)
 
 
@@ -50,7 +50,7 @@ def momentum(ticks: DataFrame, tolerance: int = 180) -> DataFrame:
     out = out.withColumn("_c", change("current", "price_30m")).withColumn("_p", change("price_30m", "price_60m"))
     c, p = F.col("_c"), F.col("_p")
     signal = F.when((c < 0) & (p < 0), F.when(c < p, "accelerating").otherwise("decelerating")).when((c > 0) & (p < 0), "decelerating").otherwise("stable")
-    return out.select("symbol", "current", "price_30m", "price_60m", F.round("_c", 2).alias("mom_curr"), F.round("_p", 2).alias("mom_prev"), signal.alias("momentum"))
+    return out.select("symbol", "current", "price_30m", "price_60m", places("_c", 2).alias("mom_curr"), places("_p", 2).alias("mom_prev"), signal.alias("momentum"))
 
 
 def bars_from_ticks(ticks: DataFrame, every: str = "1 hour") -> DataFrame:
@@ -66,5 +66,5 @@ def price_snapshot(ticks: DataFrame) -> DataFrame:
     days = ticks.groupBy("symbol", F.to_date("ts").alias("day")).agg(F.max_by("close", F.struct("ts", "close")).alias("close"), F.sum("volume").alias("volume"))
     w = Window.partitionBy("symbol").orderBy("day")
     out = days.withColumn("prev_close", F.lag("close").over(w)).withColumn("avg_volume", F.floor(F.avg("volume").over(w.rowsBetween(-6, -2))).cast("long")).withColumn("_last", F.lead("day").over(w).isNull())
-    change = F.round(ratio(F.col("close") - F.col("prev_close"), F.col("prev_close")) * 100, 2)
+    change = places(ratio(F.col("close") - F.col("prev_close"), F.col("prev_close")) * 100, 2)
     return out.filter("_last").select("symbol", F.col("close").alias("current"), "prev_close", change.alias("change_pct"), F.col("volume").alias("today_volume"), "avg_volume")

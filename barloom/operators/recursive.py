@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.maths import places
+
 from barloom.operators.rolling import by_day, lag, with_true_range
 
 NAN = float("nan")
@@ -136,7 +138,7 @@ def with_emas(bars: DataFrame, spans: tuple[int, ...] = (20, 50, 200)) -> DataFr
     enough = F.count("ema20").over(by_day().rowsBetween(-5, 0)) == 6
     out = out.withColumn("_crossed", F.coalesce(crossed, F.lit(False)))
     just = F.max("_crossed").over(by_day().rowsBetween(-4, 0))
-    return out.withColumn("above", enough & (c > e20)).withColumn("just_crossed", enough & just).withColumn("distance_pct", F.when(enough, F.round((c - e20) / e20 * 100, 2)).otherwise(0.0)).drop("_crossed")
+    return out.withColumn("above", enough & (c > e20)).withColumn("just_crossed", enough & just).withColumn("distance_pct", F.when(enough, places((c - e20) / e20 * 100, 2)).otherwise(0.0)).drop("_crossed")
 
 
 def with_macd(bars: DataFrame, time: str = "d") -> DataFrame:

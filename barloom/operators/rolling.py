@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.maths import clamp, ratio
+from barloom.functions.maths import clamp, places, ratio
 
 
 def by_day():
@@ -33,7 +33,7 @@ def lag(c: str, k: int = 1) -> Column:
 def with_change(bars: DataFrame) -> DataFrame:
     """prev_close and change_pct."""
     prev = lag("close")
-    return bars.withColumn("prev_close", prev).withColumn("change_pct", F.round(ratio(F.col("close") - prev, prev) * 100, 4))
+    return bars.withColumn("prev_close", prev).withColumn("change_pct", places(ratio(F.col("close") - prev, prev) * 100, 4))
 
 
 def with_true_range(bars: DataFrame) -> DataFrame:
@@ -51,8 +51,8 @@ def with_atr(bars: DataFrame, n: int = 14, to: str = "atr") -> DataFrame:
 def with_bands(bars: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
     """sma, bb_upper, bb_lower, pct_from_lower, bb_signal."""
     mean, sd = F.avg("close").over(last(n)), F.stddev_pop("close").over(last(n))
-    out = bars.withColumn("sma", full(mean, n)).withColumn("bb_upper", full(F.round(mean + width * sd, 2), n)).withColumn("bb_lower", full(F.round(mean - width * sd, 2), n))
-    out = out.withColumn("pct_from_lower", F.round(ratio(F.col("close") - F.col("bb_lower"), F.col("bb_lower")) * 100, 2))
+    out = bars.withColumn("sma", full(mean, n)).withColumn("bb_upper", full(places(mean + width * sd, 2), n)).withColumn("bb_lower", full(places(mean - width * sd, 2), n))
+    out = out.withColumn("pct_from_lower", places(ratio(F.col("close") - F.col("bb_lower"), F.col("bb_lower")) * 100, 2))
     signal = F.when(F.col("bb_lower").isNull(), None).when(F.col("close") < F.col("bb_lower"), "extreme_oversold").when(F.col("close") > F.col("bb_upper"), "overbought").when(F.col("pct_from_lower") < 2, "oversold").otherwise("normal")
     return out.withColumn("bb_signal", signal)
 
@@ -67,7 +67,7 @@ def with_squeeze(bars: DataFrame, n: int = 20) -> DataFrame:
     squeeze = F.when(F.col("_m").isNull(), False).when(F.col("_atr") > 0, 4 * F.col("_s") < 3 * F.col("_atr")).otherwise(True)
     pos = clamp(ratio(F.col("close") - F.col("_m"), 2 * F.col("_s"), 0.0), -1.0, 1.0)
     lower = F.col("_m") - 2 * F.col("_s")
-    out = out.withColumn("squeeze", squeeze).withColumn("bb_pos", F.when(F.col("_m").isNotNull(), F.round(pos, 2)).otherwise(0.0))
+    out = out.withColumn("squeeze", squeeze).withColumn("bb_pos", F.when(F.col("_m").isNotNull(), places(pos, 2)).otherwise(0.0))
     return out.withColumn("below_lower", F.coalesce(F.col("close") < lower, F.lit(False))).withColumn("near_lower", F.coalesce(F.col("close") < lower * 1.03, F.lit(False))).drop("_atr", "_m", "_s")
 
 
@@ -76,7 +76,7 @@ def money_flow(n: int = 21, skip_flat: bool = False) -> Column:
     span = F.col("high") - F.col("low")
     place = ratio((F.col("close") - F.col("low")) - (F.col("high") - F.col("close")), span, 0.0)
     volume = F.when(span != 0, F.col("volume")).otherwise(0.0) if skip_flat else F.col("volume")
-    return F.round(ratio(F.sum(place * F.col("volume")).over(last(n)), F.sum(volume).over(last(n)), 0.0), 4)
+    return places(ratio(F.sum(place * F.col("volume")).over(last(n)), F.sum(volume).over(last(n)), 0.0), 4)
 
 
 def with_cmf(bars: DataFrame, n: int = 21) -> DataFrame:
@@ -95,7 +95,7 @@ def with_evsr(bars: DataFrame, n: int = 20) -> DataFrame:
     """evsr: effort (volume against its mean) over result (move against the mean true range)."""
     out = with_atr(bars, n, "_atr").withColumn("_mean", F.avg("volume").over(last(n))).withColumn("_move", F.abs(F.col("close") - lag("close")))
     effort = ratio(F.col("volume"), F.col("_mean"))
-    value = F.when(F.col("_move") == 0, F.least(2 * effort, F.lit(5.0))).otherwise(F.round(ratio(effort, ratio(F.col("_move"), F.col("_atr"))), 2))
+    value = F.when(F.col("_move") == 0, F.least(2 * effort, F.lit(5.0))).otherwise(places(ratio(effort, ratio(F.col("_move"), F.col("_atr"))), 2))
     return out.withColumn("evsr", F.when((F.col("_atr") > 0) & (F.col("_mean") > 0), value).otherwise(0.0)).drop("_atr", "_mean", "_move")
 
 
@@ -104,7 +104,7 @@ def with_upvol(bars: DataFrame, n: int = 10) -> DataFrame:
     prev = lag("close")
     out = bars.withColumn("_u", F.when(F.col("close") > prev, F.col("volume")).otherwise(0.0)).withColumn("_d", F.when(F.col("close") < prev, F.col("volume")).otherwise(0.0))
     up, down = F.sum("_u").over(last(n)), F.sum("_d").over(last(n))
-    return out.withColumn("upvol", full(F.when(down != 0, F.round(ratio(up, down), 2)).otherwise(F.least(up, F.lit(5.0))), n + 1, 1.0)).drop("_u", "_d")
+    return out.withColumn("upvol", full(F.when(down != 0, places(ratio(up, down), 2)).otherwise(F.least(up, F.lit(5.0))), n + 1, 1.0)).drop("_u", "_d")
 
 
 def with_mfi(bars: DataFrame, n: int = 14) -> DataFrame:
@@ -113,7 +113,7 @@ def with_mfi(bars: DataFrame, n: int = 14) -> DataFrame:
     out = out.withColumn("_up", F.when(lag("_tp").isNull(), None).otherwise(F.when(F.col("_tp") > lag("_tp"), F.col("_tp") * F.col("volume")).otherwise(0.0)))
     out = out.withColumn("_down", F.when(lag("_tp").isNull(), None).otherwise(F.when(F.col("_tp") > lag("_tp"), 0.0).otherwise(F.col("_tp") * F.col("volume"))))
     up, down = F.sum("_up").over(last(n)), F.sum("_down").over(last(n))
-    value = F.when(down == 0, 100.0).otherwise(F.round(100 - ratio(F.lit(100.0), 1 + ratio(up, down)), 2))
+    value = F.when(down == 0, 100.0).otherwise(places(100 - ratio(F.lit(100.0), 1 + ratio(up, down)), 2))
     return out.withColumn("mfi", full(value, n + 1)).drop("_tp", "_up", "_down")
 
 
@@ -123,7 +123,7 @@ def with_stochastic(bars: DataFrame, n: int = 14, smooth: int = 3) -> DataFrame:
     out = bars.withColumn("_raw", F.when(hi == lo, 50.0).otherwise(ratio(F.col("close") - lo, hi - lo) * 100))
     out = out.withColumn("_k", F.avg("_raw").over(last(smooth))).withColumn("_d", F.avg("_k").over(last(smooth)))
     least = n + 2 * smooth
-    return out.withColumn("stoch_k", full(F.round("_k", 2), least)).withColumn("stoch_d", full(F.round("_d", 2), least)).drop("_raw", "_k", "_d")
+    return out.withColumn("stoch_k", full(places("_k", 2), least)).withColumn("stoch_d", full(places("_d", 2), least)).drop("_raw", "_k", "_d")
 
 
 def with_obv(bars: DataFrame, back: int = 5) -> DataFrame:
@@ -145,13 +145,13 @@ def with_contraction(bars: DataFrame) -> DataFrame:
 def with_drawdown_atr(bars: DataFrame) -> DataFrame:
     """drawdown_atr: distance from the highest close of 20 bars in mean true ranges."""
     out = with_atr(bars, 14, "_atr")
-    return out.withColumn("drawdown_atr", full(F.when(F.col("_atr") > 0, ratio(F.abs(F.col("close") - F.max("close").over(last(20))), F.round("_atr", 4))), 20)).drop("_atr")
+    return out.withColumn("drawdown_atr", full(F.when(F.col("_atr") > 0, ratio(F.abs(F.col("close") - F.max("close").over(last(20))), places("_atr", 4))), 20)).drop("_atr")
 
 
 def with_volume_surge(bars: DataFrame, n: int = 5, surge: float = 1.5) -> DataFrame:
     """avg_volume of the n bars before, volume_ratio, surge."""
     before = by_day().rowsBetween(-n, -1)
-    out = bars.withColumn("avg_volume", F.floor(F.avg("volume").over(before)).cast("long")).withColumn("volume_ratio", F.round(ratio(F.col("volume"), F.col("avg_volume")), 2))
+    out = bars.withColumn("avg_volume", F.floor(F.avg("volume").over(before)).cast("long")).withColumn("volume_ratio", places(ratio(F.col("volume"), F.col("avg_volume")), 2))
     return out.withColumn("surge", F.coalesce(F.col("volume_ratio") >= surge, F.lit(False)))
 
 
@@ -163,7 +163,7 @@ def with_hvn(bars: DataFrame, n: int = 60, least: int = 20, bucket: float = 0.00
     out = out.withColumn("_k", keys)
     sums = F.transform(F.array_distinct("_k"), lambda k: F.struct(F.aggregate(F.zip_with("_k", "_bars", lambda a, b: F.when(a == k, b["v"]).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x).alias("v"), (-F.array_position("_k", k)).alias("at"), k.alias("k")))
     best = F.array_max(sums)["k"]
-    return out.withColumn("hvn_pct", F.when((F.size("_bars") >= least) & (F.col("close") > 0), F.round(best * bucket * 100, 2))).drop("_bars", "_k")
+    return out.withColumn("hvn_pct", F.when((F.size("_bars") >= least) & (F.col("close") > 0), places(best * bucket * 100, 2))).drop("_bars", "_k")
 
 
 def with_forward_returns(bars: DataFrame, horizons: tuple[int, ...] = (5, 10, 20, 30, 60)) -> DataFrame:

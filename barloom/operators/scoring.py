@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.maths import at_least, clamp, grade, ladder, sector_grade
+from barloom.functions.maths import at_least, clamp, grade, ladder, places, sector_grade
 from barloom.operators import recursive, rolling
 from barloom.operators.rolling import by_day
 
@@ -142,13 +142,13 @@ def safety_margin(bars: DataFrame, benchmark: DataFrame, beta: DataFrame) -> Dat
     newest = F.lead("d").over(by_day()).isNull()
     rows = rolling.with_change(rolling.with_bands(bars)).withColumn("_newest", newest).filter("_newest and sma is not null").drop("_newest")
     rows = rows.join(recursive.with_rsi(bars).select("symbol", "d", "rsi"), ["symbol", "d"]).join(beta, "symbol", "left")
-    actual = F.round(F.coalesce("change_pct", F.lit(0.0)), 2)
+    actual = places(F.coalesce("change_pct", F.lit(0.0)), 2)
     market = F.coalesce(benchmark.select("change_pct").scalar(), F.lit(0.0))
     known = (F.coalesce(F.col("beta"), F.lit(0.0)) != 0) & (actual != 0)
-    expected = F.when(known, F.round(F.col("beta") * market, 2)).otherwise(0.0)
-    rows = rows.withColumn("beta_expected_pct", expected).withColumn("beta_excess_pct", F.when(known, F.round(actual - F.col("beta_expected_pct"), 2)).otherwise(0.0))
+    expected = F.when(known, places(F.col("beta") * market, 2)).otherwise(0.0)
+    rows = rows.withColumn("beta_expected_pct", expected).withColumn("beta_excess_pct", F.when(known, places(actual - F.col("beta_expected_pct"), 2)).otherwise(0.0))
     rsi, excess = F.col("rsi"), F.col("beta_excess_pct")
     points = ladder([(rsi <= 25, 4), (rsi <= 30, 3), (rsi <= 40, 2), (rsi <= 50, 1)], 0)
     points += F.when(F.col("bb_signal") == "extreme_oversold", 3).when(F.col("bb_signal") == "oversold", 2).when(F.col("pct_from_lower") < 5, 1).otherwise(0)
     points += ladder([(excess <= -5, 3), (excess <= -3, 2), (excess <= -1, 1)], 0)
-    return rows.select("symbol", "d", F.round("sma", 2).alias("sma20"), "bb_upper", "bb_lower", "bb_signal", "pct_from_lower", "beta_expected_pct", "beta_excess_pct", clamp(points, 1, 10).cast("int").alias("attraction"))
+    return rows.select("symbol", "d", places("sma", 2).alias("sma20"), "bb_upper", "bb_lower", "bb_signal", "pct_from_lower", "beta_expected_pct", "beta_excess_pct", clamp(points, 1, 10).cast("int").alias("attraction"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.maths import ratio
+from barloom.functions.maths import places, ratio
 from barloom.operators.rolling import by_day
 from barloom.operators.scoring import buy_amount
 
@@ -45,22 +45,22 @@ def summary(plan: DataFrame) -> DataFrame:
     end = days.groupBy("symbol").agg(F.max_by(F.struct("shares", "cash", "total_input", "portfolio"), "d").alias("e"), F.min("_fall").alias("mdd"))
     return end.select(
         "symbol",
-        F.round("e.shares", 4).alias("shares"),
-        F.round("e.cash", 2).alias("cash_left"),
+        places("e.shares", 4).alias("shares"),
+        places("e.cash", 2).alias("cash_left"),
         F.col("e.total_input").alias("total_input"),
-        F.round("e.portfolio", 2).alias("final_value"),
-        F.round(ratio(F.col("e.portfolio") - F.col("e.total_input"), F.col("e.total_input")), 4).alias("total_return"),
-        F.round(ratio(F.col("e.total_input"), F.col("e.shares")), 4).alias("avg_cost"),
-        F.round("mdd", 4).alias("mdd"),
+        places("e.portfolio", 2).alias("final_value"),
+        places(ratio(F.col("e.portfolio") - F.col("e.total_input"), F.col("e.total_input")), 4).alias("total_return"),
+        places(ratio(F.col("e.total_input"), F.col("e.shares")), 4).alias("avg_cost"),
+        places("mdd", 4).alias("mdd"),
     )
 
 
 def compared(dynamic: DataFrame, baseline: DataFrame) -> DataFrame:
     """symbol and the dynamic plan's return, drawdown and mean cost less the baseline's."""
     a, b = (df.select("symbol", *(F.col(c).alias(f"{k}_{c}") for c in ("total_return", "mdd", "avg_cost"))) for k, df in (("a", dynamic), ("b", baseline)))
-    return a.join(b, "symbol").select("symbol", *(F.round(F.col(f"a_{c}") - F.col(f"b_{c}"), 4).alias(f"{c}_diff") for c in ("total_return", "mdd", "avg_cost")))
+    return a.join(b, "symbol").select("symbol", *(places(F.col(f"a_{c}") - F.col(f"b_{c}"), 4).alias(f"{c}_diff") for c in ("total_return", "mdd", "avg_cost")))
 
 
 def ledger(trades: DataFrame) -> DataFrame:
     """symbol, shares, avg_price of trades (symbol, shares, price)."""
-    return trades.groupBy("symbol").agg(F.sum("shares").alias("shares"), F.round(F.try_divide(F.sum(F.col("shares") * F.col("price")), F.sum("shares")), 4).alias("avg_price"))
+    return trades.groupBy("symbol").agg(F.sum("shares").alias("shares"), places(F.try_divide(F.sum(F.col("shares") * F.col("price")), F.sum("shares")), 4).alias("avg_price"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import text
+from barloom.functions.maths import places
 from barloom.operators import alerts, analysis, profile, recursive, rolling, scoring, simulate
 from barloom.plans.oracle import ORACLE_SQL
 from barloom.sources import feeds, tables
@@ -18,22 +19,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
+    """Register a query; its dates come out as text."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = f(spark, sf_dir)
+        return df.select(*(F.col(c).cast("string").alias(c) if k == "date" else F.col(c) for c, k in df.dtypes))
+
+    QUERIES[f.__name__.removesuffix("_query")] = run
     return f
 
 
-def _of_bars(name: str, fn: Callable[[DataFrame], DataFrame], *columns: str) -> None:
-    """Register a query: symbol, d and the columns that fn adds to daily bars, doubles to 6 places."""
+def _of_bars(name: str, fn: Callable[[DataFrame], DataFrame], *columns: str, n: int = 6) -> None:
+    """Register a query: symbol, d and the columns that fn adds to daily bars, doubles to n places."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(fn(daily_bars(spark, sf_dir)).select("symbol", "d", *columns))
+        return rounded(fn(daily_bars(spark, sf_dir)).select("symbol", "d", *columns), n)
 
     run.__name__ = name
     query(run)
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
+def rounded(df: DataFrame, n: int = 6) -> DataFrame:
+    return df.select(*(places(c, n).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
 
 
 _of_bars("day_change", rolling.with_change, "prev_close", "change_pct")
@@ -53,7 +60,7 @@ _of_bars("volume_surge", rolling.with_volume_surge, "avg_volume", "volume_ratio"
 _of_bars("daily_hvn", rolling.with_hvn, "hvn_pct")
 _of_bars("forward_returns", rolling.with_forward_returns, *(f"return_{h}d" for h in analysis.HORIZONS))
 _of_bars("rsi", recursive.with_rsi, "rsi")
-_of_bars("ema_stack", recursive.with_emas, "ema20", "ema50", "ema200", "structure_points")
+_of_bars("ema_stack", recursive.with_emas, "ema20", "ema50", "ema200", "structure_points", n=3)
 _of_bars("ema_reclaim", recursive.with_emas, "above", "just_crossed", "distance_pct")
 _of_bars("macd", recursive.with_macd, "macd", "signal", "hist")
 _of_bars("macd_signals", recursive.with_macd, "macd_alert", "convergence_points")
@@ -208,12 +215,12 @@ def return_histogram(spark, sf_dir):
 
 @query
 def dca_dynamic(spark, sf_dir):
-    return rounded(simulate.dynamic_plan(_scored(spark, sf_dir)))
+    return rounded(simulate.dynamic_plan(_scored(spark, sf_dir)), 3)
 
 
 @query
 def dca_baseline(spark, sf_dir):
-    return rounded(simulate.baseline_plan(_scored(spark, sf_dir)))
+    return rounded(simulate.baseline_plan(_scored(spark, sf_dir)), 3)
 
 
 @query
@@ -243,7 +250,7 @@ def btc_corr(spark, sf_dir):
 
 
 def _last_changes(bars):
-    return rolling.with_change(bars).withColumn("_last", F.lead("d").over(rolling.by_day()).isNull()).filter("_last").select("symbol", F.round("change_pct", 2).alias("change_pct"))
+    return rolling.with_change(bars).withColumn("_last", F.lead("d").over(rolling.by_day()).isNull()).filter("_last").select("symbol", places("change_pct", 2).alias("change_pct"))
 
 
 @query
@@ -310,7 +317,7 @@ def _tick_changes(t: DataFrame) -> DataFrame:
     """Each tick's change from its symbol's last close of the day before."""
     days = t.groupBy("symbol", F.to_date("ts").alias("day")).agg(F.max_by("close", F.struct("ts", "close")).alias("last"))
     prev = days.select("symbol", "day", F.lag("last").over(Window.partitionBy("symbol").orderBy("day")).alias("prev")).filter("prev > 0")
-    return t.withColumn("day", F.to_date("ts")).join(prev, ["symbol", "day"]).select("symbol", "ts", F.round((F.col("close") - F.col("prev")) / F.col("prev") * 100, 2).alias("change_pct"))
+    return t.withColumn("day", F.to_date("ts")).join(prev, ["symbol", "day"]).select("symbol", "ts", places((F.col("close") - F.col("prev")) / F.col("prev") * 100, 2).alias("change_pct"))
 
 
 @query
@@ -329,7 +336,7 @@ def pcr(spark, sf_dir):
     """Put to call ratio by day: purchases stand for puts, clicks for calls."""
     rows = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.sum(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("put"), F.sum(F.when(F.col("event_type") == "click", F.col("value"))).alias("call"))
     ratio = F.try_divide("put", "call")
-    return rows.select("day", F.round(ratio, 4).alias("pcr"), F.when(ratio > 1.2, "heavy_hedging").when(ratio < 0.5, "bullish").when(ratio.isNotNull(), "neutral").alias("signal"))
+    return rows.select("day", places(ratio, 4).alias("pcr"), F.when(ratio > 1.2, "heavy_hedging").when(ratio < 0.5, "bullish").when(ratio.isNotNull(), "neutral").alias("signal"))
 
 
 @query
@@ -350,7 +357,7 @@ def _trades(spark, sf_dir):
 @query
 def insider_classify(spark, sf_dir):
     rows = _trades(spark, sf_dir).withColumn("size", text.size_band(F.col("total_value"), F.col("shares")))
-    return rows.groupBy("trade_type", "size").agg(F.count("*").alias("n"), F.sum("shares").alias("shares"), F.round(F.sum("total_value"), 2).alias("total_value"))
+    return rows.groupBy("trade_type", "size").agg(F.count("*").alias("n"), F.sum("shares").alias("shares"), places(F.sum("total_value"), 2).alias("total_value"))
 
 
 @query
@@ -391,7 +398,7 @@ def weighted_cost(spark, sf_dir):
 def event_props(spark, sf_dir):
     """JSON properties: events and their mean value by key."""
     rows = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k bigint")["k"].alias("k"), "value")
-    return rows.groupBy("event_type", (F.col("k") % 10).alias("k_class")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
+    return rows.groupBy("event_type", (F.col("k") % 10).alias("k_class")).agg(F.count("*").alias("n"), places(F.avg("value"), 6).alias("mean_value"))
 
 
 @query
@@ -410,7 +417,4 @@ def sector_universe(spark, sf_dir):
     return tables.universe(spark, sf_dir).join(bars, "symbol", "left").select("symbol", F.coalesce("sector", F.lit("Unknown")).alias("sector"), F.coalesce("bars", F.lit(0)).alias("bars"))
 
 
-for old in ("daily_bars_query", "weekly_bars_query"):
-    QUERIES[old.removesuffix("_query")] = QUERIES.pop(old)
-
 __all__ = ["ORACLE_SQL", "QUERIES"]

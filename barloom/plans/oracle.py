@@ -69,8 +69,8 @@ DRAWDOWN = "CASE WHEN i >= 19 AND avg(tr) OVER w14 > 0 THEN abs(close - max(clos
 _over_bars("drawdown_atr", f"round({DRAWDOWN}, 6) AS drawdown_atr")
 ORACLE_SQL["volume_surge"] = f"""WITH {BARS}, v AS (SELECT symbol, d, volume, CAST(floor(avg(volume) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) AS BIGINT) AS avg_volume FROM t)
 SELECT symbol, d, avg_volume, round(volume / nullif(avg_volume, 0), 2) AS volume_ratio, coalesce(round(volume / nullif(avg_volume, 0), 2) >= 1.5, false) AS surge FROM v"""
-HVN = """, h0 AS (SELECT a.symbol, a.d, a.i, CAST(round_even(((b.high + b.low + b.close) / 3 / a.close - 1) / 0.005, 0) AS INT) AS k, sum(b.volume ORDER BY b.i) AS v, min(b.i) AS at FROM t a JOIN t b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 59 AND a.i GROUP BY 1, 2, 3, 4),
-hvn AS (SELECT symbol, d, CASE WHEN max(i) >= 19 THEN round(arg_max(k, row(v, -at)) * 0.005 * 100, 2) END AS hvn_pct FROM h0 GROUP BY symbol, d)"""
+HVN = """, h0 AS (SELECT a.symbol, a.d, a.i, CAST(round_even(((b.high + b.low + b.close) / 3 / a.close - 1) / 0.005, 0) AS INT) AS k, sum(b.volume ORDER BY b.i) AS v, min(b.i) AS first FROM t a JOIN t b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 59 AND a.i GROUP BY 1, 2, 3, 4),
+hvn AS (SELECT symbol, d, CASE WHEN max(i) >= 19 THEN round(arg_max(k, row(v, -first)) * 0.005 * 100, 2) END AS hvn_pct FROM h0 GROUP BY symbol, d)"""
 ORACLE_SQL["daily_hvn"] = f"WITH {BARS}{HVN} SELECT * FROM hvn"
 _over_bars("forward_returns", ", ".join(f"round((lead(close, {h}) OVER w - close) / close, 6) AS return_{h}d" for h in (5, 10, 20, 30, 60)))
 
@@ -112,7 +112,7 @@ EMAS = f"""{_ema('e20', 't', 20)}, {_ema('e50', 't', 50)}, {_ema('e200', 't', 20
 ema AS (SELECT t.symbol, t.d, t.i, close, e20.y AS a, e50.y AS b, e200.y AS c FROM t LEFT JOIN e20 USING (symbol, i) LEFT JOIN e50 USING (symbol, i) LEFT JOIN e200 USING (symbol, i)),
 stack AS (SELECT *, CASE WHEN c IS NOT NULL THEN CASE WHEN close < a AND a > b AND b > c THEN 10 WHEN close < b AND b > c THEN 7 WHEN close > a AND a > b THEN 5 WHEN a < b THEN 2 ELSE 4 END
   WHEN b IS NOT NULL AND close < a AND a > b THEN 7 ELSE 3 END AS structure_points FROM ema)"""
-ORACLE_SQL["ema_stack"] = f"WITH {BARS}, {EMAS} SELECT symbol, d, round(a, 6) AS ema20, round(b, 6) AS ema50, round(c, 6) AS ema200, structure_points FROM stack"
+ORACLE_SQL["ema_stack"] = f"WITH {BARS}, {EMAS} SELECT symbol, d, round(a, 3) AS ema20, round(b, 3) AS ema50, round(c, 3) AS ema200, structure_points FROM stack"
 ORACLE_SQL["ema_reclaim"] = f"""WITH {BARS}, {EMAS}, p AS (SELECT *, coalesce(lag(close) OVER w < lag(a) OVER w AND close >= a, false) AS crossed FROM ema {WIN})
 SELECT symbol, d, i >= 24 AND close > a AS above, i >= 24 AND bool_or(crossed) OVER w5 AS just_crossed, CASE WHEN i >= 24 THEN round((close - a) / a * 100, 2) ELSE 0.0 END AS distance_pct FROM p {WIN}"""
 ORACLE_SQL["macd_hist_scan"] = f"""WITH {BARS}, {_ema('f', 't', 12)}, {_ema('s', 't', 26)}, m AS (SELECT s.symbol, s.i - 25 AS i, f.y - s.y AS line FROM s JOIN f ON s.symbol = f.symbol AND f.i = s.i - 14),
@@ -227,7 +227,7 @@ cs AS (SELECT symbol, k, least(target, 100.0::DOUBLE) AS buy, 100.0::DOUBLE - le
   UNION ALL SELECT dy.symbol, dy.k, least(dy.target, cs.cash + 100), cs.cash + 100 - least(dy.target, cs.cash + 100) FROM cs JOIN dy ON dy.symbol = cs.symbol AND dy.k = cs.k + 1),
 pl AS (SELECT symbol, d, score, close, buy, cash, sum(buy / close) OVER {EVER} AS shares, sum(buy / close) OVER {EVER} * close + cash AS portfolio, k * 100.0::DOUBLE AS total_input FROM dy JOIN cs USING (symbol, k))"""
 BASELINE = f"""bl AS (SELECT symbol, d, score, close, 100.0::DOUBLE AS buy, 0.0::DOUBLE AS cash, sum(100.0::DOUBLE / close) OVER {EVER} AS shares, sum(100.0::DOUBLE / close) OVER {EVER} * close AS portfolio, row_number() OVER (PARTITION BY symbol ORDER BY d) * 100.0::DOUBLE AS total_input FROM sc WHERE close > 0)"""
-PLAN_COLUMNS = "symbol, d, score, round(close, 6) AS close, round(buy, 6) AS buy, round(cash, 6) AS cash, round(shares, 6) AS shares, round(portfolio, 6) AS portfolio, total_input"
+PLAN_COLUMNS = "symbol, d, score, round(close, 3) AS close, round(buy, 3) AS buy, round(cash, 3) AS cash, round(shares, 3) AS shares, round(portfolio, 3) AS portfolio, total_input"
 
 
 def _summary(source: str) -> str:
@@ -273,13 +273,13 @@ SELECT symbol, d, round(sma, 2) AS sma20, bb_upper, bb_lower, bb_signal, pct_fro
 
 # ticks
 TICKS = "tk AS (SELECT event_type AS symbol, ts, round(value, 4) AS close, 1 AS volume FROM events WHERE value IS NOT NULL), nw AS (SELECT symbol, max(ts) AS now, arg_max(close, row(ts, close)) AS current FROM tk GROUP BY 1)"
-ORACLE_SQL["volume_profile"] = f"""WITH {TICKS}, g AS (SELECT symbol, current, round(round_even(close / 0.1, 0) * 0.1, 2) AS price, sum(volume) AS v, count(*) AS n, min(ts) AS at FROM tk JOIN nw USING (symbol) WHERE ts >= now - INTERVAL 1440 MINUTE GROUP BY 1, 2, 3),
-h AS (SELECT symbol, current, arg_max(price, row(v, -epoch_us(at))) AS poc_price, sum(v)::BIGINT AS vol_recent, sum(n) AS n FROM g GROUP BY 1, 2) SELECT symbol, poc_price, vol_recent, CASE WHEN current < poc_price THEN 'resistance' ELSE 'support' END AS poc_signal FROM h WHERE n >= 5"""
+ORACLE_SQL["volume_profile"] = f"""WITH {TICKS}, g AS (SELECT symbol, current, round(round_even(close / 0.1, 0) * 0.1, 2) AS price, sum(volume) AS v, count(*) AS n, min(ts) AS first FROM tk JOIN nw USING (symbol) WHERE ts >= now - INTERVAL 1440 MINUTE GROUP BY 1, 2, 3),
+h AS (SELECT symbol, current, arg_max(price, row(v, -epoch_us(first))) AS poc_price, sum(v)::BIGINT AS vol_recent, sum(n) AS n FROM g GROUP BY 1, 2) SELECT symbol, poc_price, vol_recent, CASE WHEN current < poc_price THEN 'resistance' ELSE 'support' END AS poc_signal FROM h WHERE n >= 5"""
 ORACLE_SQL["same_time_volume"] = f"""WITH {TICKS}, r AS (SELECT symbol, ts, now, volume, now - INTERVAL 180 MINUTE AS since FROM tk JOIN nw USING (symbol)),
 p AS (SELECT symbol, CAST(ts AS DATE) AS day, sum(volume) AS v FROM r WHERE CAST(ts AS DATE) <> CAST(now AS DATE) AND hour(ts) * 60 + minute(ts) BETWEEN hour(since) * 60 + minute(since) AND hour(now) * 60 + minute(now) GROUP BY 1, 2),
 a AS (SELECT symbol, sum(volume)::BIGINT AS vol_recent FROM r WHERE ts >= since GROUP BY 1), b AS (SELECT symbol, floor(avg(v))::BIGINT AS m FROM p GROUP BY 1),
 c AS (SELECT symbol, vol_recent, coalesce(m, 0) AS vol_avg, CASE WHEN coalesce(m, 0) > 0 THEN round(vol_recent / m, 2) ELSE 0.0 END AS vol_ratio FROM a LEFT JOIN b USING (symbol)) SELECT *, vol_ratio >= 1.5 AS whale FROM c"""
-_near = lambda m: f"(SELECT DISTINCT ON (symbol) symbol, close AS price_{m}m FROM tk JOIN nw USING (symbol) WHERE abs(epoch_us(ts) - epoch_us(now) + {m} * 60000000) <= 1800 * 1000000 ORDER BY symbol, abs(epoch_us(ts) - epoch_us(now) + {m} * 60000000), ts, close)"
+_near = lambda m: f"(SELECT DISTINCT ON (symbol) symbol, close AS price_{m}m FROM tk JOIN nw USING (symbol) WHERE abs(epoch_us(ts) - epoch_us(now) + {m} * 60000000::BIGINT) <= 1800000000 ORDER BY symbol, abs(epoch_us(ts) - epoch_us(now) + {m} * 60000000::BIGINT), ts, close)"
 ORACLE_SQL["nearest_price"] = f"""WITH {TICKS}, a AS {_near(30)}, b AS {_near(60)}, v AS (SELECT symbol, current, price_30m, price_60m, coalesce(price_30m > 0 AND price_60m > 0, false) AS ok FROM nw LEFT JOIN a USING (symbol) LEFT JOIN b USING (symbol)),
 u AS (SELECT *, CASE WHEN ok THEN (current - price_30m) / price_30m * 100 ELSE 0.0 END AS c, CASE WHEN ok THEN (price_30m - price_60m) / price_60m * 100 ELSE 0.0 END AS p FROM v)
 SELECT symbol, current, price_30m, price_60m, round(c, 2) AS mom_curr, round(p, 2) AS mom_prev, CASE WHEN c < 0 AND p < 0 THEN CASE WHEN c < p THEN 'accelerating' ELSE 'decelerating' END WHEN c > 0 AND p < 0 THEN 'decelerating' ELSE 'stable' END AS momentum FROM u"""
@@ -296,6 +296,8 @@ st AS (SELECT symbol, kday, k, ts, change_pct, true AS fired, change_pct > 0 AS
   FROM st JOIN ev e ON e.symbol = st.symbol AND e.kday = st.kday AND e.k = st.k + 1)
 SELECT symbol, kday AS day, ts, change_pct, CASE WHEN up THEN 'up' ELSE 'down' END AS direction FROM st WHERE fired"""
 ORACLE_SQL["alert_deferred"] = f"WITH {BARS}, v AS (SELECT symbol, d, lead(d) OVER w AS alert_on, round((close - pc) / pc * 100, 4) AS change_pct FROM t {WIN}) SELECT *, CASE WHEN change_pct > 0 THEN 'up' ELSE 'down' END AS direction FROM v WHERE abs(change_pct) >= 4 AND alert_on IS NOT NULL"
+ORACLE_SQL["weekly_accumulators"] = f"""WITH {TICKS}, v AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week, symbol AS name, ts, close, row_number() OVER (PARTITION BY symbol, date_trunc('week', ts) ORDER BY ts DESC, close DESC) AS k FROM tk)
+SELECT week, name, count(*) AS n, round(avg(close), 2) AS average, string_agg(CAST(round(close, 2) AS VARCHAR), ',' ORDER BY k DESC) FILTER (WHERE k <= 8) AS last FROM v GROUP BY 1, 2"""
 ORACLE_SQL["pcr"] = """WITH v AS (SELECT CAST(ts AS DATE) AS day, sum(value) FILTER (WHERE event_type = 'purchase') / nullif(sum(value) FILTER (WHERE event_type = 'click'), 0) AS r FROM events GROUP BY 1)
 SELECT day, round(r, 4) AS pcr, CASE WHEN r > 1.2 THEN 'heavy_hedging' WHEN r < 0.5 THEN 'bullish' WHEN r IS NOT NULL THEN 'neutral' END AS signal FROM v"""
 ORACLE_SQL["short_pct"] = """WITH v AS (SELECT CAST(l_shipdate AS DATE) AS d, coalesce(sum(l_quantity) FILTER (WHERE l_returnflag = 'R'), 0)::BIGINT AS short_volume, sum(l_quantity)::BIGINT AS total_volume FROM lineitem GROUP BY 1),
@@ -314,3 +316,14 @@ ORACLE_SQL["event_props"] = "SELECT event_type, CAST(json_extract(props, '$.k')
 ORACLE_SQL["conversation_tails"] = """WITH c AS (SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations), f AS (SELECT conv_id, arg_min(role, row(turn, role)) AS first_role FROM c GROUP BY 1),
 b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role NULLS FIRST, n_chars NULLS FIRST) AS back FROM c) SELECT conv_id, turn, role, n_chars, back, first_role FROM b JOIN f USING (conv_id) WHERE back <= 5"""
 ORACLE_SQL["sector_universe"] = f"WITH {BARS}, c AS (SELECT symbol, count(*) AS bars FROM bars GROUP BY 1) SELECT n_name AS symbol, r_name AS sector, coalesce(bars, 0) AS bars FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN c ON c.symbol = n_name"
+
+# dates as text, so that both engines' clients show them alike
+_DATES = {
+    "week": ("weekly_bars", "weekly_rsi_macd", "weekly_accumulators"),
+    "day": ("pcr", "alert_hysteresis"),
+    "d": ("daily_bars", "macro", "day_change", "sma_bbands", "bb_squeeze", "atr", "cmf", "cmf_turning", "evsr", "upvol", "mfi", "stoch", "obv", "vol_contraction", "drawdown_atr", "volume_surge", "daily_hvn", "forward_returns", "rsi", "ema_stack", "ema_reclaim", "macd", "macd_signals", "macd_hist_scan", "adx", "rsi_divergence", "market_scan", "rolling_scores", "forward_returns_clipped", "dca_dynamic", "dca_baseline", "technical_score_items", "technical_score_total", "safety_margin", "alert_deferred", "short_pct", "insider_new"),
+    "alert_on": ("alert_deferred",),
+}
+for _column, _names in _DATES.items():
+    for _name in _names:
+        ORACLE_SQL[_name] = f"SELECT * REPLACE (CAST({_column} AS VARCHAR) AS {_column}) FROM ({ORACLE_SQL[_name]})"

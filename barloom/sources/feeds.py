@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.maths import places
 from barloom.functions.text import title_hash, trade_type
 
 _VALUE = "struct<value: string>"
@@ -66,7 +67,7 @@ def short_volume(spark: SparkSession, path: str, symbol: str) -> DataFrame:
 
 def with_short_share(df: DataFrame) -> DataFrame:
     """short_pct (0 without volume) and signal from short_volume and total_volume."""
-    pct = F.round(F.coalesce(F.try_divide(F.col("short_volume") * F.lit(100.0), F.col("total_volume")), F.lit(0.0)), 1)
+    pct = places(F.coalesce(F.try_divide(F.col("short_volume") * F.lit(100.0), F.col("total_volume")), F.lit(0.0)), 1)
     return df.withColumn("short_pct", pct).withColumn("signal", F.when(F.col("short_pct") > 50, "high_short").otherwise("normal"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.maths import places
+
 #: The order priority whose orders stand for the second asset of the macro history.
 SECOND_ASSET = "1-URGENT"
 
@@ -55,9 +57,9 @@ def macro_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def macro_point(macro: DataFrame) -> DataFrame:
     """One row: the latest macro values, with defaults where there are none."""
     last = macro.agg(F.max_by("btc_above", "d").alias("btc_above"), F.max_by("vix", "d").alias("vix"), F.max_by("btc_close", "d").alias("btc_price"), F.max_by("btc_sma20", "d").alias("btc_sma20"))
-    return last.select(F.coalesce("btc_above", F.lit(False)).alias("btc_above"), *(F.round(F.coalesce(c, F.lit(0.0)), 2).alias(c) for c in ("vix", "btc_price", "btc_sma20")))
+    return last.select(F.coalesce("btc_above", F.lit(False)).alias("btc_above"), *(places(F.coalesce(c, F.lit(0.0)), 2).alias(c) for c in ("vix", "btc_price", "btc_sma20")))
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, ts, close, volume (1 per event)."""
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.round("value", 4).alias("close"), F.lit(1).cast("long").alias("volume"), "event_id").filter("close is not null")
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), places("value", 4).alias("close"), F.lit(1).cast("long").alias("volume"), "event_id").filter("close is not null")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.maths import places
 from barloom.operators.profile import bars_from_ticks
 
 
@@ -15,7 +16,7 @@ def bars(ticks: DataFrame, every: str = "1 hour", delay: str = "10 minutes") ->
 
 def volume_by_price(ticks: DataFrame, length: str = "30 minutes", slide: str = "1 minute", bucket: float = 0.10, delay: str = "10 minutes") -> DataFrame:
     """symbol, start, price, volume over sliding windows; the profile's peak is the row with the most volume."""
-    price = F.round(F.rint(F.col("close") / bucket) * bucket, 2)
+    price = places(F.rint(F.col("close") / bucket) * bucket, 2)
     by = ticks.withWatermark("ts", delay).groupBy("symbol", F.window("ts", length, slide).alias("w"), price.alias("price")).agg(F.sum("volume").alias("volume"))
     return by.select("symbol", F.col("w.start").alias("start"), "price", "volume")
 
