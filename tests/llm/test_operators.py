@@ -1,0 +1,217 @@
+"""Corpus operators against brute force on documents with nulls, blanks, repeated rows, copies and a long text."""
+
+import hashlib
+import re
+import zlib
+from itertools import combinations
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from barloom.llm import bpe, components, exact_dedup, jaccard_join, licenses, mixing, quality_classifier, quality_rules, registry, token_rollup, token_shards, tokens, url_filter
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def lower(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+
+
+def shingles(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def plain_components(rows):
+    sets, root = {r[0]: shingles(r[1]) for r in rows}, {r[0]: r[0] for r in rows}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b in combinations(sorted(sets), 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {k: (len(sets[k]), find(k)) for k in sets}
+
+
+def library_ids(t):
+    return tokens.tokenizer(tokens.default_path()).encode(t or "", add_special_tokens=False).ids
+
+
+def test_jaccard(docs, rows, empty):
+    want = plain_components(rows)
+    got = jaccard_join.jaccard_components(docs).collect()
+    assert len(got) == len(rows) and all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got)
+    assert len({want[k][1] for k in (3, 50, 51, 52, 53)}) == 1
+    assert jaccard_join.jaccard_components(empty).count() == 0
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(40, 41)], "a long, b long")
+    assert {r.node: r.component for r in components.connected_components(edges).collect()} == {**dict.fromkeys(range(21), 0), 40: 40, 41: 40}
+
+
+def test_exact_dedup(docs, rows, empty):
+    groups = {}
+    for r in rows:
+        groups.setdefault(lower(r[1]), []).append(r[0])
+    got = exact_dedup.exact_dedup(docs).collect()
+    assert len(got) == len(rows)
+    text = {r[0]: lower(r[1]) for r in rows}
+    for r in got:
+        g = groups[text[r.doc_id]]
+        assert (r.keep_id, r.group_size, r.text_sha256) == (max(g), len(g), hashlib.sha256(text[r.doc_id].encode()).hexdigest())
+    assert sum(r.kept for r in got) == len(groups)
+    assert sorted(r.doc_id for r in exact_dedup.keep_largest(docs).collect()) == sorted(max(g) for g in groups.values())
+    assert exact_dedup.exact_dedup(empty).count() == 0
+
+
+def test_bpe(docs, rows, empty):
+    tok = tokens.tokenizer(tokens.default_path())
+    want = sorted((r[0], (ids := library_ids(r[1])), tok.decode(ids, skip_special_tokens=False)) for r in rows)
+    coded = bpe.encode(docs)
+    assert sorted((r.doc_id, r.ids, r.decoded) for r in coded.collect()) == want
+    assert sorted((r.doc_id, r.decoded) for r in bpe.decode(coded.drop("decoded")).collect()) == sorted((d, t) for d, _, t in want)
+    assert bpe.encode(empty).count() == 0
+
+
+def test_shards(spark, docs, rows, empty, tmp_path):
+    token_shards.write_shards(docs, f"{tmp_path}/a", shard_ids=500)
+    got = token_shards.read_documents(spark, f"{tmp_path}/a").orderBy("start").collect()
+    at, want = 0, []
+    for r in sorted(rows, key=lambda r: r[0]):
+        ids = [*library_ids(r[1]), 2]
+        want.append((r[0], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert [tuple(r) for r in got] == want
+    token = library_ids("ta")[0]
+    every = sorted((r[0], k) for r in rows for k, x in enumerate(library_ids(r[1])) if x == token)
+    assert sorted((r.doc_id, r.position) for r in token_shards.token_occurrences(spark, f"{tmp_path}/a", token).collect()) == every
+    assert token_shards.token_counts(spark, f"{tmp_path}/a", token).agg(F.sum("occurrences")).first()[0] == len(every)
+    token_shards.write_shards(empty, f"{tmp_path}/b")
+    assert token_shards.read_documents(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_wavelet_matrix():
+    ids = np.random.default_rng(1).integers(0, 70, 3000)
+    m = token_shards.WaveletMatrix.from_bytes(token_shards.WaveletMatrix.build(ids).to_bytes())
+    assert m.to_ids().tolist() == ids.tolist()
+    assert [m.access(k) for k in (0, 511, 512, 2999)] == ids[[0, 511, 512, 2999]].tolist()
+    assert m.rank(7, 1500) == int((ids[:1500] == 7).sum())
+    where = np.flatnonzero(ids == 7).tolist()
+    assert [m.select(7, k) for k in range(len(where))] == where and m.select(7, len(where)) == -1
+
+
+def test_classifier(spark, docs, rows, empty):
+    labels = spark.createDataFrame([(r[0], int(r[0] % 2), 0) for r in rows if r[0] < 40] + [(None, 1, 0), (5, None, 0)], LABELS)
+    got = quality_classifier.quality_classifier(docs, labels).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    model = quality_classifier.train(empty, labels)
+    assert {r.score for r in quality_classifier.score(docs, model).collect()} == {0.0, 0.5}
+
+
+def test_classifier_accuracy_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = registry.QUERIES["op9_quality_classifier"](spark, sf).filter("held_out").join(labels, "doc_id").collect()
+    assert np.mean([r.predicted == r.quality for r in got]) > 0.9
+
+
+def test_rules_of_urls(spark):
+    urls = ["http://a.example.com/en/7/x", "HTTP://Example.COM/en/8?q", "https://b.net/de/9#f", "https://example.net/de/8", "ftp://org/es/", "http://xorg/es/", "nothing", None, "://com/en/", "http://example.com"]
+    pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)], "page_id long, url string, host string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_verdicts(pages, url_filter.rules_frame(spark)).collect()}
+    assert got[0] == ("a.example.com", "/en/7/x", "example.com/en/7", "allow") and got[1] == ("example.com", "/en/8", "com/en/", "block")
+    assert got[2][2:] == ("net/de/", "allow") and got[3][2:] == ("example.net/de/8", "block") and got[4][2:] == ("org/es/", "block")
+    assert got[5][2:] == (None, "allow") and got[6] == got[7] == ("", "", None, "allow") and got[8][2:] == ("com/en/", "block") and got[9] == ("example.com", "", None, "allow")
+    assert url_filter.url_verdicts(pages.limit(0), url_filter.rules_frame(spark)).count() == 0
+
+
+def test_licences(spark):
+    mit = licenses.KNOWN["MIT"]
+    texts = [mit, "Copyright (c) 2020 Ann\n\n" + mit.upper().replace(",", " ;"), mit + " more", "", None, licenses.KNOWN["notice-MIT"].replace("License", "licence")]
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, license_id string")
+    got = {r.doc_id: r.license_id for r in licenses.license_scan(df, licenses.known_licences(spark)).collect()}
+    assert got == {0: "MIT", 1: "MIT", 2: None, 3: None, 4: None, 5: "notice-MIT"}
+
+
+def test_rollup(spark, tmp_path):
+    kinds = "kind string, source string, lang string, tokenizer string, tokens long, old_tokens long"
+    rollup = token_rollup.TokenRollup(spark, str(tmp_path))
+    first = spark.createDataFrame([("insert", "a", "en", "t", 10, None), ("insert", None, "en", "t", None, None)], kinds)
+    second = spark.createDataFrame([("revise", "a", "en", "t", 7, 10), ("delete", None, "en", "t", 0, None)], kinds)
+    assert rollup.commit("1", first) and rollup.commit("2", second) and not rollup.commit("1", first)
+    assert {(r.source, r.documents, r.tokens) for r in rollup.totals(["1", "2", "2", "3"]).collect()} == {("a", 1, 7), (None, 0, 0)}
+    assert rollup.compact(["1", "2"], "c") and {tuple(r) for r in rollup.totals(["c"]).collect()} == {("a", "en", "t", 1, 7)}
+    with pytest.raises(Exception, match="unknown kind"):
+        rollup.commit("4", spark.createDataFrame([("other", "a", "en", "t", 1, None)], kinds))
+
+
+def test_mix_deviates_by_less_than_a_block(spark, docs, rows, empty):
+    targets = spark.createDataFrame([("s0", 5), ("s1", 3), ("s2", 1)], "source string, share long")
+    plan = mixing.period_schedule(targets).collect()
+    for r in plan:
+        assert r.turn * r.period // r.share <= r.slot < -(-(r.turn + 1) * r.period // r.share)
+    assert sorted(r.slot for r in plan) == list(range(9))
+    placed = mixing.placed(docs, mixing.square_root_targets(docs), 4)
+    assert placed.count() == len(rows) and placed.select("slot", "place").distinct().count() == len(rows)
+    assert mixing.placed(empty, mixing.square_root_targets(empty)).count() == 0
+
+
+def _equal_to_sql(spark, folder, name):
+    db = duckdb.connect()
+    for t in ("documents", "labels"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    told = db.execute(registry.ORACLE_SQL[name])
+    names = [c[0] for c in told.description]
+    plain = lambda v: round(v, 9) if isinstance(v, float) else v
+    want = sorted((tuple(map(plain, r)) for r in told.fetchall()), key=str)
+    assert sorted((tuple(plain(r[c]) for c in names) for r in registry.QUERIES[name](spark, folder).collect()), key=str) == want
+
+
+@pytest.fixture(scope="session")
+def folder(spark, docs, rows, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("tables"))
+    docs.coalesce(1).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(r[0], int(r[0] % 4 != 1), 0) for r in rows if r[0] < 30], LABELS).coalesce(1).write.parquet(f"{at}/labels.parquet")
+    return at
+
+
+@pytest.mark.parametrize("name", ["op1_license_scan", "op2_token_counts", "op3_quality_rules", "op7_mixing"])
+def test_equals_sql(spark, folder, name):
+    _equal_to_sql(spark, folder, name)
+
+
+def test_rules_of_nothing(empty, spark):
+    assert quality_rules.quality_rules(empty, spark.createDataFrame([], "doc_id long")).count() == 0
+
+
+def test_pipeline(spark, folder, rows):
+    """The stages' plain versions, one after the other; the mix's order from its own operator, which SQL checks above."""
+    import corpus_pipeline
+
+    good = {r.doc_id for r in registry.QUERIES["op3_quality_rules"](spark, folder).filter("kept").collect()}
+    left = [r for r in rows if r[0] in good]
+    best = {}
+    for r in left:
+        best[lower(r[1])] = max(best.get(lower(r[1]), r), r, key=lambda x: x[0])
+    left = list(best.values())
+    roots = plain_components(left)
+    left = [r for r in left if roots[r[0]][1] == r[0]]
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    order = [r.doc_id for r in mixing.mixed(spark.createDataFrame(left, names)).collect()]
+    got = corpus_pipeline.run(spark, folder).collect()
+    text = {r[0]: r[1] for r in left}
+    tok = tokens.tokenizer(tokens.default_path())
+    assert [r.doc_id for r in got] == order and [r.position for r in got] == list(range(len(order)))
+    for r in got:
+        ids = library_ids(text[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
