@@ -19,12 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Shares that the targets are rounded to; a period has at most PERIOD slots and one per source.
+from barloom.llm.common import let
+
+#: Shares that square_root_targets are rounded to; their period has at most PERIOD slots and one per source.
 PERIOD = 1000
 #: Documents in a block.
 BLOCK_DOCS = 32
 #: doc_ids that are ranked together, so that no source is ranked in one task.
 RANGE = 4096
+#: Slots of a schedule that are listed together.
+STRETCH = 1024
 
 
 def _key(source: Column) -> Column:
@@ -32,63 +36,95 @@ def _key(source: Column) -> Column:
 
 
 def square_root_targets(docs: DataFrame) -> DataFrame:
-    """source, share: in proportion to the (whole) square root of each source's number of documents."""
+    """source, share: in proportion to the (whole) square root of each source's number of documents, rounded as OP7_SQL does.
+
+    With so many sources that a root is a small part of PERIOD, rounding moves the shares; root_targets keep them.
+    """
     roots = docs.groupBy("source").agg(F.floor(F.sqrt(F.count("*"))).cast("long").alias("root"))
     total = F.sum("root").over(Window.partitionBy())
     return roots.select("source", F.greatest(F.lit(1).cast("long"), F.expr(f"{PERIOD} * root div 1")).alias("share"), total.alias("total")).select("source", F.greatest(F.lit(1).cast("long"), F.expr("share div total")).alias("share"))
 
 
+def root_targets(docs: DataFrame) -> DataFrame:
+    """source, share: the whole square root of each source's number of documents, not rounded to shares of PERIOD."""
+    return docs.groupBy("source").agg(F.floor(F.sqrt(F.count("*"))).cast("long").alias("share"))
+
+
+def _shares(targets: DataFrame) -> DataFrame:
+    """key, share, period: a row for each source; the period is the sum of all shares."""
+    all_of = targets.groupBy(_key(F.col("source")).alias("key")).agg(F.greatest(F.max("share"), F.lit(1)).cast("long").alias("share"))
+    return all_of.withColumn("period", all_of.agg(F.sum("share")).scalar())
+
+
 def period_schedule(targets: DataFrame) -> DataFrame:
     """key, turn, slot, share, period: where in a period a source's turn-th block (from 0) goes.
 
-    Earliest deadline first over one period, as a fold over its slots: as much work as slots times sources.
+    Earliest deadline first over one period. Sources with equal shares have the same releases and deadlines and
+    take turns by key, so the fold over the slots has one state for each distinct share, fewer than sqrt(2 * period):
+    as much work as slots times distinct shares. Its row holds one number for each source and slot.
     """
-    all_of = targets.groupBy(_key(F.col("source")).alias("key")).agg(F.greatest(F.max("share"), F.lit(1)).cast("long").alias("share"))
-    one = all_of.agg(F.sort_array(F.collect_list(F.struct("key", "share"))).alias("all"), F.sum("share").alias("period"))
+    ranked = _shares(targets).withColumn("rank", F.row_number().over(Window.orderBy("key")))
+    classes = ranked.groupBy("share").agg(F.first("period").alias("period"), F.sort_array(F.collect_list("rank")).alias("ranks"))
+    one = classes.agg(F.sort_array(F.collect_list(F.struct("share", "ranks"))).alias("all"), F.first("period").alias("period")).filter("period > 0")
+
+    def block(c: Column, turn: Column, member: Column) -> Column:
+        # the next block of the c-th share; those with the earliest deadline, then the smallest key come first
+        s = F.get("all", c)
+        return F.struct(
+            F.ceil((turn + 1) * F.col("period") / s["share"]).alias("deadline"),
+            F.get(s["ranks"], member).alias("rank"),
+            F.floor(turn * F.col("period") / s["share"]).alias("release"),
+            c.alias("c"),
+            turn.alias("turn"),
+            member.alias("member"),
+        )
+
+    def after(x: Column) -> Column:
+        last = x["member"] + 1 == F.size(F.get("all", x["c"])["ranks"])
+        return block(x["c"], F.when(last, x["turn"] + 1).otherwise(x["turn"]), F.when(last, 0).otherwise(x["member"] + 1))
 
     def step(state: Column, t: Column) -> Column:
-        # (deadline, source) of the next block of every source that has one released
-        due = F.transform(
-            "all",
-            lambda s, i: F.when(
-                (F.get(state["done"], i) < s["share"]) & (F.floor(F.get(state["done"], i) * F.col("period") / s["share"]) <= t),
-                F.struct(F.ceil((F.get(state["done"], i) + 1) * F.col("period") / s["share"]).alias("deadline"), i.alias("i")),
-            ),
-        )
-        first = F.array_min(due)
-        return F.struct(F.transform(state["done"], lambda d, i: d + (i == first["i"]).cast("long")).alias("done"), F.concat(state["slots"], F.array(first["i"])).alias("slots"))
+        first = F.array_min(F.filter(state["due"], lambda x: x["release"] <= t))
+        taken = lambda f: F.struct(F.transform(state["due"], lambda x: F.when(x["c"] == f["c"], after(x)).otherwise(x)).alias("due"), F.concat(state["slots"], F.array(f["rank"])).alias("slots"))
+        return let(first, taken)
+
+    def stretch(state: Column, t: Column) -> Column:
+        # STRETCH slots in a list of their own, as a list is copied for each slot
+        own = F.struct(state["due"].alias("due"), F.array().cast("array<int>").alias("slots"))
+        upto = F.least(t + STRETCH, F.col("period")) - 1
+        return let(F.aggregate(F.sequence(t, upto), own, step), lambda s: F.struct(s["due"].alias("due"), F.concat(state["slots"], F.array(s["slots"])).alias("slots")))
 
-    start = F.struct(F.transform("all", lambda s: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("slots"))
-    slots = one.filter("period > 0").select("all", "period", F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("period") - 1), start, step, lambda s: s["slots"]).alias("slots"))
-    each = slots.select("period", "all", F.posexplode("slots").alias("slot", "i")).select("period", F.get("all", F.col("i")).alias("s"), F.col("slot").cast("long").alias("slot"))
-    turn = F.row_number().over(Window.partitionBy("s.key").orderBy("slot")) - 1
-    return each.select(F.col("s.key").alias("key"), turn.cast("long").alias("turn"), "slot", F.col("s.share").alias("share"), "period")
+    start = F.struct(F.transform("all", lambda s, c: block(c, F.lit(0).cast("long"), F.lit(0))).alias("due"), F.array().cast("array<array<int>>").alias("slots"))
+    starts = F.sequence(F.lit(0).cast("long"), F.col("period") - 1, F.lit(STRETCH).cast("long"))
+    slots = one.select(F.posexplode(F.aggregate(starts, start, stretch, lambda s: F.flatten(s["slots"]))).alias("slot", "rank"))
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("slot")) - 1
+    return slots.join(ranked, "rank").select("key", turn.cast("long").alias("turn"), F.col("slot").cast("long").alias("slot"), "share", "period")
 
 
 def placed(docs: DataFrame, targets: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """docs with columns block, release, deadline, slot, place: its source's block number, and where it goes."""
-    plan = period_schedule(targets)
     keyed = docs.withColumn("_key", _key(F.col("source"))).withColumn("_range", F.expr(f"coalesce(doc_id div {RANGE}, -1152921504606846976)"))
-    before = keyed.groupBy("_key", "_range").agg(F.count("*").alias("n"))
-    before = before.select("_key", "_range", (F.sum("n").over(Window.partitionBy("_key").orderBy("_range")) - F.col("n")).alias("_before"))
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_key", "_range").orderBy("doc_id")) - 1).join(before, ["_key", "_range"])
-    blocks = ranked.withColumn("_at", F.col("_rank") + F.col("_before")).withColumn("block", F.expr(f"_at div {block_docs}")).withColumn("place", F.expr(f"_at % {block_docs}"))
-    # at most PERIOD rows and one per source, whatever the number of documents
-    shares = plan.select(F.col("key").alias("_key"), "share", "period").distinct()
-    turns = plan.select(F.col("key").alias("_key"), F.col("turn").alias("_turn"), F.col("slot").alias("_slot"))
-    met = blocks.join(F.broadcast(shares), "_key").withColumn("_turn", F.expr("block % share")).join(F.broadcast(turns), ["_key", "_turn"])
+    sizes = keyed.groupBy("_key", "_range").agg(F.count("*").alias("n"))
+    shares = _shares(targets).withColumnRenamed("key", "_key")
+    turns = period_schedule(targets).select(F.col("key").alias("_key"), F.col("turn").alias("_turn"), F.col("slot").alias("_slot"))
+    before = sizes.select("_key", "_range", "n", (F.sum("n").over(Window.partitionBy("_key").orderBy("_range")) - F.col("n")).alias("_before")).join(shares, "_key")
+    # a row for each block of a range, not for its documents; then the range's slots in the order of its blocks
+    numbers = before.withColumn("_block", F.explode(F.expr(f"sequence(_before div {block_docs}, (_before + n - 1) div {block_docs})"))).withColumn("_turn", F.expr("_block % share"))
+    slots = numbers.join(turns, ["_key", "_turn"]).groupBy("_key", "_range", "_before", "share", "period").agg(F.sort_array(F.collect_list(F.expr("_block div share * period + _slot"))).alias("_slots"))
+    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_key", "_range").orderBy("doc_id")) - 1).join(slots, ["_key", "_range"])
+    met = ranked.withColumn("_at", F.col("_rank") + F.col("_before")).withColumn("block", F.expr(f"_at div {block_docs}")).withColumn("place", F.expr(f"_at % {block_docs}")).withColumn("_turn", F.expr("block % share"))
     round_ = F.expr("block div share") * F.col("period")
     return met.select(
         *docs.columns,
         "block",
         (round_ + F.floor(F.col("_turn") * F.col("period") / F.col("share"))).alias("release"),
         (round_ + F.ceil((F.col("_turn") + 1) * F.col("period") / F.col("share"))).alias("deadline"),
-        (round_ + F.col("_slot")).alias("slot"),
+        F.expr(f"get(_slots, int(block - _before div {block_docs}))").alias("slot"),
         F.col("place").cast("long").alias("place"),
     )
 
 
 def mixed(docs: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """The rows of docs in the order of the mix."""
-    at = placed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source"), targets or square_root_targets(docs))
+    """The rows of docs in the order of the mix, by default to root_targets."""
+    at = placed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source"), root_targets(docs) if targets is None else targets)
     return at.orderBy("slot", "place").select("_row.*")

@@ -165,6 +165,14 @@ def test_mix_deviates_by_less_than_a_block(spark, docs, rows, empty):
     assert mixing.placed(empty, mixing.square_root_targets(empty)).count() == 0
 
 
+def test_mix_keeps_a_hot_source_beside_thousands(spark):
+    # roots 100 and 2000 times 2: all small sources have their one block in the first half of a period of 4100 slots
+    rows = [(k, "hot") for k in range(10000)] + [(10000 + k, f"s{k % 2000}") for k in range(8000)]
+    order = [r.source for r in mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string")).collect()]
+    last = max(k for k, s in enumerate(order) if s != "hot")
+    assert len(order) == len(rows) and abs(order[:last].count("hot") - 50 * mixing.BLOCK_DOCS) <= 2 * mixing.BLOCK_DOCS
+
+
 def _equal_to_sql(spark, folder, name):
     db = duckdb.connect()
     for t in ("documents", "labels"):
