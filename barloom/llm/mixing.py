@@ -105,6 +105,7 @@ def placed(docs: DataFrame, targets: DataFrame, block_docs: int = BLOCK_DOCS) ->
     """docs with columns block, release, deadline, slot, place: its source's block number, and where it goes."""
     keyed = docs.withColumn("_key", _key(F.col("source"))).withColumn("_range", F.expr(f"coalesce(doc_id div {RANGE}, -1152921504606846976)"))
     sizes = keyed.groupBy("_key", "_range").agg(F.count("*").alias("n"))
+    targets = targets.select("source", "share").union(sizes.select("_key", F.lit(1).cast("long")).distinct())
     shares = _shares(targets).withColumnRenamed("key", "_key")
     turns = period_schedule(targets).select(F.col("key").alias("_key"), F.col("turn").alias("_turn"), F.col("slot").alias("_slot"))
     before = sizes.select("_key", "_range", "n", (F.sum("n").over(Window.partitionBy("_key").orderBy("_range")) - F.col("n")).alias("_before")).join(shares, "_key")

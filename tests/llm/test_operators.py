@@ -173,6 +173,16 @@ def test_mix_keeps_a_hot_source_beside_thousands(spark):
     assert len(order) == len(rows) and abs(order[:last].count("hot") - 50 * mixing.BLOCK_DOCS) <= 2 * mixing.BLOCK_DOCS
 
 
+def test_mix_of_sources_without_targets(spark, docs, rows):
+    targets = spark.createDataFrame([("s0", 3), ("unused", 2)], "source string, share long")
+    placed = mixing.placed(docs, targets, 4).collect()
+    assert sorted(str(r.doc_id) for r in placed) == sorted(str(r[0]) for r in rows) and len({(r.slot, r.place) for r in placed}) == len(rows)
+    others = {r.source: [x for x in placed if x.source == r.source] for r in placed if r.source != "s0"}
+    period = 3 + 2 + len(others)
+    assert {(r.release, r.deadline) for x in others.values() for r in x} == {(r.block * period, (r.block + 1) * period) for x in others.values() for r in x}
+    assert sorted(str(r.doc_id) for r in mixing.mixed(docs, targets).collect()) == sorted(str(r[0]) for r in rows)
+
+
 def _equal_to_sql(spark, folder, name):
     db = duckdb.connect()
     for t in ("documents", "labels"):
