@@ -1,8 +1,8 @@
 """Licence scans by canonical digests.
 
-A text is brought to a canonical form: lower case, without copyright lines, one spelling for words that
-licences spell in several ways, punctuation and white space as single spaces. Texts whose canonical forms'
-SHA-256 equals that of a known licence are that licence, entirely. Only digests meet in the join.
+A text is brought to a canonical form: lower case, without copyright lines and the usual title of a short
+licence in front, one spelling for words that licences spell in several ways, punctuation and white space as single spaces. Texts whose canonical forms'
+SHA-256 equals that of a known licence are that licence, entirely; one that names its holder in a clause, or is worded otherwise, isn't. Only digests meet in the join.
 
 Defined results: null text is an empty text; texts without a letter or digit have the digest of the empty
 form and match nothing; licences with equal canonical forms are one, named by the smallest id; repeated rows
@@ -11,13 +11,15 @@ each get a row; only doc_id and text are read, so other columns may have any nam
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.common import lower_ascii
 
 # Patterns that Java's and DuckDB's engines read alike; lines end at \n alone.
-COPYRIGHT_LINE = r"^[^a-z0-9\n]*(?:copyright[ \t:]*(?:\(c\)|\x{a9}|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|\x{a9}[ \t]*[0-9]{4}|all rights reserved)[^\n]*"
+COPYRIGHT_LINE = r"^[^a-z0-9\n]*(?:copyright[ \t:]*(?:\(c\)|\x{a9}|[0-9]{4}|\[yyyy\])|copyright[ \t:]+[^0-9\n]{1,80}[ \t,(][0-9]{4}[^a-z\n]*(?:all rights reserved[^\n]*)?$|\(c\)[ \t]*[0-9]{4}|\x{a9}[ \t]*[0-9]{4}|all rights reserved)[^\n]*"
 MARKS = r"[\x00-/:-@\[-`{-\x7f\x{a0}\x{a9}\x{ab}\x{bb}\x{2000}-\x{206f}\x{3000}]+"
 #: British and American spellings, and what licences use in place of each other; each at a word's end.
 SPELLINGS = (
@@ -29,9 +31,11 @@ SPELLINGS = (
     (r" copyright owner(s|) ", r" copyright holder\1 "),
     (r" per cent ", r" percent "),
     (r" https? ", r" http "),
+    # titles, which such licences go with or without
+    (r"^ (?:the )?(?:(?:mit|isc|zlib(?: libpng)?) license(?: mit| isc| zlib)?|(?:zero clause bsd|bsd zero clause|(?:(?:new|simplified|revised) )?bsd [23] clause(?: (?:new|simplified|revised))?) license|unlicense) ", r" "),
 )
 
-#: Texts of short licences, without their copyright lines.
+#: Texts of short licences, without their titles and copyright lines.
 KNOWN = {
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
@@ -42,6 +46,8 @@ KNOWN = {
     "notice-CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "notice-GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
 }
+#: Longer ones, in files named by their ids.
+KNOWN |= {f.stem: f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
 
 
 def canonical(text: Column) -> Column:

@@ -142,6 +142,35 @@ def test_licences(spark):
     assert got == {0: "MIT", 1: "MIT", 2: None, 3: None, 4: None, 5: "notice-MIT"}
 
 
+def test_licence_files(spark):
+    """Whole files: titled, with copyright lines in several forms, wrapped otherwise; and texts that only resemble them."""
+    known, holder = licenses.KNOWN, "Copyright Ann Bee 2020, 2021. All rights reserved.\n\n"
+    files = {
+        "MIT": "MIT License\n\nCopyright (c) 2020 X\n\n" + known["MIT"],
+        "MIT ": "The MIT License (MIT)\n\nCopyright Ann Bee 2020\n\n" + known["MIT"],
+        "ISC": "ISC License\n\n" + holder + known["ISC"],
+        "Zlib": "zlib License\n\n(C) 1999 X\n\n" + known["Zlib"],
+        "0BSD": "BSD Zero Clause License\n\nCopyright (C) 2020 X\n\n" + known["0BSD"],
+        "BSD-2-Clause": "BSD 2-Clause License\n\n" + holder + known["BSD-2-Clause"],
+        "BSD-3-Clause": "Copyright 2020 X\nAll rights reserved.\n\n" + " ".join(known["BSD-3-Clause"].split()),
+        "Apache-2.0": known["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 X"),
+        **{k: known[k] for k in ("Unlicense", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0")},
+    }
+    others = ["MIT License", "Copyright law changed much in 1976, as all know\n" + known["MIT"], known["MIT"] + "\nMIT License"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*files.values(), *others])], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.license_scan(df, licenses.known_licences(spark)).collect()}
+    assert [got[k] for k in range(len(got))] == [k.strip() for k in files] + [None] * len(others)
+
+
+def test_licence_files_equal_sql(spark, tmp_path):
+    known = licenses.KNOWN
+    texts = ["MIT License\n\nCopyright Ann 2020\n\n" + known["MIT"], "Copyright Ann, 2020. All rights reserved\n" + known["BSD-2-Clause"], *(known[k] for k in sorted(known))]
+    at = str(tmp_path)
+    for name, rows, kind in (("documents", list(enumerate(texts)), "doc_id long, text string"), ("labels", [], LABELS)):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{at}/{name}.parquet")
+    _equal_to_sql(spark, at, "op1_license_scan")
+
+
 def test_rollup(spark, tmp_path):
     kinds = "kind string, source string, lang string, tokenizer string, tokens long, old_tokens long"
     rollup = token_rollup.TokenRollup(spark, str(tmp_path))
