@@ -96,7 +96,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_largest(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all columns; rows with one doc_id and equal texts become one of them."""
-    stay = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_stay_id"))
-    left = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay_id")), "left_semi")
-    digest = F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256)
-    return left.withColumn("_digest", digest).dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    stay = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_stay_id"), F.col("text_sha256").alias("_stay_digest"))
+    told = docs.withColumn("_digest", F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256))
+    # by text too: a doc_id may have several, of which only some stay
+    left = told.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay_id")) & (F.col("_digest") == F.col("_stay_digest")), "left_semi")
+    return left.dropDuplicates(["doc_id", "_digest"]).drop("_digest")

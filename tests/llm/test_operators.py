@@ -71,6 +71,12 @@ def test_exact_dedup(docs, rows, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_exact_dedup_of_repeated_ids(spark):
+    rows = [(5, "a"), (5, "b"), (9, "B"), (None, "c"), (None, "d"), (7, "D"), (None, None), (None, "")]
+    got = exact_dedup.keep_largest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in got) == [("5", "a"), ("7", "D"), ("9", "B"), ("None", ""), ("None", "c")]
+
+
 def test_bpe(docs, rows, empty):
     tok = tokens.tokenizer(tokens.default_path())
     want = sorted((r[0], (ids := library_ids(r[1])), tok.decode(ids, skip_special_tokens=False)) for r in rows)
