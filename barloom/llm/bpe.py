@@ -5,8 +5,9 @@ The tokenizer works on words, so a text's ids are those of its words in order. T
 1. Word counts find the most frequent stems; their ids form a table of bounded size that every task holds.
 2. All other stems of a block of texts become rows (block, stem). Sorted by stem, each distinct stem is
    encoded once, and its ids go back to the blocks that asked.
-3. Texts and the answers for their block meet by block; every word takes its ids at its position. Each id
-   then takes its piece from the id-to-piece table, and pieces joined by spaces are the decoded text.
+3. Texts and the answers for their block meet by block; every word takes its ids at its position. Each id of
+   the finished lists then takes its piece from the id-to-piece table, and pieces joined by spaces are the
+   decoded text.
 
 Texts are shuffled once, compressed. Blocks hold about BLOCK_BYTES of text, whatever the input's size.
 
@@ -24,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,7 +95,7 @@ class _Hot:
     def __init__(self, stems: list[bytes], ids: list[bytes]):
         self.ids = dict(zip(stems, ids, strict=True))
         self.words: set[bytes] = set()
-        self.pairs: dict[bytes, tuple[bytes, bytes]] = {}
+        self.spelt: dict[bytes, bytes] = {}
 
     def missing(self, words: set[bytes]) -> set[bytes]:
         """Stems and tails of words that aren't among the frequent ones."""
@@ -147,40 +149,48 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @lru_cache(maxsize=2)
-def _pieces(path: str) -> list[bytes]:
+def _pieces(path: str) -> pa.Array:
     tok = tokenizer(path)
-    return [(tok.id_to_token(k) or "").encode() for k in range(tok.get_vocab_size())]
+    return pa.array([tok.id_to_token(k) or "" for k in range(tok.get_vocab_size())], pa.large_string())
+
+
+def _decoded(lists: pa.Array, pieces: pa.Array) -> pa.Array:
+    """For each list of ids their pieces, joined by spaces; null for null, nothing for unknown ids."""
+    flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(pieces))), False)
+    if pc.all(known).as_py() is False:
+        ends = np.concatenate([[0], np.cumsum(known.to_numpy(zero_copy_only=False))])[ends]
+        flat = flat.filter(known)
+    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pieces.take(flat)), pa.scalar(" ", pa.large_string()))
+    return pc.if_else(lists.is_valid(), joined, pa.scalar(None, pa.large_string())).cast(pa.string())
 
 
 def _assembled(shared, path: str):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        hot, pieces, unpack = _hot(shared), _pieces(path), zstandard.ZstdDecompressor()
+        hot, unpack = _hot(shared), zstandard.ZstdDecompressor()
         hot.words.clear()
         own = dict(zip(answers.column("stem").to_pylist(), answers.column("ids").to_pylist(), strict=True))
-        known = dict(hot.pairs)
+        known = dict(hot.spelt)
 
-        def look_up(w: bytes) -> tuple[bytes, bytes]:
+        def look_up(w: bytes) -> bytes:
             parts = [p for p in parts_of(w) if p]
             frequent = all(p in hot.ids for p in parts)
-            ids = b"".join([hot.ids[p] if p in hot.ids else own[p] for p in parts])
-            known[w] = out = (ids, b" ".join([pieces[k] for k in memoryview(ids).cast("H")]))
-            if frequent and len(hot.pairs) < hot.MOST:
-                hot.pairs[w] = out
+            known[w] = out = b"".join([hot.ids[p] if p in hot.ids else own[p] for p in parts])
+            if frequent and len(hot.spelt) < hot.MOST:
+                hot.spelt[w] = out
             return out
 
-        docs, ids, sizes, decoded = [], [], [], []
+        docs, ids, sizes = [], [], []
         for r in texts.to_pylist():
             view, at = unpack.decompress(r["frame"]) if r["frame"] else b"", 0
             docs += r["docs"]
             for n in r["sizes"]:
                 words = view[at : at + n].split()
                 at += n
-                pairs = [known.get(w) or look_up(w) for w in words]
-                ids.append(b"".join([p[0] for p in pairs]))
+                ids.append(b"".join([known[w] if w in known else look_up(w) for w in words]))
                 sizes.append(len(ids[-1]) // 2)
-                decoded.append(b" ".join([p[1] for p in pairs if p[1]]))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u2").astype(np.int32)))
-        return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": lists, "decoded": pa.array(decoded, pa.binary()).cast(pa.string())})
+        return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": lists, "decoded": _decoded(lists, _pieces(path))})
 
     return run
 
@@ -215,10 +225,8 @@ def decode(encoded: DataFrame, tokenizer_path: str | None = None, ids: str = "id
     path = tokenizer_path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _pieces(path)
         for b in batches:
-            texts = [None if x is None else b" ".join(table[k] for k in x if k is not None and 0 <= k < len(table)).decode() for x in b.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, _decoded(b.column(ids), _pieces(path))], [*b.schema.names, "decoded"])
 
     kept = encoded.drop("decoded")
     return kept.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, decoded string")

@@ -4,10 +4,13 @@ import hashlib
 import re
 import zlib
 from itertools import combinations
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from barloom.llm import bpe, components, exact_dedup, jaccard_join, licenses, mixing, quality_classifier, quality_rules, registry, token_rollup, token_shards, tokens, url_filter
@@ -86,6 +89,27 @@ def test_bpe(docs, rows, empty):
     assert bpe.encode(empty).count() == 0
 
 
+def test_decoded_text_is_that_of_the_emitted_ids(monkeypatch):
+    """Lists that go wrong as they are put together show in the decoded text."""
+    path, text = tokens.default_path(), b"Ta mi so, la."
+    stems = sorted({p for w in text.split() for p in tokens.parts_of(w) if p})
+    told = {"key": "test", "stems": stems, "ids": [tokens.encoder(path).part(p) for p in stems]}
+    texts = pa.table({"docs": [[1]], "sizes": [[len(text)]], "frame": [zstandard.compress(text)]})
+    answers = pa.table({"stem": pa.array([], pa.binary()), "ids": pa.array([], pa.binary())})
+    whole = np.frombuffer
+    monkeypatch.setattr(bpe.np, "frombuffer", lambda *a, **k: whole(*a, **k)[::-1])
+    got = bpe._assembled(SimpleNamespace(value=told), path)(texts, answers).to_pylist()[0]
+    assert got["ids"] == library_ids(text.decode())[::-1]
+    assert got["decoded"] == tokens.tokenizer(path).decode(got["ids"], skip_special_tokens=False)
+
+
+def test_decode_of_nulls_and_unknown_ids(spark):
+    rows = [(1, None), (2, []), (3, [5, None, -1, 10**9, 6]), (4, [7])]
+    got = {r.doc_id: r.decoded for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>").coalesce(1)).collect()}
+    tok = tokens.tokenizer(tokens.default_path())
+    assert got == {1: None, 2: "", 3: f"{tok.id_to_token(5)} {tok.id_to_token(6)}", 4: tok.id_to_token(7)}
+
+
 def test_shards(spark, docs, rows, empty, tmp_path):
     token_shards.write_shards(docs, f"{tmp_path}/a", shard_ids=500)
     got = token_shards.read_documents(spark, f"{tmp_path}/a").orderBy("start").collect()
