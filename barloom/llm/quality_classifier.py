@@ -18,15 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import mix64, text_bytes, word_hashes, word_spans
 
 #: Words in a passage.
 PASSAGE = 48
-#: Labelled documents that the model is fitted on, at most, and passages of each, at most.
-SAMPLE_DOCS, SAMPLE_PASSAGES = 3000, 48
+#: Labelled documents that the model is fitted on, at most, each with all its passages.
+SAMPLE_DOCS = 3000
+#: Bytes of text after which the sample takes no further document: some 100,000 passages of prose, 50 MB of features.
+SAMPLE_BYTES = 32 << 20
 FOLDS, CUT = 5, 0.3
 HIDDEN, ATTENTION, EPOCHS, RATE, DECAY, SEED = 24, 12, 30, 0.01, 1e-4, 7
 #: Bytes of text whose features are worked out at once.
@@ -94,10 +96,7 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         blobs = []
         for first, last, x, before in _slices(b):
             for k in range(last - first):
-                rows = x[before[k] : before[k + 1]]
-                if len(rows) > SAMPLE_PASSAGES:
-                    rows = rows[np.linspace(0, len(rows) - 1, SAMPLE_PASSAGES).astype(int)]
-                blobs.append(rows.astype(np.float16).tobytes())
+                blobs.append(x[before[k] : before[k + 1]].astype(np.float16).tobytes())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(blobs, pa.binary())], ["doc_id", "quality", "features"])
 
 
@@ -170,7 +169,11 @@ def train(docs: DataFrame, labels: DataFrame) -> AttentionModel:
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE_DOCS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")), "doc_id")
-    told = rows.mapInArrow(_sample_features, "doc_id long, quality int, features binary").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    # whole documents in the sample's order, until the bytes are used up
+    sizes = rows.groupBy("doc_id", "quality").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    earlier = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").rowsBetween(Window.unboundedPreceding, -1)
+    within = sizes.withColumn("before", F.coalesce(F.sum("bytes").over(earlier), F.lit(0))).filter(F.col("before") < SAMPLE_BYTES).select("doc_id", "quality")
+    told = rows.join(F.broadcast(within), ["doc_id", "quality"]).select("doc_id", "text", "quality").mapInArrow(_sample_features, "doc_id long, quality int, features binary").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     bags = [np.frombuffer(f, np.float16).reshape(-1, FEATURES) for f in told.column("features").to_pylist()]
     y = np.array(told.column("quality").to_pylist(), np.float32)
     some = [k for k, b in enumerate(bags) if len(b)]

@@ -147,6 +147,18 @@ def test_classifier(spark, docs, rows, empty):
     assert {r.score for r in quality_classifier.score(docs, model).collect()} == {0.0, 0.5}
 
 
+def test_classifier_trains_on_every_passage(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_classifier.AttentionModel, "fit", lambda self, bags, y: seen.append(sorted(map(len, bags))))
+    ids = [k for k in range(30) if zlib.crc32(str(k).encode()) % 5][:3]
+    texts = spark.createDataFrame(list(zip(ids, ["a b " * 48 * 100, "c d", "e f " * 48], strict=True)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, n % 2, 0) for n, k in enumerate(ids)], LABELS)
+    quality_classifier.train(texts, labels)
+    monkeypatch.setattr(quality_classifier, "SAMPLE_BYTES", 1 << 30)
+    quality_classifier.train(texts, labels)
+    assert seen == [[1, 2, 200]] * 2
+
+
 def test_classifier_accuracy_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
