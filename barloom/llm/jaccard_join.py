@@ -6,11 +6,12 @@ sets' prefixes (the first n - ceil(t * n) + 1 tokens of a set in a fixed order),
 finds them all; tokens that many sets have come last in the order. Work is saved by relations between sets:
 
 - Equal sets are one class; a class takes part once.
-- Index-level skipping. A list of the index is in blocks by position and size, and pairs of entries whose
-  positions leave too little room for the overlap they need are never formed.
+- Index-level skipping. Pairs of entries whose sizes or positions leave too little room for the overlap they
+  need are dropped after the join on the token: lists aren't in blocks, so all pairs of a list across
+  components are enumerated first.
 - Answer-level skipping. Each list's sets first meet the list's pivot and their neighbour only: as many pairs
-  as entries. Sets that link get one component, and what a component's sets have in common with others is
-  answered for all of them: only pairs across components are left, and of those only pairs which their
+  as entries. Sets that link get one component: only pairs across components are left, each tested from its
+  own sets (no overlap is derived from that of a similar set), and of those only pairs which their
   overlaps with a common pivot leave possible, since |A & B| <= min(|A & P|, |B & P|) + min(|A - P|, |B - P|).
 
 Pairs are tested by parity sketches first (which never reject a link), then by the sets themselves.
