@@ -1,25 +1,29 @@
 """Exact self-join of texts on the Jaccard similarity of their word n-grams, by set relations.
 
 A text's set holds the distinct n-grams of its words. Two texts link when their sets' similarity reaches a
-threshold, and the links' connected components are the result. Every link shares a token within both
-sets' prefixes (the first n - ceil(t * n) + 1 tokens of a set in a fixed order), so an index of prefixes
-finds them all; tokens that many sets have come last in the order. Work is saved by relations between sets:
-
-- Equal sets are one class; a class takes part once.
-- Index-level skipping. Pairs of entries whose sizes or positions leave too little room for the overlap they
-  need are dropped after the join on the token: lists aren't in blocks, so all pairs of a list across
-  components are enumerated first.
-- Answer-level skipping. Each list's sets first meet the list's pivot and their neighbour only: as many pairs
-  as entries. Sets that link get one component: only pairs across components are left, each tested from its
-  own sets (no overlap is derived from that of a similar set), and of those only pairs which their
-  overlaps with a common pivot leave possible, since |A & B| <= min(|A & P|, |B & P|) + min(|A - P|, |B - P|).
-
-Pairs are tested by parity sketches first (which never reject a link), then by the sets themselves.
+threshold, and the links' connected components are the result. All sets follow one order of tokens, frequent
+ones last, so that every link shares a token within both sets' prefixes (the first n - ceil(t * n) + 1 tokens).
+A pair's first common token bounds its overlap: no more than n - pos tokens of either set are left. Work is saved
+by relations between sets:
+
+- Equal sets are one class, and classes are formed before the index.
+- Index-level skipping. A token's list is dealt into blocks by size, room (n - pos) and a bounded number of
+  entries. Blocks meet as wholes: a pair of blocks whose sizes, largest rooms or single component rule out every
+  pair of their entries is skipped, and only pairs of the others are looked at one by one, inside the block.
+- Answer-level skipping. Each list's sets first meet the list's leaders only (one for each size class), as many
+  pairs as entries. Sets that link get one component, and only pairs across components are left. Where two sets have
+  one leader R that is like both, their pair isn't taken from the lists: with m tokens of R missing and tokens added,
+  |A & B| = |R| - |mA | mB| + |aA & aB| is derived from the answers with R. If A doesn't link with R, then A and any
+  B of R that it links with share at least needed(A, B) - |R| + |mA| + |mB| > 0 of their differences from R. So
+  the differences have an index of their own, whose prefixes and rooms follow from that number, and no text is read.
+
+Tokens are 64-bit: XXH3 of every distinct word, mixed by position. Pairs from the lists are tested by parity sketches
+first (which never reject a link), then by the sets themselves.
 
 Defined results: null text and texts without words have an empty set and link with nothing; a text with
-fewer words than n has its whole sequence as its one n-gram; equal texts link; rows that share a doc_id share
-a component, found by the row whose set's digest is smallest; rows without a doc_id have no component;
-only doc_id and text are read, so other columns may have any names.
+fewer words than n has its whole sequence as its one n-gram; equal texts link; rows that share a doc_id are one
+node, with the links of all their texts; rows without a doc_id have no component; only doc_id and text are
+read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -29,55 +33,77 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import TO_LOWER, mix64, text_bytes, word_hashes, word_spans, written
+from barloom.llm.common import SPACE_BYTES, TO_LOWER, mix64, text_bytes, word_spans, written
 from barloom.llm.components import connected_components
 
 WORDS = 5
-#: The threshold as a fraction, 80 / 100.
+#: The threshold as a fraction, 80 / 100, and how like its leader a set is at least, 60 / 100.
 NUM, DEN = 4, 5
-#: Tokens that come last in the order of prefixes, the most frequent ones: 1 MB in every task. Which they are changes no result.
+LEAD_NUM, LEAD_DEN = 3, 5
+#: Tokens that come last in the order of prefixes, the most frequent ones: 2 MB in every task. Which they are changes no result.
 COMMON = 1 << 17
 #: Bytes of text whose words are hashed at once; the arrays take about 50 times as much.
 SLICE = 1 << 20
+#: Entries of a block, about.
+BLOCK = 128
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+#: The second key of tokens' lists; lists of differences have their leader there (or its complement, for missing tokens).
+_TOKENS = -(1 << 63)
+
+
+def word_digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH3 of every word, worked out once for each distinct word."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    letters = np.ones(256, bool)
+    letters[list(SPACE_BYTES)] = False
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    spelt = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[letters[raw]])]).dictionary_encode()
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, spelt.dictionary.to_pylist()), np.uint64, len(spelt.dictionary))
+    return own[spelt.indices.to_numpy()]
 
 
 def token_sets(raw: np.ndarray, at: np.ndarray, n: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text; raw is lower-cased."""
     starts, ends, first = word_spans(raw, at)
-    h = word_hashes(raw, starts, ends)
+    h = word_digests(raw, starts, ends)
     with np.errstate(over="ignore"):
         grams = h[: max(0, len(h) - n + 1)].copy()
         for k in range(1, n):
-            grams = grams * _STEP + h[k : len(h) - n + 1 + k]
-        grams = mix64(grams)
+            grams = mix64(grams * _STEP + h[k : len(h) - n + 1 + k])
         out = []
         for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             if hi - lo >= n:
                 g = np.sort(grams[lo : hi - n + 1])
                 out.append(g[np.concatenate([[True], g[1:] != g[:-1]])])
             elif hi > lo:
-                x = np.uint64(hi - lo)
+                x = np.array([hi - lo], np.uint64)
                 for w in h[lo:hi]:
-                    x = x * _STEP + w
-                out.append(mix64(np.array([x], np.uint64)))
+                    x = mix64(x * _STEP + w)
+                out.append(x)
             else:
                 out.append(np.zeros(0, np.uint64))
     return out
 
 
-def _sets_of(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
-    """The doc_ids and sets of a batch's texts, about SLICE bytes of text at a time."""
-    raw, at = text_bytes(b.column("text"))
-    first = 0
-    while first < len(at) - 1:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE, "right")) - 1)
-        low = raw[at[first] : at[last]].tobytes().translate(TO_LOWER)
-        yield b.column("doc_id").slice(first, last - first), token_sets(np.frombuffer(low, np.uint8), at[first : last + 1] - at[first])
-        first = last
+def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """The doc_ids and sets of the texts, about SLICE bytes of text at a time."""
+    for b in batches:
+        raw, at = text_bytes(b.column("text"))
+        first = 0
+        while first < len(at) - 1:
+            last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE, "right")) - 1)
+            low = raw[at[first] : at[last]].tobytes().translate(TO_LOWER)
+            yield b.column("doc_id").slice(first, last - first), token_sets(np.frombuffer(low, np.uint8), at[first : last + 1] - at[first])
+            first = last
+
+
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
@@ -100,24 +126,15 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for docs, sets in (part for b in batches for part in _sets_of(b)):
+    for docs, sets in _sets_of(batches):
         kinds = [pa.int32(), pa.binary(), pa.binary()]
-        cols = [[len(s) for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [parity_sketch(s) for s in sets]]
+        cols = [[len(s) for s in sets], [_digest(s) for s in sets], [parity_sketch(s) for s in sets]]
         yield pa.RecordBatch.from_arrays([docs, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n", "digest", "sketch"])
 
 
-def _classes(sets: list[np.ndarray], docs: list[int]) -> dict[bytes, int]:
-    """For each set among them that isn't empty, the row that has the smallest doc_id."""
-    out: dict[bytes, int] = {}
-    for k, s in enumerate(sets):
-        if len(s) and ((key := s.tobytes()) not in out or docs[k] < docs[out[key]]):
-            out[key] = k
-    return out
-
-
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens that two or more different sets of a part of a batch have, with their number."""
-    for _, sets in (part for b in batches for part in _sets_of(b)):
+    for _, sets in _sets_of(batches):
         own = {s.tobytes(): s for s in sets if len(s)}
         tokens, counts = np.unique(np.concatenate([*own.values(), np.zeros(0, np.uint64)]), return_counts=True)
         some = counts > 1
@@ -125,130 +142,224 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(shared):
+    """Each different set's prefix, in the order of tokens: those that aren't common by value, then by frequency."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = np.sort(np.frombuffer(shared.value, np.uint64))
-        for ids, sets in (part for b in batches for part in _sets_of(b)):
-            docs = ids.to_pylist()
-            tokens, rows, sizes, places = [], [], [], []
-            for k in _classes(sets, docs).values():
-                s = sets[k]
+        ranked = np.frombuffer(shared.value, np.uint64)  # from the most frequent one
+        order = np.argsort(ranked, kind="stable")
+        common = ranked[order]
+        for _, sets in _sets_of(batches):
+            own, parts = {s.tobytes(): s for s in sets if len(s)}.values(), []
+            for s in own:
                 at = np.searchsorted(common, s)
                 at[at == len(common)] = 0
                 late = common[at] == s if len(common) else np.zeros(len(s), bool)
-                prefix = len(s) - (NUM * len(s) + DEN - 1) // DEN + 1
-                tokens.append(np.concatenate([s[~late], s[late]])[:prefix])
-                rows.append(docs[k])
-                sizes.append(len(s))
-                places.append(np.arange(prefix, dtype=np.int32))
-            lengths = [len(t) for t in tokens]
-            cat = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cat(tokens, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(rows, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(cat(places, np.int32))],
-                ["token", "doc_id", "n", "pos"],
-            )
+                parts.append(np.concatenate([s[~late], s[late][np.argsort(-order[at[late]], kind="stable")]])[: len(s) - (NUM * len(s) + DEN - 1) // DEN + 1])
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]), pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in own], pa.binary()), tokens], ["digest", "tokens"])
 
     return run
 
 
-def _needed(a: str, b: str):
-    """The overlap that a link needs: ceil(t / (1 + t) * (|A| + |B|))."""
-    return F.ceil(NUM * (F.col(a) + F.col(b)) / (NUM + DEN))
-
+def _reaches(overlap: Column, sizes: Column, num: int = NUM, den: int = DEN) -> Column:
+    """Whether an overlap is that of a similarity of num / den, for sets with so many tokens in all."""
+    return overlap * (num + den) >= sizes * num
 
-def _possible(pairs: DataFrame) -> DataFrame:
-    """Pairs (an, apos, bn, bpos of one shared token) whose sizes and positions leave room for a link."""
-    sizes = (F.least("an", "bn") * DEN >= F.greatest("an", "bn") * NUM)
-    room = F.least("apos", "bpos") + 1 + F.least(F.col("an") - F.col("apos"), F.col("bn") - F.col("bpos")) - 1
-    return pairs.filter(sizes & (room >= _needed("an", "bn")))
 
+def _sketch_test(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            an, bn = b.column("an").to_pylist(), b.column("bn").to_pylist()
+            keep = [(num + den) * least_difference(x, y) <= (den - num) * (m + n) for x, y, m, n in zip(b.column("asketch").to_pylist(), b.column("bsketch").to_pylist(), an, bn, strict=True)]
+            yield b.select(["a", "b", "an", "bn"]).filter(pa.array(keep, pa.bool_()))
 
-def _sketch_test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        an, bn = b.column("an").to_pylist(), b.column("bn").to_pylist()
-        keep = [(NUM + DEN) * least_difference(x, y) <= (DEN - NUM) * (m + n) for x, y, m, n in zip(b.column("asketch").to_pylist(), b.column("bsketch").to_pylist(), an, bn, strict=True)]
-        yield b.select(["a", "b", "an", "bn"]).filter(pa.array(keep, pa.bool_()))
+    return run
 
 
 def _keyed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for docs, sets in (part for b in batches for part in _sets_of(b)):
-        yield pa.RecordBatch.from_arrays([docs, pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "digest", "tokens"])
+    for _, sets in _sets_of(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "tokens"])
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The overlaps of pairs of sets and, where a is like b's leader, what b lacks of a and has besides."""
     for b in batches:
-        both = zip(b.column("atokens").to_pylist(), b.column("btokens").to_pylist(), strict=True)
-        n = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in both]
-        yield pa.RecordBatch.from_arrays([*b.select(["a", "b", "an", "bn"]).columns, pa.array(n, pa.int64())], ["a", "b", "an", "bn", "overlap"])
-
-
-def _tested(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, an, bn, overlap of the pairs (a, b, an, bn) that the sketches don't rule out."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("sketch").alias(f"{x}sketch"))
+        overlap, missing, added = [], [], []
+        for x, y in zip(b.column("atokens").to_pylist(), b.column("btokens").to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = np.intersect1d(x, y, assume_unique=True)
+            like = len(both) * (LEAD_NUM + LEAD_DEN) >= LEAD_NUM * (len(x) + len(y))
+            overlap.append(len(both))
+            missing.append(np.setdiff1d(x, both, assume_unique=True).tobytes() if like else None)
+            added.append(np.setdiff1d(y, both, assume_unique=True).tobytes() if like else None)
+        yield pa.RecordBatch.from_arrays([*b.select(["a", "b", "an", "bn"]).columns, pa.array(overlap, pa.int64()), pa.array(missing, pa.binary()), pa.array(added, pa.binary())], ["a", "b", "an", "bn", "overlap", "missing", "added"])
+
+
+def _tested(pairs: DataFrame, classes: DataFrame, texts: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """a, b, an, bn, overlap, missing, added of the pairs (a, b, an, bn) whose sketches allow a similarity of num / den."""
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"{x}sketch"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "an", "bn", "asketch", "bsketch")
-    near = written(near.mapInArrow(_sketch_test, "a long, b long, an int, bn int"))
-    ids = written(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct())
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_keyed_sets, "doc_id long, digest binary, tokens binary")
-    sets = written(sets.groupBy("doc_id").agg(F.min_by("tokens", "digest").alias("tokens")))
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("tokens").alias(f"{x}tokens"))
+    near = written(near.mapInArrow(_sketch_test(num, den), "a long, b long, an int, bn int"))
+    ids = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
+    ids = written(classes.select("rep", "digest", "doc_id").join(ids, "rep", "left_semi"))
+    sets = texts.join(ids.select("doc_id"), "doc_id", "left_semi").mapInArrow(_keyed_sets, "digest binary, tokens binary")
+    sets = written(sets.join(ids.select("rep", "digest"), "digest").groupBy("rep").agg(F.first("tokens").alias("tokens")))
+    side = lambda x: sets.select(F.col("rep").alias(x), F.col("tokens").alias(f"{x}tokens"))
     met = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "an", "bn", "atokens", "btokens")
-    return written(met.mapInArrow(_overlaps, "a long, b long, an int, bn int, overlap long"))
+    return written(met.mapInArrow(_met, "a long, b long, an int, bn int, overlap long, missing binary, added binary"))
 
 
 def _links(tested: DataFrame) -> DataFrame:
-    return tested.filter(F.col("overlap") >= _needed("an", "bn")).select("a", "b")
+    return tested.filter(_reaches(F.col("overlap"), F.col("an") + F.col("bn"))).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, for every row of docs."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    told = written(texts.mapInArrow(_describe, "doc_id long, n int, digest binary, sketch binary"))
-    texts = texts.filter("doc_id is not null")
-    one = told.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("digest", "n", "sketch")).alias("s")).select("doc_id", "s.*")
-    reps = written(one.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    same = written(one.filter("n > 0").select("doc_id", "digest").join(reps.select("digest", "rep"), "digest").select("doc_id", "rep"))
+def _leaders(tested: DataFrame) -> DataFrame:
+    """rep, n, lead, base, missing, added, far of the sets that have a leader: base is its size, far sets don't link with it."""
+    best = tested.filter("missing is not null").groupBy(F.col("b").alias("rep")).agg(F.min(F.struct("a", "an", "bn", "overlap", "missing", "added")).alias("x"))
+    far = ~_reaches(F.col("x.overlap"), F.col("x.an") + F.col("x.bn"))
+    return best.select("rep", F.col("x.bn").alias("n"), F.col("x.a").alias("lead"), F.col("x.an").alias("base"), "x.missing", "x.added", far.alias("far"))
+
+
+def _difference_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Prefixes of the sets' differences from their leaders (added tokens first, the rarer ones), as entries of lists."""
+    for b in batches:
+        cols = [[] for _ in range(7)]
+        for r in b.to_pylist():
+            added, missing = np.frombuffer(r["added"], np.int64), np.frombuffer(r["missing"], np.int64)
+            a, m = len(added), len(missing)
+            # what links of the set share of their differences at least: needed - base + the numbers of both sets' missing tokens
+            nine = NUM * (r["n"] + r["base"]) - (NUM + DEN) * (r["base"] - m) if r["far"] else NUM * a + DEN * m + 1
+            upto = max(0, a + m - max(1, -(-nine // (NUM + DEN))) + 1)
+            tokens, leads = np.concatenate([added, missing])[:upto], np.where(np.arange(a + m) < a, r["lead"], ~r["lead"])[:upto]
+            for c, v in zip(cols, (tokens, leads, np.full(upto, r["rep"]), np.full(upto, r["n"]), a + m - np.arange(upto), np.full(upto, m), np.full(upto, r["base"])), strict=True):
+                c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*c, np.zeros(0, np.int64)]).astype(np.int64)) for c in cols], _ENTRY)
+
+
+_ENTRY = ["k1", "k2", "rep", "n", "room", "extra", "base"]
+_ITEM = ["rep", "n", "room", "extra", "component", "lead"]
+
 
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of entries of two blocks that may link."""
+    for b in batches:
+        sides, base, own = [], b.column("base").to_numpy(), b.column("own").to_pylist()
+        for name in ("xs", "ys"):
+            lists = b.column(name)
+            items = lists.flatten()
+            sides.append(([items.field(c).fill_null(-1).to_numpy() for c in _ITEM], np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])))
+        out = [[] for _ in range(5)]
+        (xs, xat), (ys, yat) = sides
+        for k in range(len(base)):
+            (rx, nx, ox, ex, cx, lx), (ry, ny, oy, ey, cy, ly) = [c[xat[k] : xat[k + 1], None] for c in xs], [c[None, yat[k] : yat[k + 1]] for c in ys]
+            room, of_list = np.minimum(ox, oy), base[k] == 0
+            ok = (cx != cy) & ((NUM + DEN) * room >= NUM * (nx + ny) + (NUM + DEN) * (ex + ey - base[k]))
+            ok &= (np.minimum(nx, ny) * DEN >= np.maximum(nx, ny) * NUM) & (rx < ry if own[k] else rx != ry)
+            if of_list:
+                ok &= (lx != ly) | (lx < 0)
+            i, j = np.nonzero(ok)
+            a, c = rx[i, 0], ry[0, j]
+            swap = a > c
+            for o, v in zip(out, (np.minimum(a, c), np.maximum(a, c), np.where(swap, ny[0, j], nx[i, 0]), np.where(swap, nx[i, 0], ny[0, j]), np.full(len(i), not of_list)), strict=True):
+                o.append(v)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*o, np.zeros(0, np.int64)]), pa.int64()).cast(t) for o, t in zip(out, kinds, strict=True)], ["a", "b", "an", "bn", "derived"])
+
+
+def _across(entries: DataFrame) -> DataFrame:
+    """a, b, an, bn, derived: pairs of different components that share a list and may link, block by block.
+
+    entries: _ENTRY, component, lead. A pair needs 4 / 9 of its tokens, and the two extras less base besides, in
+    room. Blocks are of one size class and class of room.
+    """
+    size, room = F.floor(F.log("n") / F.log(F.lit(DEN / NUM))).cast("int"), F.floor(F.col("room") * 4 * DEN / F.col("n")).cast("int")
+    classed = entries.withColumn("size", size).withColumn("rooms", room)
+    key = ["k1", "k2", "size", "rooms"]
+    parts = classed.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("parts")).filter("parts > 1")
+    dealt = classed.join(parts, key, "left").withColumn("part", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))))
+    ends = [F.min("n").alias("n"), F.max("room").alias("room"), F.min("extra").alias("extra"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("base").alias("base")]
+    blocks = written(dealt.groupBy(*key, "part").agg(F.collect_list(F.struct(*_ITEM)).alias("items"), *ends).withColumn("id", F.struct("size", "rooms", "part")))
+    x, y = (blocks.select("k1", "k2", *(F.col(c).alias(s + c) for c in ("id", "size", "items", "n", "room", "extra", "lo", "hi", "base"))) for s in "xy")
+    needed = NUM * (F.col("xn") + F.col("yn")) + (NUM + DEN) * (F.col("xextra") + F.col("yextra") - F.col("xbase"))
+    one = (F.col("xlo") == F.col("xhi")) & (F.col("ylo") == F.col("yhi")) & (F.col("xlo") == F.col("ylo"))
+    met = x.join(y, ["k1", "k2"]).filter((F.col("xid") <= F.col("yid")) & (F.abs(F.col("xsize") - F.col("ysize")) <= 1) & ((NUM + DEN) * F.least("xroom", "yroom") >= needed) & ~one)
+    told = met.select(F.col("xitems").alias("xs"), F.col("yitems").alias("ys"), F.col("xbase").alias("base"), (F.col("xid") == F.col("yid")).alias("own"))
+    return told.mapInArrow(_block_pairs, "a long, b long, an int, bn int, derived boolean").distinct()
+
+
+def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that link, from both sets' differences from their one leader."""
+    for b in batches:
+        keep = []
+        for r in b.to_pylist():
+            am, bm, aa, ba = (np.frombuffer(r[c], np.uint64) for c in ("amissing", "bmissing", "aadded", "badded"))
+            common = lambda x, y: len(np.intersect1d(x, y, assume_unique=True))
+            overlap = r["base"] - len(am) - len(bm) + common(am, bm) + common(aa, ba)
+            keep.append(overlap * (NUM + DEN) >= NUM * (r["an"] + r["bn"]))
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _class_components(classes: DataFrame, texts: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, component of the classes that link, or that edges join."""
+    spark = classes.sparkSession
     counts = texts.mapInArrow(_repeated, "token long, sets long").groupBy("token").agg(F.sum("sets").alias("sets"))
     common = counts.orderBy(F.desc("sets"), "token").limit(COMMON).select("token").toArrow().column("token").to_numpy()
     shared = spark.sparkContext.broadcast(common.astype(np.int64).tobytes())
-    index = texts.mapInArrow(_prefixes(shared), "token long, doc_id long, n int, pos int")
-    by_token = Window.partitionBy("token").orderBy("doc_id")
-    beside = index.withColumn("near", F.coalesce(F.lag("doc_id").over(by_token), F.lead("doc_id").over(by_token)))
-    multi = written(beside.filter("near is not null").drop("near"))
-
-    # one entry per class; lists of one class are done
-    entries = multi.join(same, "doc_id").groupBy("token", "rep").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    by_rep = Window.partitionBy("token").orderBy("rep")
-    entry = lambda c: c.over(by_rep)
-    me = F.struct("rep", "n", "pos")
-    lists = entries.withColumn("pivot", entry(F.first(me))).withColumn("prev", entry(F.lag(me))).withColumn("next", entry(F.lead("rep")))
-    lists = written(lists.filter("prev is not null or next is not null").select("token", "rep", "n", "pos", "pivot", "prev"))
-    against = lambda c: lists.filter(f"{c}.rep <> rep").select(F.col(f"{c}.rep").alias("a"), F.col("rep").alias("b"), F.col(f"{c}.n").alias("an"), F.col("n").alias("bn"), F.col(f"{c}.pos").alias("apos"), F.col("pos").alias("bpos"))
-    stars = _possible(against("pivot").union(against("prev"))).select("a", "b", "an", "bn").distinct()
-    first = _tested(written(stars), reps, texts)
-    parts = connected_components(_links(first))
-
-    # across components
-    named = lists.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("token", "rep", "n", "pos", F.col("pivot.rep").alias("pivot"), F.coalesce("component", "rep").alias("component"))
-    of_pivot = first.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), F.col("overlap").alias("with_pivot"))
-    every = Window.partitionBy("token")
-    mixed = named.withColumn("lo", F.min("component").over(every)).withColumn("hi", F.max("component").over(every)).filter("lo <> hi")
-    mixed = written(mixed.join(of_pivot, ["pivot", "rep"], "left").select("token", "rep", "n", "pos", "component", "with_pivot"))
-    x, y = (mixed.select("token", *(F.col(c).alias(k + c) for c in ("rep", "n", "pos", "component", "with_pivot"))) for k in "ab")
-    across = _possible(x.join(y, "token").filter("arep < brep and acomponent <> bcomponent"))
-    bound = F.least("awith_pivot", "bwith_pivot") + F.least(F.col("an") - F.col("awith_pivot"), F.col("bn") - F.col("bwith_pivot"))
-    across = across.filter(F.coalesce(bound >= _needed("an", "bn"), F.lit(True)))
-    across = across.select(F.col("arep").alias("a"), F.col("brep").alias("b"), "an", "bn").distinct()
-    second = _tested(written(across.join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "an", "bn")), reps, texts)
-    parts = connected_components(parts.union(_links(second)))
-
-    component = same.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    own = texts.mapInArrow(_prefixes(shared), "digest binary, tokens array<long>").groupBy("digest").agg(F.first("tokens").alias("tokens"))
+    index = written(own.join(classes.select("digest", "rep", "n"), "digest").select("rep", "n", "tokens"))
+    entries = index.select("rep", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "rep", "n", (F.col("n") - F.col("pos")).alias("room"))
+    several = entries.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1").select("token")
+    size = F.floor(F.log("n") / F.log(F.lit(DEN / NUM))).cast("int")
+    lists = written(entries.join(several, "token").withColumn("size", size))
+
+    # each entry against the leaders of its size class in the list, and of the next smaller one
+    heads = lists.groupBy("token", F.col("size").alias("of")).agg(F.min(F.struct("rep", "n", "room")).alias("head"))
+    met = lists.withColumn("of", F.explode(F.array("size", F.col("size") - 1))).join(heads, ["token", "of"]).filter("head.rep <> rep")
+    met = met.filter(_reaches(F.least("head.room", "room"), F.col("head.n") + F.col("n")))
+    stars = written(met.select(F.col("head.rep").alias("a"), F.col("rep").alias("b"), F.col("head.n").alias("an"), F.col("n").alias("bn")).distinct())
+    first = _tested(stars, classes, texts, LEAD_NUM, LEAD_DEN)
+    parts = connected_components(_links(first).union(edges))
+
+    # across components: lists of tokens, and lists of differences where a leader has sets that don't link with it
+    lead = written(_leaders(first))
+    odd = lead.groupBy("lead").agg(F.max("far").alias("odd"), F.count("*").alias("sets")).filter("odd and sets > 1").select("lead")
+    differences = lead.join(odd, "lead", "left_semi").mapInArrow(_difference_lists, ", ".join(f"{c} long" for c in _ENTRY))
+    both = lists.select(F.col("token").alias("k1"), F.lit(_TOKENS).cast("long").alias("k2"), "rep", F.col("n").cast("long").alias("n"), F.col("room").cast("long").alias("room"), F.lit(0).cast("long").alias("extra"), F.lit(0).cast("long").alias("base")).union(differences)
+    named = both.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = written(named.join(lead.select("rep", "lead"), "rep", "left").select(*_ENTRY, "component", "lead"))
+    mixed = named.groupBy("k1", "k2").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("k1", "k2")
+    pairs = _across(named.join(mixed, ["k1", "k2"]))
+    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(pairs.join(done, ["a", "b"], "left_anti").select("a", "b", "an", "bn", "derived"))
+    second = _links(_tested(pairs.filter("not derived").drop("derived").distinct(), classes, texts))
+    side = lambda x: lead.select(F.col("rep").alias(x), F.col("missing").alias(f"{x}missing"), F.col("added").alias(f"{x}added"))
+    by_lead = pairs.filter("derived").join(side("a"), "a").join(side("b").join(lead.select(F.col("rep").alias("b"), "base"), "b"), "b")
+    more = second.union(by_lead.mapInArrow(_derived, "a long, b long"))
+    return connected_components(parts.union(more))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, for every row of docs."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    told = written(texts.mapInArrow(_describe, "doc_id long, n int, digest binary, sketch binary"))
+    full = told.filter("doc_id is not null and n > 0")
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()))
+    members = written(full.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep"))
+    of_doc = members.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
+    edges = members.withColumnRenamed("rep", "b").join(of_doc.filter("rep <> other").select("doc_id", F.col("rep").alias("a")), "doc_id").select("a", "b")
+    parts = _class_components(classes, texts.filter("doc_id is not null"), edges)
+
+    named = written(classes.select("rep", "doc_id").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("component")))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = named.join(least, "component").select("rep", "component_id")
+    component = of_doc.join(of_class, "rep").select("doc_id", "component_id")
     rows = told.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
-    return rows.join(component, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return rows.join(component, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_smallest(docs: DataFrame) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their component, and rows without a doc_id."""
-    stay = jaccard_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_stay_id")).distinct()
-    kept = docs.join(stay, F.col("doc_id") == F.col("_stay_id"), "left_semi")
-    return kept.union(docs.filter("doc_id is null"))
+    """The rows of docs with the smallest doc_id of their component, and rows without a doc_id; columns may have any names."""
+    stay = jaccard_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("stay")).distinct()
+    whole = docs.select(F.struct("*").alias("row"))
+    return whole.join(stay, F.col("row.doc_id") == F.col("stay"), "left_semi").union(whole.filter("row.doc_id is null")).select("row.*")

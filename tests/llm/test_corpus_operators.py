@@ -1,6 +1,7 @@
 """Corpus operators against brute force on documents with nulls, blanks, repeated rows, copies and a long text."""
 
 import hashlib
+import random
 import re
 import zlib
 from itertools import combinations
@@ -54,6 +55,68 @@ def test_jaccard(docs, rows, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_of_near_copies_at_all_distances(spark, monkeypatch):
+    """Clusters around one text, edited lightly to heavily, beside texts that share a passage: blocks of 4 entries, too."""
+    rng, rows = random.Random(1), []
+    for length, copies in ((60, 40), (100, 30)):
+        base = [f"b{length}_{i}" for i in range(length)]
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(rng.randint(0, 6)):
+                p = rng.randrange(len(w))
+                w[p : p + rng.randint(0, 1)] = rng.choice([[], [f"u{rng.random()}"], [f"x{rng.randrange(4)}"]])
+            rows.append(" ".join(w))
+    rows += [" ".join([f"o{rng.random()}" for _ in range(rng.randint(0, 12))] + [f"p{i}" for i in range(40)]) for _ in range(30)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(rows)
+
+
+def test_differences_from_a_leader_find_every_link():
+    """Where a set doesn't link with its leader, it shares a list with each set of that leader that it links with."""
+    rng, links = np.random.default_rng(3), 0
+    for _ in range(400):
+        base = np.arange(60)
+        part = rng.choice(base, rng.integers(0, 12), replace=False)
+        sets = []
+        for k in (1, 2):
+            gone = np.union1d(part[: rng.integers(0, len(part) + 1)], rng.choice(base, rng.integers(0, 4), replace=False))
+            new = np.concatenate([1000 + np.arange(rng.integers(0, 14)), 2000 + 100 * k + np.arange(rng.integers(0, 3))])
+            sets.append(np.union1d(np.setdiff1d(base, gone), new))
+        rows = [{"rep": k, "n": len(s), "lead": 7, "base": 60, "missing": np.setdiff1d(base, s).astype("<i8").tobytes(), "added": np.setdiff1d(s, base).astype("<i8").tobytes(), "far": 9 * len(np.intersect1d(s, base)) < 4 * (60 + len(s))} for k, s in enumerate(sets)]
+        a, b = sets
+        if (rows[0]["far"] or rows[1]["far"]) and 9 * (both := len(np.intersect1d(a, b))) >= 4 * (len(a) + len(b)):
+            links += 1
+            entries = [next(jaccard_join._difference_lists(iter([pa.RecordBatch.from_pylist([r])]))).to_pylist() for r in rows]
+            at = {(e["k1"], e["k2"]): e for e in entries[0]}
+            shared = [(at[e["k1"], e["k2"]], e) for e in entries[1] if (e["k1"], e["k2"]) in at]
+            assert any(9 * min(x["room"], y["room"]) >= 4 * (x["n"] + y["n"]) + 9 * (x["extra"] + y["extra"] - x["base"]) for x, y in shared)
+            assert both == 60 - either(rows, "missing", set.union) + either(rows, "added", set.intersection)
+    assert links > 20
+
+
+def either(rows, name, how):
+    return len(how(*(set(np.frombuffer(r[name], "<i8").tolist()) for r in rows)))
+
+
+def test_words_of_equal_polynomials_are_told_apart(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba")))]
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 1, 2: 2}
+
+
+def test_jaccard_of_ids_that_texts_share(spark):
+    rows = [(1, "A"), (1, "B"), (2, "b"), (3, "a"), (None, "a"), (4, ""), (4, None), (5, "C")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r.component_id) for r in got) == ["1", "1", "1", "1", "4", "4", "5", "None"]
+    clash = spark.createDataFrame([(2, "x y", 1, 1), (1, "x Y", 2, 2), (None, "x y", 3, 3)], "doc_id long, text string, stay long, component_id long")
+    assert sorted((str(r.doc_id), r.stay) for r in jaccard_join.keep_smallest(clash).collect()) == [("1", 2), ("None", 3)]
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(40, 41)], "a long, b long")
     assert {r.node: r.component for r in components.connected_components(edges).collect()} == {**dict.fromkeys(range(21), 0), 40: 40, 41: 40}
