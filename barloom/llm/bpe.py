@@ -1,151 +1,159 @@
 """BPE encoding and decoding by a table of distinct words.
 
-The tokenizer works on words, so a text's ids are those of its words in order. Three steps make use of it:
+The tokenizer works on words, so a text's ids are those of its words in order. A word is a stem and a tail (the
+marks at its end), its parts, which the texts are made of:
 
-1. Word counts find the most frequent stems; their ids form a table of bounded size that every task holds.
-2. All other stems of a block of texts become rows (block, stem). Sorted by stem, each distinct stem is
-   encoded once, and its ids go back to the blocks that asked.
-3. Texts and the answers for their block meet by block; every word takes its ids at its position. Each id of
-   the finished lists then takes its piece from the id-to-piece table, and pieces joined by spaces are the
-   decoded text.
+1. Part counts find the most frequent parts; their ids form a table of bounded size that every task holds.
+2. Texts are split once, in blocks of about BLOCK_BYTES: a block keeps the number of the part at each position,
+   and the list of its distinct parts. Texts themselves aren't moved.
+3. The distinct parts of all blocks that aren't frequent are the table of distinct words: each is encoded once, and
+   its ids are joined back to the blocks that have it.
+4. Block by block, each position takes the ids of its part. Each id of the finished lists then takes its piece
+   from the id-to-piece table (one row per id of the vocabulary, in every task), and pieces joined by spaces are
+   the decoded text.
 
-Texts are shuffled once, compressed. Blocks hold about BLOCK_BYTES of text, whatever the input's size.
+Blocks are told apart by the task that split them, not by what they hold: repeated rows share no block but by chance.
 
 Defined results: null text is an empty text, with no ids and an empty decoded text; repeated rows each get
 a row; null doc_ids are kept; special tokens' strings in a text become their ids, as the library does
-it; only doc_id and text are read, so other columns may have any names.
+it; only doc_id and text are read, so other columns may have any names. A text is held whole by one task, with some 20
+times its bytes. Vocabularies have at most 65,536 ids, others raise an error.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import text_bytes
+from barloom.llm.common import SPACE_BYTES, text_bytes, word_spans, written
 from barloom.llm.tokens import default_path, encoder, parts_of, tokenizer
 
-#: Stems in the table that every task holds, each of at most HOT_BYTES: 32 MB at the very most, about 8 MB for prose.
-HOT_STEMS, HOT_BYTES = 1 << 19, 32
-#: A stem counts in a task from this many occurrences there (of words that occur twice); fewer don't matter for which are
-#: the most frequent, and which they are changes no result.
-LEAST_IN_TASK = 4
-BLOCK_BYTES = 8 << 20
+#: Parts in the table that every task holds, each of at most HOT_BYTES: 6 MB at the very most, about 3 MB for prose.
+HOT_PARTS, HOT_BYTES = 1 << 17, 32
+#: A part counts in a block of text from this many occurrences there; fewer don't matter for which are the most frequent,
+#: and which they are changes no result.
+LEAST_IN_BLOCK = 4
+BLOCK_BYTES = 4 << 20
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[bytes] = Counter()
-
-    def told() -> pa.RecordBatch:
-        stems: Counter[bytes] = Counter()
-        for w, n in seen.items():
-            if n > 1:
-                for part in parts_of(w):
-                    if part and len(part) <= HOT_BYTES:
-                        stems[part] += n
-        kept = [(w, n) for w, n in stems.items() if n >= LEAST_IN_TASK]
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], ["stem", "n"])
-
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """doc_ids, bytes and offsets of about BLOCK_BYTES of texts at a time."""
     for b in batches:
         raw, at = text_bytes(b.column("text"))
-        view = raw.tobytes()
-        for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            seen.update(view[s:e].split())
-        if len(seen) > 500_000:
-            yield told()
-            seen.clear()
-    yield told()
+        docs, first = b.column("doc_id"), 0
+        while first < len(at) - 1:
+            last = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK_BYTES, "right")) - 1)
+            yield docs.slice(first, last - first), raw[at[first] : at[last]], at[first : last + 1] - at[first]
+            first = last
+
 
+_LETTERS = np.ones(256, bool)
+_LETTERS[list(SPACE_BYTES)] = False
 
-def frequent_stems(docs: DataFrame, most: int = HOT_STEMS) -> DataFrame:
-    """The most frequent stems, at most so many."""
-    counts = docs.select("text").mapInArrow(_count, "stem binary, n long").groupBy("stem").agg(F.sum("n").alias("n"))
-    return counts.orderBy(F.desc("n"), "stem").limit(most).select("stem")
 
+def _words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The number of the word at each position, the distinct words, and how many positions come before each text."""
+    starts, ends, first = word_spans(raw, at)
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    spelt = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[_LETTERS[raw]])]).dictionary_encode()
+    return spelt.indices.to_numpy(), spelt.dictionary.to_pylist(), first
 
-def _encode_stems(path: str):
-    """Rows sorted by stem, to stem, ids and the other columns; each distinct stem is encoded once."""
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, raw, at in _slices(batches):
+        index, words, _ = _words(raw, at)
+        parts: Counter[bytes] = Counter()
+        for w, n in zip(words, np.bincount(index, minlength=len(words)).tolist(), strict=True):
+            for part in parts_of(w):
+                parts[part] += n
+        kept = [(w, n) for w, n in parts.items() if n >= LEAST_IN_BLOCK and 0 < len(w) <= HOT_BYTES]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], ["part", "n"])
+
+
+def frequent_parts(texts: DataFrame, most: int = HOT_PARTS) -> DataFrame:
+    """The most frequent parts, at most so many."""
+    counts = texts.mapInArrow(_count, "part binary, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    return counts.orderBy(F.desc("n"), "part").limit(most).select("part")
+
+
+def _encode_parts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, ids = encoder(path).part, None, b""
+        part = encoder(path).part
         for b in batches:
-            out = []
-            for stem in b.column("stem").to_pylist():
-                if stem != last:
-                    last, ids = stem, part(stem)
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("part"), pa.array([part(p) for p in b.column("part").to_pylist()], pa.binary())], ["part", "ids"])
 
     return run
 
 
 class _Hot:
-    """Per Python worker: the frequent stems' ids, and some words that consist of them."""
+    """The frequent parts, in the order of their hashes, and their ids."""
 
-    MOST = 250_000
+    def __init__(self, parts: list[bytes], ids: list[bytes]):
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
+        order = np.argsort(hashes).tolist()
+        self.hashes, self.parts = hashes[order], pa.array([parts[k] for k in order], pa.binary())
+        self.lengths = np.array([len(ids[k]) // 2 for k in order], np.int64)
+        self.ids = np.frombuffer(b"".join([ids[k] for k in order]), "<u2")
 
-    def __init__(self, stems: list[bytes], ids: list[bytes]):
-        self.ids = dict(zip(stems, ids, strict=True))
-        self.words: set[bytes] = set()
-        self.spelt: dict[bytes, bytes] = {}
+    def places(self, parts: list[bytes]) -> np.ndarray:
+        """The place of each part in the table, -1 for parts that it lacks."""
+        if not len(self.hashes) or not parts:
+            return np.full(len(parts), -1)
+        at = np.searchsorted(self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts)))
+        at[at == len(self.hashes)] = 0
+        return np.where(pc.equal(self.parts.take(pa.array(at)), pa.array(parts, pa.binary())).to_numpy(zero_copy_only=False), at, -1)
 
-    def missing(self, words: set[bytes]) -> set[bytes]:
-        """Stems and tails of words that aren't among the frequent ones."""
-        out: set[bytes] = set()
-        for w in words - self.words:
-            lack = [p for p in parts_of(w) if p and p not in self.ids]
-            if lack:
-                out.update(lack)
-            elif len(self.words) < self.MOST:
-                self.words.add(w)
-        return out
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32, one plane for each of their bytes."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
-_HOT: dict[str, _Hot] = {}
 
+def _unpacked(frame: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(frame), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
-def _hot(shared) -> _Hot:
-    if shared.value["key"] not in _HOT:
-        _HOT.clear()
-        _HOT[shared.value["key"]] = _Hot(shared.value["stems"], shared.value["ids"])
-    return _HOT[shared.value["key"]]
 
+_BLOCK = "block long, docs array<long>, sizes array<long>, sequence binary, places binary, parts array<binary>"
 
-def _requests(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = _hot(shared)
-        for b in batches:
-            raw, at = text_bytes(b.column("text"))
-            view, wanted = raw.tobytes(), defaultdict(set)
-            for block, s, e in zip(b.column("block").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                wanted[block] |= hot.missing(set(view[s:e].split()))
-            blocks = np.repeat(np.array(list(wanted), np.int64), [len(x) for x in wanted.values()])
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([w for x in wanted.values() for w in x], pa.binary())], ["block", "stem"])
 
-    return run
+def _split(shared):
+    """Blocks of texts: their doc_ids, parts in each text, number of the part at each position, and the parts.
 
+    Parts are numbered by falling frequency. places has a part's place in the frequent ones, plus 1; 0 for others, which
+    parts lists.
+    """
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of a block, in one compressed frame per batch."""
-    pack = zstandard.ZstdCompressor(level=3)
-    for b in batches:
-        raw, at = text_bytes(b.column("text"))
-        blocks, docs = b.column("block").to_numpy(), b.column("doc_id").to_pylist()
-        view, out = raw.tobytes(), []
-        for block in np.unique(blocks).tolist():
-            rows = np.flatnonzero(blocks == block).tolist()
-            texts = [view[at[k] : at[k + 1]] for k in rows]
-            out.append((block, [docs[k] for k in rows], [len(t) for t in texts], pack.compress(b"".join(texts))))
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["block", "docs", "sizes", "frame"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, block = shared.value, TaskContext.get().partitionId() << 32
+        for docs, raw, at in _slices(batches):
+            index, words, first = _words(raw, at)
+            numbers: dict[bytes, int] = {}
+            both = np.array([[numbers.setdefault(p, len(numbers)) if p else -1 for p in parts_of(w)] for w in words], np.int64).reshape(-1, 2)
+            placed = both[index]
+            sizes = np.diff(np.concatenate([[0], np.cumsum((placed >= 0).sum(1))])[first])
+            sequence = placed[placed >= 0]
+            parts, counts = list(numbers), np.bincount(sequence, minlength=len(numbers))
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            parts = [parts[k] for k in order.tolist()]
+            places = hot.places(parts)
+            row = [[block], [docs.to_pylist()], [sizes.tolist()], [_packed(rank[sequence])], [_packed(places + 1)], [[parts[k] for k in np.flatnonzero(places < 0).tolist()]]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["block", "docs", "sizes", "sequence", "places", "parts"])
+            block += 1
+
+    return run
 
 
 @lru_cache(maxsize=2)
@@ -166,31 +174,20 @@ def _decoded(lists: pa.Array, pieces: pa.Array) -> pa.Array:
 
 
 def _assembled(shared, path: str):
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        hot, unpack = _hot(shared), zstandard.ZstdDecompressor()
-        hot.words.clear()
-        own = dict(zip(answers.column("stem").to_pylist(), answers.column("ids").to_pylist(), strict=True))
-        known = dict(hot.spelt)
-
-        def look_up(w: bytes) -> bytes:
-            parts = [p for p in parts_of(w) if p]
-            frequent = all(p in hot.ids for p in parts)
-            known[w] = out = b"".join([hot.ids[p] if p in hot.ids else own[p] for p in parts])
-            if frequent and len(hot.spelt) < hot.MOST:
-                hot.spelt[w] = out
-            return out
-
-        docs, ids, sizes = [], [], []
-        for r in texts.to_pylist():
-            view, at = unpack.decompress(r["frame"]) if r["frame"] else b"", 0
-            docs += r["docs"]
-            for n in r["sizes"]:
-                words = view[at : at + n].split()
-                at += n
-                ids.append(b"".join([known[w] if w in known else look_up(w) for w in words]))
-                sizes.append(len(ids[-1]) // 2)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u2").astype(np.int32)))
-        return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": lists, "decoded": _decoded(lists, _pieces(path))})
+    """The texts of a block: each position takes its part's ids, each id its piece."""
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        hot, r = shared.value, blocks.to_pylist()[0]
+        places = _unpacked(r["places"]) - 1
+        own = pc.take(answers.column("ids").combine_chunks(), pc.sort_indices(answers.column("k"))).to_pylist() if len(answers) else []
+        lengths = np.concatenate([hot.lengths, np.array([len(x) // 2 for x in own], np.int64)])
+        ids, before = np.concatenate([hot.ids, np.frombuffer(b"".join(own), "<u2")]).astype(np.int32), np.cumsum(lengths) - lengths
+        at = np.where(places >= 0, places, len(hot.lengths) + np.cumsum(places < 0) - 1)[_unpacked(r["sequence"])]
+        n = lengths[at]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        flat = ids[np.repeat(before[at] - upto[:-1], n) + np.arange(upto[-1])]
+        lists = pa.ListArray.from_arrays(pa.array(upto[np.concatenate([[0], np.cumsum(r["sizes"])]).astype(np.int64)], pa.int32()), pa.array(flat))
+        return pa.table({"doc_id": pa.array(r["docs"], pa.int64()), "ids": lists, "decoded": _decoded(lists, _pieces(path))})
 
     return run
 
@@ -199,15 +196,13 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, ids (array of int) and decoded (the text that the ids decode to) of every row of docs."""
     spark, path = docs.sparkSession, tokenizer_path or default_path()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    hot = frequent_stems(texts).repartition("stem").mapInArrow(_encode_stems(path), "stem binary, ids binary").toArrow()
-    shared = spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "stems": hot.column("stem").to_pylist(), "ids": hot.column("ids").to_pylist()})
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BLOCK_BYTES + 1)
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    asked = dealt.select("block", "text").mapInArrow(_requests(shared), "block long, stem binary")
-    answers = asked.repartition("stem").sortWithinPartitions("stem").mapInArrow(_encode_stems(path), "block long, stem binary, ids binary")
-    packed = dealt.mapInArrow(_packed, "block long, docs array<long>, sizes array<long>, frame binary")
-    met = packed.groupBy("block").cogroup(answers.groupBy("block"))
+    hot = frequent_parts(texts).repartition("part").mapInArrow(_encode_parts(path), "part binary, ids binary").toArrow()
+    shared = spark.sparkContext.broadcast(_Hot(hot.column("part").to_pylist(), hot.column("ids").to_pylist()))
+    blocks = written(texts.mapInArrow(_split(shared), _BLOCK))
+    asked = blocks.select("block", F.posexplode("parts").alias("k", "part"))
+    distinct = asked.select("part").distinct().mapInArrow(_encode_parts(path), "part binary, ids binary")
+    answers = asked.join(distinct, "part").select(F.col("block").alias("of"), "k", "ids")
+    met = blocks.drop("parts").groupBy("block").cogroup(answers.groupBy("of"))
     return met.applyInArrow(_assembled(shared, path), "doc_id long, ids array<int>, decoded string")
 
 

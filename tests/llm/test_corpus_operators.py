@@ -11,7 +11,6 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
-import zstandard
 from pyspark.sql import functions as F
 
 from barloom.llm import bpe, components, exact_dedup, jaccard_join, licenses, mixing, quality_classifier, quality_rules, registry, token_rollup, token_shards, tokens, url_filter
@@ -152,18 +151,27 @@ def test_bpe(docs, rows, empty):
     assert bpe.encode(empty).count() == 0
 
 
+def test_bpe_of_small_blocks_without_frequent_parts(docs, rows, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(bpe, "frequent_parts", lambda texts: texts.select(F.encode("text", "utf-8").alias("part")).limit(0))
+    assert sorted((r.doc_id, r.ids) for r in bpe.encode(docs).collect()) == sorted((r[0], library_ids(r[1])) for r in rows)
+
+
 def test_decoded_text_is_that_of_the_emitted_ids(monkeypatch):
     """Lists that go wrong as they are put together show in the decoded text."""
     path, text = tokens.default_path(), b"Ta mi so, la."
-    stems = sorted({p for w in text.split() for p in tokens.parts_of(w) if p})
-    told = {"key": "test", "stems": stems, "ids": [tokens.encoder(path).part(p) for p in stems]}
-    texts = pa.table({"docs": [[1]], "sizes": [[len(text)]], "frame": [zstandard.compress(text)]})
-    answers = pa.table({"stem": pa.array([], pa.binary()), "ids": pa.array([], pa.binary())})
-    whole = np.frombuffer
-    monkeypatch.setattr(bpe.np, "frombuffer", lambda *a, **k: whole(*a, **k)[::-1])
-    got = bpe._assembled(SimpleNamespace(value=told), path)(texts, answers).to_pylist()[0]
-    assert got["ids"] == library_ids(text.decode())[::-1]
-    assert got["decoded"] == tokens.tokenizer(path).decode(got["ids"], skip_special_tokens=False)
+    parts = sorted({p for w in text.split() for p in tokens.parts_of(w) if p})
+    hot = bpe._Hot(parts, [tokens.encoder(path).part(p) for p in parts])
+    sequence = [p for w in text.split() for p in tokens.parts_of(w) if p]
+    names = sorted(set(sequence))
+    numbers = np.array([names.index(p) for p in sequence])
+    blocks = pa.table({"docs": [[1]], "sizes": [[len(sequence)]], "sequence": [bpe._packed(numbers)], "places": [bpe._packed(hot.places(names) + 1)]})
+    answers = pa.table({"k": pa.array([], pa.int32()), "ids": pa.array([], pa.binary())})
+    whole = bpe._unpacked
+    monkeypatch.setattr(bpe, "_unpacked", lambda frame: whole(frame)[::-1] if frame == bpe._packed(numbers) else whole(frame))
+    got = bpe._assembled(SimpleNamespace(value=hot), path)(blocks, answers).to_pylist()[0]
+    assert got["ids"] == [k for p in sequence[::-1] for k in np.frombuffer(tokens.encoder(path).part(p), "<u2").tolist()]
+    assert got["decoded"] == tokens.tokenizer(path).decode(got["ids"], skip_special_tokens=False) != tokens.tokenizer(path).decode(library_ids(text.decode()), skip_special_tokens=False)
 
 
 def test_decode_of_nulls_and_unknown_ids(spark):
