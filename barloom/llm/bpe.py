@@ -5,14 +5,16 @@ marks at its end), its parts, which the texts are made of:
 
 1. Part counts find the most frequent parts; their ids form a table of bounded size that every task holds.
 2. Texts are split once, in blocks of about BLOCK_BYTES: a block keeps the number of the part at each position,
-   and the list of its distinct parts. Texts themselves aren't moved.
-3. The distinct parts of all blocks that aren't frequent are the table of distinct words: each is encoded once, and
-   its ids are joined back to the blocks that have it.
+   and the list of its distinct parts. Only these are moved, not the texts.
+3. The parts of all blocks that aren't frequent are sorted, each distinct one is encoded once, and its ids are joined
+   back to the blocks that have it. The frequent ones being left out, a part has few requests, one for each block
+   at most.
 4. Block by block, each position takes the ids of its part. Each id of the finished lists then takes its piece
    from the id-to-piece table (one row per id of the vocabulary, in every task), and pieces joined by spaces are
    the decoded text.
 
-Blocks are told apart by the task that split them, not by what they hold: repeated rows share no block but by chance.
+Tasks form blocks of the rows they read, whatever these hold, so repeated rows make no block larger. docs must come in
+the same order when lost tasks read them again, as files do; else an error is raised, and docs should be written first.
 
 Defined results: null text is an empty text, with no ids and an empty decoded text; repeated rows each get
 a row; null doc_ids are kept; special tokens' strings in a text become their ids, as the library does
@@ -22,7 +24,8 @@ times its bytes. Vocabularies have at most 65,536 ids, others raise an error.
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,19 +34,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import SPACE_BYTES, text_bytes, word_spans, written
+from barloom.llm.common import SPACE_BYTES, text_bytes, word_spans
 from barloom.llm.tokens import default_path, encoder, parts_of, tokenizer
 
-#: Parts in the table that every task holds, each of at most HOT_BYTES: 6 MB at the very most, about 3 MB for prose.
-HOT_PARTS, HOT_BYTES = 1 << 17, 32
+#: Parts in the table that every task holds, each of at most HOT_BYTES: 30 MB at the very most, about 12 MB for prose.
+HOT_PARTS, HOT_BYTES = 1 << 19, 32
 #: A part counts in a block of text from this many occurrences there; fewer don't matter for which are the most frequent,
 #: and which they are changes no result.
-LEAST_IN_BLOCK = 4
-BLOCK_BYTES = 4 << 20
+LEAST_IN_BLOCK = 2
+BLOCK_BYTES = 8 << 20
+#: Answers that a task packs at once.
+MOST_ASKED = 1 << 18
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -95,6 +99,46 @@ def _encode_parts(path: str):
     return run
 
 
+def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of blocks that aren't frequent, each with its block and number there."""
+    for b in batches:
+        parts = b.column("parts")
+        n = parts.value_lengths().to_numpy()
+        ks = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("block").to_numpy(), n)), pa.array(ks, pa.int32()), parts.flatten()], ["of", "k", "part"])
+
+
+def _answers(path: str):
+    """Rows (of, k, part) in the order of parts, to the ids of each block's parts; a distinct part is encoded once.
+
+    A block's answers are packed by task: one row for each block that asked for any of the task's parts.
+    """
+
+    def told(blocks: dict[int, list[tuple[int, bytes]]]) -> pa.RecordBatch:
+        ks = [_packed(np.array([k for k, _ in x])) for x in blocks.values()]
+        lengths = [_packed(np.array([len(i) // 2 for _, i in x])) for x in blocks.values()]
+        ids = [_packed(np.frombuffer(b"".join([i for _, i in x]), "<u2")) for x in blocks.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), *(pa.array(c, pa.binary()) for c in (ks, lengths, ids))], ["of", "ks", "lengths", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, ids = encoder(path).part, None, b""
+        blocks: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
+        asked = 0
+        for b in batches:
+            for block, k, p in zip(b.column("of").to_pylist(), b.column("k").to_pylist(), b.column("part").to_pylist(), strict=True):
+                if p != last:
+                    last, ids = p, part(p)
+                blocks[block].append((k, ids))
+            asked += len(b)
+            if asked > MOST_ASKED:
+                yield told(blocks)
+                blocks.clear()
+                asked = 0
+        yield told(blocks)
+
+    return run
+
+
 class _Hot:
     """The frequent parts, in the order of their hashes, and their ids."""
 
@@ -130,11 +174,11 @@ def _split(shared):
     """Blocks of texts: their doc_ids, parts in each text, number of the part at each position, and the parts.
 
     Parts are numbered by falling frequency. places has a part's place in the frequent ones, plus 1; 0 for others, which
-    parts lists.
+    parts lists. A block is named by a digest of these lists.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, block = shared.value, TaskContext.get().partitionId() << 32
+        hot = shared.value
         for docs, raw, at in _slices(batches):
             index, words, first = _words(raw, at)
             numbers: dict[bytes, int] = {}
@@ -148,10 +192,12 @@ def _split(shared):
             rank[order] = np.arange(len(order))
             parts = [parts[k] for k in order.tolist()]
             places = hot.places(parts)
-            row = [[block], [docs.to_pylist()], [sizes.tolist()], [_packed(rank[sequence])], [_packed(places + 1)], [[parts[k] for k in np.flatnonzero(places < 0).tolist()]]]
+            others = [parts[k] for k in np.flatnonzero(places < 0).tolist()]
+            packed = _packed(places + 1)
+            block = hashlib.blake2b(b"\0".join([packed, *others]), digest_size=8).digest()
+            row = [[int.from_bytes(block, "little", signed=True)], [docs.to_pylist()], [sizes.tolist()], [_packed(rank[sequence])], [packed], [others]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["block", "docs", "sizes", "sequence", "places", "parts"])
-            block += 1
 
     return run
 
@@ -174,20 +220,27 @@ def _decoded(lists: pa.Array, pieces: pa.Array) -> pa.Array:
 
 
 def _assembled(shared, path: str):
-    """The texts of a block: each position takes its part's ids, each id its piece."""
-
-    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        hot, r = shared.value, blocks.to_pylist()[0]
-        places = _unpacked(r["places"]) - 1
-        own = pc.take(answers.column("ids").combine_chunks(), pc.sort_indices(answers.column("k"))).to_pylist() if len(answers) else []
-        lengths = np.concatenate([hot.lengths, np.array([len(x) // 2 for x in own], np.int64)])
-        ids, before = np.concatenate([hot.ids, np.frombuffer(b"".join(own), "<u2")]).astype(np.int32), np.cumsum(lengths) - lengths
-        at = np.where(places >= 0, places, len(hot.lengths) + np.cumsum(places < 0) - 1)[_unpacked(r["sequence"])]
-        n = lengths[at]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        flat = ids[np.repeat(before[at] - upto[:-1], n) + np.arange(upto[-1])]
-        lists = pa.ListArray.from_arrays(pa.array(upto[np.concatenate([[0], np.cumsum(r["sizes"])]).astype(np.int64)], pa.int32()), pa.array(flat))
-        return pa.table({"doc_id": pa.array(r["docs"], pa.int64()), "ids": lists, "decoded": _decoded(lists, _pieces(path))})
+    """The texts of blocks: each position takes its part's ids, each id its piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
+        for r in (b.slice(k, 1).to_pylist()[0] for b in batches for k in range(len(b))):
+            places, answers = _unpacked(r["places"]) - 1, r["answers"] or []
+            column = lambda c: np.concatenate([*(_unpacked(x[c]) for x in answers), np.zeros(0, np.int64)])
+            ks, got, own = column("ks"), column("lengths"), column("ids")
+            lengths = np.concatenate([hot.lengths, got])
+            before = np.cumsum(lengths) - lengths
+            if len(np.unique(ks)) < (places < 0).sum():
+                raise RuntimeError("texts came in another order as they were read again: write them to files first")
+            where = np.empty(len(places), np.int64)
+            where[places >= 0] = places[places >= 0]
+            where[np.flatnonzero(places < 0)[ks]] = len(hot.lengths) + np.arange(len(ks))
+            at = where[_unpacked(r["sequence"])]
+            n = lengths[at]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            flat = np.concatenate([hot.ids.astype(np.int32), own.astype(np.int32)])[np.repeat(before[at] - upto[:-1], n) + np.arange(upto[-1])]
+            lists = pa.ListArray.from_arrays(pa.array(upto[np.concatenate([[0], np.cumsum(r["sizes"])]).astype(np.int64)], pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([pa.array(r["docs"], pa.int64()), lists, _decoded(lists, _pieces(path))], ["doc_id", "ids", "decoded"])
 
     return run
 
@@ -198,12 +251,12 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     hot = frequent_parts(texts).repartition("part").mapInArrow(_encode_parts(path), "part binary, ids binary").toArrow()
     shared = spark.sparkContext.broadcast(_Hot(hot.column("part").to_pylist(), hot.column("ids").to_pylist()))
-    blocks = written(texts.mapInArrow(_split(shared), _BLOCK))
-    asked = blocks.select("block", F.posexplode("parts").alias("k", "part"))
-    distinct = asked.select("part").distinct().mapInArrow(_encode_parts(path), "part binary, ids binary")
-    answers = asked.join(distinct, "part").select(F.col("block").alias("of"), "k", "ids")
-    met = blocks.drop("parts").groupBy("block").cogroup(answers.groupBy("of"))
-    return met.applyInArrow(_assembled(shared, path), "doc_id long, ids array<int>, decoded string")
+    # one exchange, which both its readers use: they have all its columns
+    blocks = texts.mapInArrow(_split(shared), _BLOCK).repartition("block")
+    asked = blocks.mapInArrow(_requests, "of long, k int, part binary").repartition("part").sortWithinPartitions("part")
+    answers = asked.mapInArrow(_answers(path), "of long, ks binary, lengths binary, ids binary").groupBy("of").agg(F.collect_list(F.struct("ks", "lengths", "ids")).alias("answers"))
+    met = blocks.join(answers, F.col("block") == F.col("of"), "left").select(*blocks.columns, "answers")
+    return met.mapInArrow(_assembled(shared, path), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
