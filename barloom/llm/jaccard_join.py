@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import SPACE_BYTES, TO_LOWER, mix64, text_bytes, word_spans, written
@@ -48,6 +48,8 @@ LEAD_NUM, LEAD_DEN = 3, 5
 COMMON = 1 << 17
 #: Bytes of text whose words are hashed at once; the arrays take about 50 times as much.
 SLICE = 1 << 20
+#: Tokens of sets that are counted together: 8 MB, and three times as much to sort them.
+WINDOW = 1 << 20
 #: Entries of a block, about.
 BLOCK = 128
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -133,12 +135,25 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens that two or more different sets of a part of a batch have, with their number."""
-    for _, sets in _sets_of(batches):
-        own = {s.tobytes(): s for s in sets if len(s)}
+    """Tokens that two or more different sets of about WINDOW tokens have, with their number."""
+    own: dict[bytes, np.ndarray] = {}
+
+    def told() -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate([*own.values(), np.zeros(0, np.uint64)]), return_counts=True)
         some = counts > 1
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(counts[some], pa.int64())], ["token", "sets"])
+        return pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(counts[some], pa.int64())], ["token", "sets"])
+
+    held = 0
+    for _, sets in _sets_of(batches):
+        for s in sets:
+            if len(s) and (key := _digest(s)) not in own:
+                own[key] = s
+                held += len(s)
+        if held > WINDOW:
+            yield told()
+            own.clear()
+            held = 0
+    yield told()
 
 
 def _prefixes(shared):
@@ -220,20 +235,31 @@ def _leaders(tested: DataFrame) -> DataFrame:
     return best.select("rep", F.col("x.bn").alias("n"), F.col("x.a").alias("lead"), F.col("x.an").alias("base"), "x.missing", "x.added", far.alias("far"))
 
 
-def _difference_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Prefixes of the sets' differences from their leaders (added tokens first, the rarer ones), as entries of lists."""
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets' differences from their leaders, token by token; upto: how many of them a set's prefix has."""
     for b in batches:
-        cols = [[] for _ in range(7)]
+        cols = [[] for _ in range(8)]
         for r in b.to_pylist():
             added, missing = np.frombuffer(r["added"], np.int64), np.frombuffer(r["missing"], np.int64)
             a, m = len(added), len(missing)
             # what links of the set share of their differences at least: needed - base + the numbers of both sets' missing tokens
             nine = NUM * (r["n"] + r["base"]) - (NUM + DEN) * (r["base"] - m) if r["far"] else NUM * a + DEN * m + 1
             upto = max(0, a + m - max(1, -(-nine // (NUM + DEN))) + 1)
-            tokens, leads = np.concatenate([added, missing])[:upto], np.where(np.arange(a + m) < a, r["lead"], ~r["lead"])[:upto]
-            for c, v in zip(cols, (tokens, leads, np.full(upto, r["rep"]), np.full(upto, r["n"]), a + m - np.arange(upto), np.full(upto, m), np.full(upto, r["base"])), strict=True):
+            leads = np.where(np.arange(a + m) < a, r["lead"], ~r["lead"])
+            for c, v in zip(cols, (np.concatenate([added, missing]), leads, *(np.full(a + m, v) for v in (r["rep"], r["n"], a + m, m, r["base"], upto))), strict=True):
                 c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*c, np.zeros(0, np.int64)]).astype(np.int64)) for c in cols], _ENTRY)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*c, np.zeros(0, np.int64)]).astype(np.int64)) for c in cols], _DIFFERENCE)
+
+
+_DIFFERENCE = ["k1", "k2", "rep", "n", "size", "extra", "base", "upto"]
+
+
+def _difference_lists(lead: DataFrame) -> DataFrame:
+    """Prefixes of the sets' differences from their leaders, those that few sets of the leader have first, as _ENTRY."""
+    told = written(lead.mapInArrow(_differences, ", ".join(f"{c} long" for c in _DIFFERENCE)))
+    sets = told.groupBy("k1", "k2").agg(F.count("*").alias("sets"))
+    pos = F.row_number().over(Window.partitionBy("rep").orderBy("sets", "k2", "k1")) - 1  # no more than two sets' tokens
+    return told.join(sets, ["k1", "k2"]).withColumn("pos", pos).filter("pos < upto").withColumn("room", F.col("size") - F.col("pos")).select(*_ENTRY)
 
 
 _ENTRY = ["k1", "k2", "rep", "n", "room", "extra", "base"]
@@ -306,7 +332,7 @@ def _class_components(classes: DataFrame, texts: DataFrame, edges: DataFrame) ->
     common = counts.orderBy(F.desc("sets"), "token").limit(COMMON).select("token").toArrow().column("token").to_numpy()
     shared = spark.sparkContext.broadcast(common.astype(np.int64).tobytes())
     own = texts.mapInArrow(_prefixes(shared), "digest binary, tokens array<long>").groupBy("digest").agg(F.first("tokens").alias("tokens"))
-    index = written(own.join(classes.select("digest", "rep", "n"), "digest").select("rep", "n", "tokens"))
+    index = own.join(classes.select("digest", "rep", "n"), "digest").select("rep", "n", "tokens")
     entries = index.select("rep", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "rep", "n", (F.col("n") - F.col("pos")).alias("room"))
     several = entries.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1").select("token")
     size = F.floor(F.log("n") / F.log(F.lit(DEN / NUM))).cast("int")
@@ -323,7 +349,7 @@ def _class_components(classes: DataFrame, texts: DataFrame, edges: DataFrame) ->
     # across components: lists of tokens, and lists of differences where a leader has sets that don't link with it
     lead = written(_leaders(first))
     odd = lead.groupBy("lead").agg(F.max("far").alias("odd"), F.count("*").alias("sets")).filter("odd and sets > 1").select("lead")
-    differences = lead.join(odd, "lead", "left_semi").mapInArrow(_difference_lists, ", ".join(f"{c} long" for c in _ENTRY))
+    differences = _difference_lists(lead.join(odd, "lead", "left_semi"))
     both = lists.select(F.col("token").alias("k1"), F.lit(_TOKENS).cast("long").alias("k2"), "rep", F.col("n").cast("long").alias("n"), F.col("room").cast("long").alias("room"), F.lit(0).cast("long").alias("extra"), F.lit(0).cast("long").alias("base")).union(differences)
     named = both.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = written(named.join(lead.select("rep", "lead"), "rep", "left").select(*_ENTRY, "component", "lead"))
