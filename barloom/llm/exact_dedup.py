@@ -95,9 +95,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_largest(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all columns; rows with one doc_id and equal texts become one of them."""
-    stay = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_stay_id"), F.col("text_sha256").alias("_stay_digest"))
-    told = docs.withColumn("_digest", F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256))
+    """The rows of docs that stay, with all columns, of any names; rows with one doc_id and equal texts become one of them."""
+    stay = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_digest"))
+    digest = F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256)
+    told = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), digest.alias("digest"))
     # by text too: a doc_id may have several, of which only some stay
-    left = told.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay_id")) & (F.col("_digest") == F.col("_stay_digest")), "left_semi")
-    return left.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    left = told.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("digest") == F.col("stay_digest")), "left_semi")
+    return left.dropDuplicates(["id", "digest"]).select("row.*")

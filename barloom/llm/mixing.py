@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import let
 
-#: Shares that square_root_targets are rounded to; their period has at most PERIOD slots and one per source.
-PERIOD = 1000
 #: Documents in a block.
 BLOCK_DOCS = 32
 #: doc_ids that are ranked together, so that no source is ranked in one task.
@@ -35,18 +33,8 @@ def _key(source: Column) -> Column:
     return F.coalesce(source, F.lit("\0"))
 
 
-def square_root_targets(docs: DataFrame) -> DataFrame:
-    """source, share: in proportion to the (whole) square root of each source's number of documents, rounded as OP7_SQL does.
-
-    With so many sources that a root is a small part of PERIOD, rounding moves the shares; root_targets keep them.
-    """
-    roots = docs.groupBy("source").agg(F.floor(F.sqrt(F.count("*"))).cast("long").alias("root"))
-    total = F.sum("root").over(Window.partitionBy())
-    return roots.select("source", F.greatest(F.lit(1).cast("long"), F.expr(f"{PERIOD} * root div 1")).alias("share"), total.alias("total")).select("source", F.greatest(F.lit(1).cast("long"), F.expr("share div total")).alias("share"))
-
-
 def root_targets(docs: DataFrame) -> DataFrame:
-    """source, share: the whole square root of each source's number of documents, not rounded to shares of PERIOD."""
+    """source, share: the whole square root of each source's number of documents."""
     return docs.groupBy("source").agg(F.floor(F.sqrt(F.count("*"))).cast("long").alias("share"))
 
 

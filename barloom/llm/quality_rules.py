@@ -2,14 +2,14 @@
 
 Words and word pairs are hashed into buckets. Two multinomials over the buckets, one of a trusted target
 (documents known to be good) and one of the raw corpus, give every bucket a log ratio; a document's score is
-the mean log ratio of its n-grams. Ratios are rounded to whole millionths before they are summed, so a
+the mean log ratio of its n-grams. The target's counts are smoothed towards the raw corpus, log((good + k) /
+(raw * G / R + k)) for totals G and R, so n-grams as usual in both score 0 however much is labelled. Ratios are rounded to whole millionths before they are summed, so a
 score doesn't depend on the order of summation and the threshold decides every document the same way
 each time. All of it is built-in expressions; the only rows shuffled are texts (once, to meet the trusted
 ids) and one row per bucket and task.
 
 Defined results: null text is an empty text; a text without words has score null and fails the base rules;
-a trusted set without words gives every bucket the same ratio for its family of counts, so the smoothing
-alone decides; repeated rows are scored as they are; null doc_ids are never trusted; only doc_id and text
+a trusted set without words gives every bucket the ratio 0, so the base rules alone decide; repeated rows are scored as they are; null doc_ids are never trusted; only doc_id and text
 (labels: doc_id, quality) are read, so other columns may have any names.
 """
 
@@ -24,10 +24,10 @@ from barloom.llm.common import let, words
 BUCKETS = 65521
 #: Multiplier that makes a pair's hash depend on the order of its words.
 PAIR = 1000003
-#: Added to every bucket's counts.
+#: k, in occurrences.
 SMOOTHING = 1.0
 #: Mean log ratio per n-gram from which a document is kept.
-THRESHOLD = -0.15
+THRESHOLD = -0.3
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
 
@@ -92,9 +92,9 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     every = spark.range(2 * BUCKETS).select(F.col("id").alias("bucket")).join(counts, "bucket", "left").select("bucket", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("raw", F.lit(0)).alias("raw"))
     row = every.agg(F.sum("good").alias("good"), F.sum("raw").alias("raw"), F.sort_array(F.collect_list(F.struct("bucket", "good", "raw"))).alias("counts"))
-    mass = 2.0 * BUCKETS * SMOOTHING
-    share = lambda n, total: (n + F.lit(SMOOTHING)) / (total + F.lit(mass))
-    return row.select(F.transform("counts", lambda c: F.round(F.log(share(c["good"], F.col("good")) / share(c["raw"], F.col("raw"))) * 1e6).cast("long")).alias("weights"))
+    # what the target would have of a bucket if it were like the raw corpus
+    alike = lambda c: c["raw"].cast("double") * F.col("good").cast("double") / F.greatest(F.col("raw"), F.lit(1)).cast("double")
+    return row.select(F.transform("counts", lambda c: F.round(F.log((c["good"] + F.lit(SMOOTHING)) / (alike(c) + F.lit(SMOOTHING))) * 1e6).cast("long")).alias("weights"))
 
 
 def _total(h: Column, weights: Column) -> Column:

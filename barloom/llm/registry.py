@@ -143,7 +143,7 @@ WITH d AS (
 ), counts AS (
   SELECT b, count(*) AS raw, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good FROM buckets GROUP BY b
 ), weights AS (
-  SELECT b, round(ln(((good + 1.0::DOUBLE) / ((SELECT sum(good) FROM counts)::DOUBLE + 131042)) / ((raw + 1.0::DOUBLE) / ((SELECT sum(raw) FROM counts)::DOUBLE + 131042))) * 1000000.0::DOUBLE)::BIGINT AS weight FROM counts
+  SELECT b, round(ln((good + 1.0::DOUBLE) / (raw::DOUBLE * (SELECT sum(good) FROM counts)::DOUBLE / (SELECT sum(raw) FROM counts)::DOUBLE + 1.0::DOUBLE)) * 1000000.0::DOUBLE)::BIGINT AS weight FROM counts
 ), totals AS (
   SELECT n, sum(weight)::BIGINT AS total FROM buckets JOIN weights USING (b) GROUP BY n
 ), stats AS (
@@ -154,21 +154,19 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND total >= -150000 * (2 * n_words - 1) AS kept,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND total >= -300000 * (2 * n_words - 1) AS kept,
        total / (2 * n_words - 1)::DOUBLE / 1000000.0::DOUBLE AS score
 FROM stats
 """
 
 def op7_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.placed(docs, mixing.square_root_targets(docs))
+    return mixing.placed(docs, mixing.root_targets(docs))
 
 
 OP7_SQL = f"""
-WITH RECURSIVE roots AS (
-  SELECT coalesce(source, chr(0)) AS key, floor(sqrt(count(*)))::BIGINT AS root FROM documents GROUP BY 1
-), shares AS (
-  SELECT key, greatest(1, ({mixing.PERIOD} * root) // (SELECT sum(root)::BIGINT FROM roots)) AS share FROM roots
+WITH RECURSIVE shares AS (
+  SELECT coalesce(source, chr(0)) AS key, floor(sqrt(count(*)))::BIGINT AS share FROM documents GROUP BY 1
 ), one AS (
   SELECT list({{'k': key, 'e': share}} ORDER BY key) AS al, sum(share)::BIGINT AS p FROM shares
 ), sim AS (

@@ -53,7 +53,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow") ->
     rules: verdict, host, path. Of rules as long, the one that sorts first decides, so results don't
     depend on the rules' order.
     """
-    told = rules.select("verdict", F.lower("host").alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path")).filter("rule_host is not null")
+    told = rules.select("verdict", lower_ascii(F.col("host")).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path")).filter("rule_host is not null")
     told = told.withColumn("digest", _key(F.col("rule_host"), F.col("rule_path"))).withColumn("prefix", F.substring("digest", 1, 8))
     told = told.withColumn("rule", F.concat("rule_host", "rule_path"))
     # lengths of rule paths: no more of them than a URL has characters
