@@ -10,22 +10,22 @@ from barloom.llm.common import table, written
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass the quality rules, whose trusted target are the documents labelled good."""
+    """The documents that pass the quality rules, whose trusted target are the documents labelled good; null and empty texts go."""
     return quality_rules.keep_good(docs, quality_rules.trusted_ids(table(spark, sf_dir, "labels")))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the largest doc_id."""
+    """Of equal texts, the one with the largest doc_id; rows without a doc_id come last, repeated rows become one."""
     return exact_dedup.keep_largest(docs)
 
 
 def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the one with the smallest doc_id."""
+    """Of each group of near-duplicates, the one with the smallest doc_id; rows without a doc_id stay."""
     return jaccard_join.keep_smallest(docs)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, ordered so that every stretch has the sources by their target weights."""
+    """All documents, ordered so that every stretch has the sources by their target weights; a null source is one of its own."""
     return mixing.mixed(docs)
 
 
@@ -36,8 +36,8 @@ def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     at = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     sizes = at.groupBy("file").agg(F.count("*").alias("n"))
-    # a row for each file
-    before = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    # a row for each file; numbers of part files have five digits or more, so longer names come later
+    before = sizes.select("file", (F.sum("n").over(Window.orderBy(F.length("file"), "file")) - F.col("n")).alias("before"))
     placed = at.join(F.broadcast(before), "file").select((F.col("before") + F.col("row")).alias("position"), "doc_id", "text")
     told = bpe.digests(bpe.encode(placed.select(F.col("position").alias("doc_id"), "text"))).withColumnRenamed("doc_id", "position")
     return placed.select("position", "doc_id").join(told, "position").orderBy("position")
@@ -51,7 +51,7 @@ STAGES = [
     ("bpe", encoded_documents),
 ]
 
-#: SQL can express neither near-duplicate components of any size nor BPE: tests/llm/test_pipeline.py has a plain version.
+#: SQL can express neither near-duplicate components of any size nor BPE: test_pipeline in tests/llm is a plain version.
 ORACLE_SQL = None
 
 
