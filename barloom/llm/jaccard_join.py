@@ -18,7 +18,7 @@ by relations between sets:
   the differences have an index of their own, whose prefixes and rooms follow from that number, and no text is read.
 
 Tokens are 64-bit: XXH3 of every distinct word, mixed by position. Pairs from the lists are tested by parity sketches
-first (which never reject a link), then by the sets themselves.
+(which never reject a link), inside the blocks already, then by the sets themselves.
 
 Defined results: null text and texts without words have an empty set and link with nothing; a text with
 fewer words than n has its whole sequence as its one n-gram; equal texts link; rows that share a doc_id are one
@@ -50,8 +50,8 @@ COMMON = 1 << 17
 SLICE = 1 << 20
 #: Tokens of sets that are counted together: 8 MB, and three times as much to sort them.
 WINDOW = 1 << 20
-#: Entries of a block, about.
-BLOCK = 128
+#: Entries of a block, about, and cells of the sketches that they carry.
+BLOCK, FOLD = 64, 256
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 #: The second key of tokens' lists; lists of differences have their leader there (or its complement, for missing tokens).
 _TOKENS = -(1 << 63)
@@ -109,8 +109,8 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
-    """One bit per cell: whether an odd number of tokens falls into it; a power of two of cells, at least len(s)."""
-    bits = 64
+    """One bit per cell: whether an odd number of tokens falls into it; a power of two of cells, at least len(s) and FOLD."""
+    bits = FOLD
     while bits < len(s):
         bits *= 2
     cells = (s & np.uint64(bits - 1)).astype(np.int64)
@@ -127,11 +127,19 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def folded(sketch: bytes) -> bytes:
+    """A sketch of FOLD cells from a larger one."""
+    x = np.frombuffer(sketch, np.uint8)
+    while len(x) > FOLD // 8:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for docs, sets in _sets_of(batches):
-        kinds = [pa.int32(), pa.binary(), pa.binary()]
-        cols = [[len(s) for s in sets], [_digest(s) for s in sets], [parity_sketch(s) for s in sets]]
-        yield pa.RecordBatch.from_arrays([docs, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n", "digest", "sketch"])
+        kinds, sketches = [pa.int32(), pa.binary(), pa.binary(), pa.binary()], [parity_sketch(s) for s in sets]
+        cols = [[len(s) for s in sets], [_digest(s) for s in sets], sketches, [folded(x) for x in sketches]]
+        yield pa.RecordBatch.from_arrays([docs, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n", "digest", "sketch", "fold"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +271,7 @@ def _difference_lists(lead: DataFrame) -> DataFrame:
 
 
 _ENTRY = ["k1", "k2", "rep", "n", "room", "extra", "base"]
-_ITEM = ["rep", "n", "room", "extra", "component", "lead"]
+_ITEM = ["rep", "n", "room", "extra", "component", "lead"]  # and fold
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +281,10 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name in ("xs", "ys"):
             lists = b.column(name)
             items = lists.flatten()
-            sides.append(([items.field(c).fill_null(-1).to_numpy() for c in _ITEM], np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])))
+            folds = np.frombuffer(b"".join(items.field("fold").to_pylist()), np.uint64).reshape(-1, FOLD // 64)
+            sides.append(([items.field(c).fill_null(-1).to_numpy() for c in _ITEM], folds, np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])))
         out = [[] for _ in range(5)]
-        (xs, xat), (ys, yat) = sides
+        (xs, xfold, xat), (ys, yfold, yat) = sides
         for k in range(len(base)):
             (rx, nx, ox, ex, cx, lx), (ry, ny, oy, ey, cy, ly) = [c[xat[k] : xat[k + 1], None] for c in xs], [c[None, yat[k] : yat[k + 1]] for c in ys]
             room, of_list = np.minimum(ox, oy), base[k] == 0
@@ -284,6 +293,9 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if of_list:
                 ok &= (lx != ly) | (lx < 0)
             i, j = np.nonzero(ok)
+            # sets differ by no less than their sketches do
+            near = (NUM + DEN) * np.bitwise_count(xfold[xat[k] + i] ^ yfold[yat[k] + j]).sum(1, dtype=np.int64) <= (DEN - NUM) * (nx[i, 0] + ny[0, j])
+            i, j = i[near], j[near]
             a, c = rx[i, 0], ry[0, j]
             swap = a > c
             for o, v in zip(out, (np.minimum(a, c), np.maximum(a, c), np.where(swap, ny[0, j], nx[i, 0]), np.where(swap, nx[i, 0], ny[0, j]), np.full(len(i), not of_list)), strict=True):
@@ -295,7 +307,7 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(entries: DataFrame) -> DataFrame:
     """a, b, an, bn, derived: pairs of different components that share a list and may link, block by block.
 
-    entries: _ENTRY, component, lead. A pair needs 4 / 9 of its tokens, and the two extras less base besides, in
+    entries: _ENTRY, component, lead, fold. A pair needs 4 / 9 of its tokens, and the two extras less base besides, in
     room. Blocks are of one size class and class of room.
     """
     size, room = F.floor(F.log("n") / F.log(F.lit(DEN / NUM))).cast("int"), F.floor(F.col("room") * 4 * DEN / F.col("n")).cast("int")
@@ -304,7 +316,7 @@ def _across(entries: DataFrame) -> DataFrame:
     parts = classed.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("parts")).filter("parts > 1")
     dealt = classed.join(parts, key, "left").withColumn("part", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))))
     ends = [F.min("n").alias("n"), F.max("room").alias("room"), F.min("extra").alias("extra"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("base").alias("base")]
-    blocks = written(dealt.groupBy(*key, "part").agg(F.collect_list(F.struct(*_ITEM)).alias("items"), *ends).withColumn("id", F.struct("size", "rooms", "part")))
+    blocks = written(dealt.groupBy(*key, "part").agg(F.collect_list(F.struct(*_ITEM, "fold")).alias("items"), *ends).withColumn("id", F.struct("size", "rooms", "part")))
     x, y = (blocks.select("k1", "k2", *(F.col(c).alias(s + c) for c in ("id", "size", "items", "n", "room", "extra", "lo", "hi", "base"))) for s in "xy")
     needed = NUM * (F.col("xn") + F.col("yn")) + (NUM + DEN) * (F.col("xextra") + F.col("yextra") - F.col("xbase"))
     one = (F.col("xlo") == F.col("xhi")) & (F.col("ylo") == F.col("yhi")) & (F.col("xlo") == F.col("ylo"))
@@ -354,7 +366,7 @@ def _class_components(classes: DataFrame, texts: DataFrame, edges: DataFrame) ->
     named = both.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = written(named.join(lead.select("rep", "lead"), "rep", "left").select(*_ENTRY, "component", "lead"))
     mixed = named.groupBy("k1", "k2").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("k1", "k2")
-    pairs = _across(named.join(mixed, ["k1", "k2"]))
+    pairs = _across(named.join(mixed, ["k1", "k2"]).join(classes.select("rep", "fold"), "rep"))
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = written(pairs.join(done, ["a", "b"], "left_anti").select("a", "b", "an", "bn", "derived"))
     second = _links(_tested(pairs.filter("not derived").drop("derived").distinct(), classes, texts))
@@ -367,9 +379,9 @@ def _class_components(classes: DataFrame, texts: DataFrame, edges: DataFrame) ->
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, for every row of docs."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    told = written(texts.mapInArrow(_describe, "doc_id long, n int, digest binary, sketch binary"))
+    told = written(texts.mapInArrow(_describe, "doc_id long, n int, digest binary, sketch binary, fold binary"))
     full = told.filter("doc_id is not null and n > 0")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("fold").alias("fold"))
     classes = written(classes.withColumn("rep", F.monotonically_increasing_id()))
     members = written(full.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep"))
     of_doc = members.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
