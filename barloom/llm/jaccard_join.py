@@ -52,6 +52,7 @@ SLICE = 1 << 20
 WINDOW = 1 << 20
 #: Entries of a block, about, and cells of the sketches that they carry.
 BLOCK, FOLD = 64, 256
+_FOLDS = [f"f{k}" for k in range(FOLD // 64)]
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 #: The second key of tokens' lists; lists of differences have their leader there (or its complement, for missing tokens).
 _TOKENS = -(1 << 63)
@@ -137,9 +138,10 @@ def folded(sketch: bytes) -> bytes:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for docs, sets in _sets_of(batches):
-        kinds, sketches = [pa.int32(), pa.binary(), pa.binary(), pa.binary()], [parity_sketch(s) for s in sets]
-        cols = [[len(s) for s in sets], [_digest(s) for s in sets], sketches, [folded(x) for x in sketches]]
-        yield pa.RecordBatch.from_arrays([docs, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n", "digest", "sketch", "fold"])
+        kinds, sketches = [pa.int32(), pa.binary(), pa.binary()], [parity_sketch(s) for s in sets]
+        cols = [[len(s) for s in sets], [_digest(s) for s in sets], sketches]
+        folds = np.frombuffer(b"".join(map(folded, sketches)), np.int64).reshape(-1, len(_FOLDS))
+        yield pa.RecordBatch.from_arrays([docs, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *map(pa.array, np.ascontiguousarray(folds.T))], ["doc_id", "n", "digest", "sketch", *_FOLDS])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +273,7 @@ def _difference_lists(lead: DataFrame) -> DataFrame:
 
 
 _ENTRY = ["k1", "k2", "rep", "n", "room", "extra", "base"]
-_ITEM = ["rep", "n", "room", "extra", "component", "lead"]  # and fold
+_ITEM = ["rep", "n", "room", "extra", "component", "lead"]
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +283,7 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name in ("xs", "ys"):
             lists = b.column(name)
             items = lists.flatten()
-            folds = np.frombuffer(b"".join(items.field("fold").to_pylist()), np.uint64).reshape(-1, FOLD // 64)
+            folds = np.stack([items.field(c).to_numpy() for c in _FOLDS], 1).view(np.uint64)
             sides.append(([items.field(c).fill_null(-1).to_numpy() for c in _ITEM], folds, np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])))
         out = [[] for _ in range(5)]
         (xs, xfold, xat), (ys, yfold, yat) = sides
@@ -307,7 +309,7 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(entries: DataFrame) -> DataFrame:
     """a, b, an, bn, derived: pairs of different components that share a list and may link, block by block.
 
-    entries: _ENTRY, component, lead, fold. A pair needs 4 / 9 of its tokens, and the two extras less base besides, in
+    entries: _ENTRY, component, lead, _FOLDS. A pair needs 4 / 9 of its tokens, and the two extras less base besides, in
     room. Blocks are of one size class and class of room.
     """
     size, room = F.floor(F.log("n") / F.log(F.lit(DEN / NUM))).cast("int"), F.floor(F.col("room") * 4 * DEN / F.col("n")).cast("int")
@@ -316,7 +318,7 @@ def _across(entries: DataFrame) -> DataFrame:
     parts = classed.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("parts")).filter("parts > 1")
     dealt = classed.join(parts, key, "left").withColumn("part", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))))
     ends = [F.min("n").alias("n"), F.max("room").alias("room"), F.min("extra").alias("extra"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("base").alias("base")]
-    blocks = written(dealt.groupBy(*key, "part").agg(F.collect_list(F.struct(*_ITEM, "fold")).alias("items"), *ends).withColumn("id", F.struct("size", "rooms", "part")))
+    blocks = written(dealt.groupBy(*key, "part").agg(F.collect_list(F.struct(*_ITEM, *_FOLDS)).alias("items"), *ends).withColumn("id", F.struct("size", "rooms", "part")))
     x, y = (blocks.select("k1", "k2", *(F.col(c).alias(s + c) for c in ("id", "size", "items", "n", "room", "extra", "lo", "hi", "base"))) for s in "xy")
     needed = NUM * (F.col("xn") + F.col("yn")) + (NUM + DEN) * (F.col("xextra") + F.col("yextra") - F.col("xbase"))
     one = (F.col("xlo") == F.col("xhi")) & (F.col("ylo") == F.col("yhi")) & (F.col("xlo") == F.col("ylo"))
@@ -348,12 +350,15 @@ def _class_components(classes: DataFrame, texts: DataFrame, edges: DataFrame) ->
     entries = index.select("rep", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "rep", "n", (F.col("n") - F.col("pos")).alias("room"))
     several = entries.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1").select("token")
     size = F.floor(F.log("n") / F.log(F.lit(DEN / NUM))).cast("int")
-    lists = written(entries.join(several, "token").withColumn("size", size))
+    folds = classes.select("rep", *_FOLDS)
+    lists = written(entries.join(several, "token").join(folds, "rep").withColumn("size", size))
 
     # each entry against the leaders of its size class in the list, and of the next smaller one
-    heads = lists.groupBy("token", F.col("size").alias("of")).agg(F.min(F.struct("rep", "n", "room")).alias("head"))
+    heads = lists.groupBy("token", F.col("size").alias("of")).agg(F.min(F.struct("rep", "n", "room", *_FOLDS)).alias("head"))
     met = lists.withColumn("of", F.explode(F.array("size", F.col("size") - 1))).join(heads, ["token", "of"]).filter("head.rep <> rep")
-    met = met.filter(_reaches(F.least("head.room", "room"), F.col("head.n") + F.col("n")))
+    least = sum((F.bit_count(F.col(f"head.{c}").bitwiseXOR(F.col(c))) for c in _FOLDS), F.lit(0))  # by which they differ
+    both = F.col("head.n") + F.col("n")
+    met = met.filter(_reaches(F.least("head.room", "room"), both) & (least * (LEAD_NUM + LEAD_DEN) <= both * (LEAD_DEN - LEAD_NUM)))
     stars = written(met.select(F.col("head.rep").alias("a"), F.col("rep").alias("b"), F.col("head.n").alias("an"), F.col("n").alias("bn")).distinct())
     first = _tested(stars, classes, texts, LEAD_NUM, LEAD_DEN)
     parts = connected_components(_links(first).union(edges))
@@ -366,7 +371,7 @@ def _class_components(classes: DataFrame, texts: DataFrame, edges: DataFrame) ->
     named = both.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = written(named.join(lead.select("rep", "lead"), "rep", "left").select(*_ENTRY, "component", "lead"))
     mixed = named.groupBy("k1", "k2").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("k1", "k2")
-    pairs = _across(named.join(mixed, ["k1", "k2"]).join(classes.select("rep", "fold"), "rep"))
+    pairs = _across(named.join(mixed, ["k1", "k2"]).join(folds, "rep"))
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = written(pairs.join(done, ["a", "b"], "left_anti").select("a", "b", "an", "bn", "derived"))
     second = _links(_tested(pairs.filter("not derived").drop("derived").distinct(), classes, texts))
@@ -379,9 +384,9 @@ def _class_components(classes: DataFrame, texts: DataFrame, edges: DataFrame) ->
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, for every row of docs."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    told = written(texts.mapInArrow(_describe, "doc_id long, n int, digest binary, sketch binary, fold binary"))
+    told = written(texts.mapInArrow(_describe, f"doc_id long, n int, digest binary, sketch binary, {', '.join(f'{c} long' for c in _FOLDS)}"))
     full = told.filter("doc_id is not null and n > 0")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("fold").alias("fold"))
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), *(F.first(c).alias(c) for c in _FOLDS))
     classes = written(classes.withColumn("rep", F.monotonically_increasing_id()))
     members = written(full.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep"))
     of_doc = members.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
