@@ -13,8 +13,8 @@ def title_hash(text: Column) -> Column:
 
 def html_excerpt(html: Column, sentences: int = 6, least: int = 40, most: int = 600) -> Column:
     """The first sentences of more than `least` characters of a page's text, cut at `most` characters."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script[^>]*>.*?</script>", " ")
-    text = F.regexp_replace(text, r"(?is)<style[^>]*>.*?</style>", " ")
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script[^>]*>.*?</script>", "")
+    text = F.regexp_replace(text, r"(?is)<style[^>]*>.*?</style>", "")
     text = F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", " "), r"[ \t\n\r\f\x0B]+", " "))
     parts = F.filter(F.transform(F.split(text, r"\."), lambda s: F.trim(s)), lambda s: F.length(s) > least)
     return F.substring(F.array_join(F.slice(parts, 1, sentences), ". "), 1, most)

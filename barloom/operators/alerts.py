@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.maths import places
+from barloom.functions.text import market_session
 
 #: The zone whose calendar day resets an alert: nine hours ahead of UTC.
 DAY_SHIFT = "interval 9 hours"
@@ -19,11 +20,11 @@ def alert_day(ts: Column) -> Column:
 def price_alerts(changes: DataFrame, least: float = LEAST, step: float = STEP) -> DataFrame:
     """symbol, day, ts, change_pct, direction of the changes (symbol, ts, change_pct) that alert.
 
-    A change of `least` percent or more alerts if it is the day's first, turns the direction, or exceeds the last
+    Changes while the market is closed never alert. A change of `least` percent or more alerts if it is the day's first, turns the direction, or exceeds the last
     alert by `step`. So the alerts of one run of large changes in one direction depend on that run alone, and
     there only new extremes count: those are few, however long the run, and one fold over them finds the alerts.
     """
-    big = changes.filter(F.abs("change_pct") >= least).select("symbol", "ts", "change_pct", F.when(F.col("change_pct") > 0, "up").otherwise("down").alias("direction"), alert_day(F.col("ts")).alias("day"))
+    big = changes.filter((F.abs("change_pct") >= least) & (market_session(F.col("ts")) != "CLOSED")).select("symbol", "ts", "change_pct", F.when(F.col("change_pct") > 0, "up").otherwise("down").alias("direction"), alert_day(F.col("ts")).alias("day"))
     by_time = Window.partitionBy("symbol", "day").orderBy("ts", "change_pct")
     turned = F.coalesce((F.lag("direction").over(by_time) != F.col("direction")).cast("int"), F.lit(1))
     runs = big.withColumn("_turned", turned).withColumn("run", F.sum("_turned").over(by_time)).withColumn("size", F.abs("change_pct"))

@@ -290,7 +290,8 @@ SELECT symbol, last AS current, prev_close, round((last - prev_close) / nullif(p
 ORACLE_SQL["market_session"] = f"""WITH {TICKS} SELECT symbol, CASE WHEN isodow(ts) > 5 OR hour(ts) * 60 + minute(ts) < 480 THEN 'CLOSED' WHEN hour(ts) * 60 + minute(ts) < 810 THEN 'PRE' WHEN hour(ts) * 60 + minute(ts) < 1200 THEN 'REGULAR' ELSE 'POST' END AS session, count(*) AS n FROM tk GROUP BY 1, 2"""
 # the state machine as a recursion over each day's large changes
 ORACLE_SQL["alert_hysteresis"] = f"""WITH RECURSIVE {TICKS}, {DAYS}, pv AS (SELECT symbol, day, lag(last) OVER (PARTITION BY symbol ORDER BY day) AS prev FROM dy),
-ev AS MATERIALIZED (SELECT *, CAST(ts + INTERVAL 9 HOUR AS DATE) AS kday, row_number() OVER (PARTITION BY symbol, CAST(ts + INTERVAL 9 HOUR AS DATE) ORDER BY ts, change_pct) AS k FROM (SELECT tk.symbol, ts, round((close - prev) / prev * 100, 2) AS change_pct FROM tk JOIN pv ON pv.symbol = tk.symbol AND pv.day = CAST(ts AS DATE) WHERE prev > 0) WHERE abs(change_pct) >= 4),
+ev AS MATERIALIZED (SELECT *, CAST(ts + INTERVAL 9 HOUR AS DATE) AS kday, row_number() OVER (PARTITION BY symbol, CAST(ts + INTERVAL 9 HOUR AS DATE) ORDER BY ts, change_pct) AS k FROM (SELECT tk.symbol, ts, round((close - prev) / prev * 100, 2) AS change_pct FROM tk JOIN pv ON pv.symbol = tk.symbol AND pv.day = CAST(ts AS DATE) WHERE prev > 0)
+  WHERE abs(change_pct) >= 4 AND isodow(ts) <= 5 AND hour(ts) * 60 + minute(ts) >= 480),
 st AS (SELECT symbol, kday, k, ts, change_pct, true AS fired, change_pct > 0 AS up, abs(change_pct) AS top FROM ev WHERE k = 1
   UNION ALL SELECT e.symbol, e.kday, e.k, e.ts, e.change_pct, (e.change_pct > 0) <> st.up OR abs(e.change_pct) >= st.top + 1, e.change_pct > 0, CASE WHEN (e.change_pct > 0) <> st.up THEN abs(e.change_pct) WHEN abs(e.change_pct) >= st.top + 1 THEN abs(e.change_pct) ELSE st.top END
   FROM st JOIN ev e ON e.symbol = st.symbol AND e.kday = st.kday AND e.k = st.k + 1)
@@ -307,7 +308,7 @@ ORACLE_SQL["insider_classify"] = f"WITH {TRADES} SELECT trade_type, CASE WHEN to
 ORACLE_SQL["insider_new"] = f"WITH {TRADES}, h AS (SELECT *, left(md5(filer || '|' || trade_type), 12) AS hash FROM tr) SELECT hash, min(id) AS id, arg_min(filer, id) AS filer, arg_min(trade_type, id) AS trade_type, arg_min(d, id) AS d FROM h WHERE d >= DATE '2000-01-01' AND hash NOT IN (SELECT hash FROM h WHERE d < DATE '2000-01-01') GROUP BY hash"
 ORACLE_SQL["news_dedup"] = "WITH h AS (SELECT doc_id AS id, lang, left(md5(coalesce(text, '')), 12) AS hash FROM documents) SELECT hash, min(id) AS id, arg_min(lang, id) AS lang FROM h WHERE lang <> 'de' AND hash NOT IN (SELECT hash FROM h WHERE lang = 'de') GROUP BY hash"
 ORACLE_SQL["html_excerpt"] = r"""WITH v AS (SELECT page_id, regexp_replace(lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '')), '^www\.', '') AS host, html FROM pages),
-b AS (SELECT page_id, host = 'example.net' OR ends_with(host, '.example.net') AS blocked, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g'), ' ') AS body FROM v)
+b AS (SELECT page_id, host = 'example.net' OR ends_with(host, '.example.net') AS blocked, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g'), ' ') AS body FROM v)
 SELECT page_id, blocked, CASE WHEN NOT blocked THEN substr(array_to_string(list_slice(list_filter(list_transform(string_split(body, '.'), lambda s: trim(s, ' ')), lambda s: length(s) > 40), 1, 6), '. '), 1, 600) END AS excerpt FROM b"""
 ORACLE_SQL["app_rank_trend"] = f"""WITH {BARS}, m AS (SELECT symbol, year(d) * 12 + month(d) AS period, sum(volume) AS v FROM bars GROUP BY 1, 2), r AS (SELECT symbol, period, row_number() OVER (PARTITION BY period ORDER BY v DESC, symbol) AS rank FROM m),
 p AS (SELECT a.symbol, a.period, a.rank, b.rank AS prev_rank FROM r a LEFT JOIN r b ON a.symbol = b.symbol AND b.period = a.period - 1) SELECT *, CASE WHEN prev_rank - rank >= 3 THEN 'up' WHEN prev_rank - rank <= -3 THEN 'down' ELSE '' END AS trend, rank <= 5 AS in_top FROM p"""

@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from barloom.functions.text import market_session
 from barloom.operators.alerts import LEAST, STEP
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -23,6 +25,8 @@ class _Alerts(StatefulProcessor):
         fired = []
         for ts, change in zip(every["ts"], every["change_pct"], strict=True):
             today, way, size = str((ts + pd.Timedelta(hours=9)).date()), "up" if change > 0 else "down", abs(change)
+            if today < day:  # a late row of a day that is over changes nothing
+                continue
             if today != day:
                 day, direction, top = today, "", 0.0
             if size >= LEAST and (way != direction or size >= top + STEP):
@@ -36,8 +40,9 @@ class _Alerts(StatefulProcessor):
 
 
 def price_alerts(changes: DataFrame) -> DataFrame:
-    """The stream's twin of operators.alerts.price_alerts; rows of one micro-batch may come in any order."""
-    return changes.groupBy("symbol").transformWithStateInPandas(_Alerts(), "symbol string, day string, ts timestamp, change_pct double, direction string", "Append", "None")
+    """The stream's twin of operators.alerts.price_alerts; rows of one micro-batch may come in any order, those of earlier days are ignored."""
+    told = changes.filter((F.abs("change_pct") >= LEAST) & (market_session(F.col("ts")) != "CLOSED"))
+    return told.groupBy("symbol").transformWithStateInPandas(_Alerts(), "symbol string, day string, ts timestamp, change_pct double, direction string", "Append", "None")
 
 
 class _Ledger(StatefulProcessor):

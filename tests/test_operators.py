@@ -95,7 +95,9 @@ def test_closed_form_plan_is_the_loop(spark):
 
 def test_alerts_in_the_order_of_the_state_machine(spark):
     day = [4.2, 4.9, 5.3, -4.1, -4.6, -5.2]
-    rows = [("A", dt.datetime(2024, 1, 2, 1, k), c) for k, c in enumerate(day)] + [("A", dt.datetime(2024, 1, 2, 20, 0), 4.0), ("A", dt.datetime(2024, 1, 2, 20, 1), 3.9)]
+    # before the market opens and at the weekend nothing alerts
+    rows = [("A", dt.datetime(2024, 1, 2, 1, 0), 9.0), ("A", dt.datetime(2024, 1, 6, 12, 0), 9.0)]
+    rows += [("A", dt.datetime(2024, 1, 2, 9, k), c) for k, c in enumerate(day)] + [("A", dt.datetime(2024, 1, 2, 20, 0), 4.0), ("A", dt.datetime(2024, 1, 2, 20, 1), 3.9)]
     got = alerts.price_alerts(spark.createDataFrame(rows, "symbol string, ts timestamp, change_pct double")).orderBy("ts").collect()
     assert [r.change_pct for r in got] == [4.2, 5.3, -4.1, -5.2, 4.0]
 

@@ -1,6 +1,7 @@
 """Streams give what their batch twins give."""
 
 import datetime as dt
+import time
 
 import pytest
 
@@ -35,6 +36,21 @@ def test_alerts(spark, ticks):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
+def test_late_rows_of_an_earlier_day_change_no_alert(spark, tmp_path):
+    days = [[(2, 9.0)], [(3, 5.0)], [(2, 20.0)], [(3, 5.5)]]
+    kinds = "symbol string, ts timestamp, change_pct double"
+    for k, rows in enumerate(days):
+        spark.createDataFrame([("A", dt.datetime(2024, 1, d, 9, k), c) for d, c in rows], kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+        time.sleep(1.1)  # files are read in the order of their times
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", alerts.STATE_STORE)
+    try:
+        stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/t")
+        assert sorted(r.change_pct for r in finished(alerts.price_alerts(stream), "late", "append").collect()) == [5.0, 9.0]
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
 def test_bars(spark, ticks):
     key = lambda df: {(r.symbol, r.start): r[2:] for r in df.collect()}
     got, want = key(finished(windows.bars(ticks[1]), "bars", "append")), key(profile.bars_from_ticks(ticks[0]))
