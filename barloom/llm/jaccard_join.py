@@ -311,21 +311,24 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(entries: DataFrame) -> DataFrame:
     """a, b, an, bn, derived: pairs of different components that share a list and may link, block by block.
 
-    entries: _ENTRY, component, lead, _FOLDS. A pair needs 4 / 9 of its tokens, and the two extras less base besides, in
-    room. Blocks are of one size class and class of room.
+    entries: _ENTRY, component, lead, sets (entries of the list), _FOLDS. A pair needs 4 / 9 of its tokens, and the two
+    extras less base besides, in room. A list of up to BLOCK entries is one block, which meets itself without a join;
+    blocks of longer lists are of one size class and class of room.
     """
+    long = F.col("sets") > BLOCK
     size, room = F.floor(F.log("n") / F.log(F.lit(DEN / NUM))).cast("int"), F.floor(F.col("room") * 4 * DEN / F.col("n")).cast("int")
-    classed = entries.withColumn("size", size).withColumn("rooms", room)
+    classed = entries.withColumn("size", F.when(long, size).otherwise(0)).withColumn("rooms", F.when(long, room).otherwise(0))
     key = ["k1", "k2", "size", "rooms"]
-    parts = classed.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("parts")).filter("parts > 1")
+    parts = classed.filter(long).groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("parts")).filter("parts > 1")
     dealt = classed.join(parts, key, "left").withColumn("part", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))))
-    ends = [F.min("n").alias("n"), F.max("room").alias("room"), F.min("extra").alias("extra"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("base").alias("base")]
+    ends = [F.min("n").alias("n"), F.max("room").alias("room"), F.min("extra").alias("extra"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("base").alias("base"), F.first("sets").alias("sets")]
     blocks = written(dealt.groupBy(*key, "part").agg(F.collect_list(F.struct(*_ITEM, *_FOLDS)).alias("items"), *ends).withColumn("id", F.struct("size", "rooms", "part")))
-    x, y = (blocks.select("k1", "k2", *(F.col(c).alias(s + c) for c in ("id", "size", "items", "n", "room", "extra", "lo", "hi", "base"))) for s in "xy")
+    alone = blocks.filter(~long).select(F.col("items").alias("xs"), F.col("items").alias("ys"), "base", F.lit(True).alias("own"))
+    x, y = (blocks.filter(long).select("k1", "k2", *(F.col(c).alias(s + c) for c in ("id", "size", "items", "n", "room", "extra", "lo", "hi", "base"))) for s in "xy")
     needed = NUM * (F.col("xn") + F.col("yn")) + (NUM + DEN) * (F.col("xextra") + F.col("yextra") - F.col("xbase"))
     one = (F.col("xlo") == F.col("xhi")) & (F.col("ylo") == F.col("yhi")) & (F.col("xlo") == F.col("ylo"))
     met = x.join(y, ["k1", "k2"]).filter((F.col("xid") <= F.col("yid")) & (F.abs(F.col("xsize") - F.col("ysize")) <= 1) & ((NUM + DEN) * F.least("xroom", "yroom") >= needed) & ~one)
-    told = met.select(F.col("xitems").alias("xs"), F.col("yitems").alias("ys"), F.col("xbase").alias("base"), (F.col("xid") == F.col("yid")).alias("own"))
+    told = alone.union(met.select(F.col("xitems").alias("xs"), F.col("yitems").alias("ys"), F.col("xbase").alias("base"), (F.col("xid") == F.col("yid")).alias("own")))
     return told.mapInArrow(_block_pairs, "a long, b long, an int, bn int, derived boolean").distinct()
 
 
@@ -377,7 +380,7 @@ def _class_components(classes: DataFrame, texts: DataFrame, edges: DataFrame) ->
     both = lists.select(F.col("token").alias("k1"), F.lit(_TOKENS).cast("long").alias("k2"), "rep", F.col("n").cast("long").alias("n"), F.col("room").cast("long").alias("room"), F.lit(0).cast("long").alias("extra"), F.lit(0).cast("long").alias("base")).union(differences)
     named = both.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = written(named.join(lead.select("rep", "lead"), "rep", "left").select(*_ENTRY, "component", "lead"))
-    mixed = named.groupBy("k1", "k2").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("k1", "k2")
+    mixed = named.groupBy("k1", "k2").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("sets")).filter("lo <> hi").select("k1", "k2", "sets")
     pairs = _across(named.join(mixed, ["k1", "k2"]).join(folds, "rep"))
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = written(pairs.join(done, ["a", "b"], "left_anti").select("a", "b", "an", "bn", "derived"))
