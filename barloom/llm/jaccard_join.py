@@ -11,8 +11,9 @@ by relations between sets:
   entries. Blocks meet as wholes: a pair of blocks whose sizes, largest rooms or single component rule out every
   pair of their entries is skipped, and only pairs of the others are looked at one by one, inside the block.
 - Answer-level skipping. Each list's sets first meet the list's leaders only (one for each size class), as many
-  pairs as entries; those of a leader that don't link with it meet a few hubs among themselves. Sets that link get one component, and only pairs across components are left. Where two sets have
-  one leader R that is like both, their pair isn't taken from the lists: with m tokens of R missing and tokens added,
+  pairs as entries; those of a leader that don't link with it meet a few hubs, the ones nearest to it among
+  themselves and among those that do. Sets that link get one component, and only pairs across components are left.
+  Where two sets have one leader R that is like both, their pair isn't taken from the lists: with m tokens of R missing and tokens added,
   |A & B| = |R| - |mA | mB| + |aA & aB| is derived from the answers with R. If A doesn't link with R, then A and any
   B of R that it links with share at least needed(A, B) - |R| + |mA| + |mB| > 0 of their differences from R. So
   the differences have an index of their own, whose prefixes and rooms follow from that number, and no text is read.
@@ -52,7 +53,7 @@ SLICE = 1 << 20
 WINDOW = 1 << 20
 #: Entries of a block, about, and cells of the sketches that they carry.
 BLOCK, FOLD = 64, 256
-#: Sets among those that don't link with their leader which all others of these meet.
+#: Sets which those that don't link with their leader meet: so many of these themselves, and of those that link with it.
 HUBS = 8
 _FOLDS = [f"f{k}" for k in range(FOLD // 64)]
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -367,10 +368,12 @@ def _class_components(classes: DataFrame, texts: DataFrame, edges: DataFrame) ->
     stars = written(met.select(F.col("head.rep").alias("a"), F.col("rep").alias("b"), F.col("head.n").alias("an"), F.col("n").alias("bn")).distinct())
     first = _tested(stars, classes, texts, LEAD_NUM, LEAD_DEN)
     lead = written(_leaders(first))
-    # sets that don't link with their leader may still be like each other: they meet some hubs of their own
-    far = lead.filter("far").select("lead", "rep", "n")
-    hubs = far.groupBy("lead", F.pmod(F.xxhash64("rep"), F.lit(HUBS)).alias("of")).agg(F.min(F.struct("rep", "n")).alias("hub"))
-    beside = far.join(hubs.select("lead", "hub"), "lead").filter("hub.rep <> rep").select(F.least("hub.rep", "rep").alias("a"), F.greatest("hub.rep", "rep").alias("b"), F.when(F.col("hub.rep") < F.col("rep"), F.col("hub.n")).otherwise(F.col("n")).alias("an"), F.when(F.col("hub.rep") < F.col("rep"), F.col("n")).otherwise(F.col("hub.n")).alias("bn"))
+    # sets that don't link with their leader may still be like each other, or like what links with it: they meet some hubs
+    of_lead = lead.select("lead", "rep", "n", "far", (F.length("missing") + F.length("added")).alias("apart"))
+    hubs = of_lead.groupBy("lead", "far", F.pmod(F.xxhash64("rep"), F.lit(HUBS)).alias("of")).agg(F.min(F.struct("apart", "rep", "n")).alias("hub"))
+    met = of_lead.filter("far").join(hubs.select("lead", "hub"), "lead").filter("hub.rep <> rep")
+    first_is_hub, hub_n = F.col("hub.rep") < F.col("rep"), F.col("hub.n")
+    beside = met.select(F.least("hub.rep", "rep").alias("a"), F.greatest("hub.rep", "rep").alias("b"), F.when(first_is_hub, hub_n).otherwise(F.col("n")).alias("an"), F.when(first_is_hub, F.col("n")).otherwise(hub_n).alias("bn"))
     hubbed = _links(_tested(written(beside.distinct()), classes, texts))
     parts = connected_components(_links(first).union(hubbed).union(edges))
 
