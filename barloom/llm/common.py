@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,31 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/barloom-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared folder: later steps read files that outlive executors."""
-    path = shared_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+#: Spark then deletes the shuffle files of a finished job, which nothing reads once its result is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df, computed once into the shared folder (or path): later steps read files that outlive executors."""
+    spark, path = df.sparkSession, path or shared_folder(df.sparkSession)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """written() for tables that nothing reads after the block, at whose end they are deleted."""
+    folder = shared_folder(spark)
+    try:
+        yield lambda df: written(df, f"{folder}/{uuid.uuid4().hex}")
+    finally:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def lower_ascii(c: Column) -> Column:

@@ -30,7 +30,7 @@ read, so other columns may have any names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +38,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import SPACE_BYTES, TO_LOWER, mix64, text_bytes, word_spans, written
+from barloom.llm.common import SPACE_BYTES, TO_LOWER, mix64, scratch, text_bytes, word_spans, written
 from barloom.llm.components import connected_components
 
+#: What writes a table that is read again.
+Keep = Callable[[DataFrame], DataFrame]
 WORDS = 5
 #: The threshold as a fraction, 80 / 100, and how like its leader a set is at least, 60 / 100.
 NUM, DEN = 4, 5
@@ -223,18 +225,19 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.select(["a", "b", "an", "bn"]).columns, pa.array(overlap, pa.int64()), pa.array(missing, pa.binary()), pa.array(added, pa.binary())], ["a", "b", "an", "bn", "overlap", "missing", "added"])
 
 
-def _tested(pairs: DataFrame, classes: DataFrame, texts: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+def _tested(pairs: DataFrame, classes: DataFrame, texts: DataFrame, keep: Keep, num: int = NUM, den: int = DEN) -> DataFrame:
     """a, b, an, bn, overlap, missing, added of the pairs (a, b, an, bn) whose sketches allow a similarity of num / den."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"{x}sketch"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "an", "bn", "asketch", "bsketch")
-    near = written(near.mapInArrow(_sketch_test(num, den), "a long, b long, an int, bn int"))
-    ids = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
-    ids = written(classes.select("rep", "digest", "doc_id").join(ids, "rep", "left_semi"))
-    sets = texts.join(ids.select("doc_id"), "doc_id", "left_semi").mapInArrow(_keyed_sets, "digest binary, tokens binary")
-    sets = written(sets.join(ids.select("rep", "digest"), "digest").groupBy("rep").agg(F.first("tokens").alias("tokens")))
-    side = lambda x: sets.select(F.col("rep").alias(x), F.col("tokens").alias(f"{x}tokens"))
-    met = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "an", "bn", "atokens", "btokens")
-    return written(met.mapInArrow(_met, "a long, b long, an int, bn int, overlap long, missing binary, added binary"))
+    with scratch(pairs.sparkSession) as own:
+        side = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"{x}sketch"))
+        near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "an", "bn", "asketch", "bsketch")
+        near = own(near.mapInArrow(_sketch_test(num, den), "a long, b long, an int, bn int"))
+        ids = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
+        ids = own(classes.select("rep", "digest", "doc_id").join(ids, "rep", "left_semi"))
+        sets = texts.join(ids.select("doc_id"), "doc_id", "left_semi").mapInArrow(_keyed_sets, "digest binary, tokens binary")
+        sets = own(sets.join(ids.select("rep", "digest"), "digest").groupBy("rep").agg(F.first("tokens").alias("tokens")))
+        side = lambda x: sets.select(F.col("rep").alias(x), F.col("tokens").alias(f"{x}tokens"))
+        met = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "an", "bn", "atokens", "btokens")
+        return keep(met.mapInArrow(_met, "a long, b long, an int, bn int, overlap long, missing binary, added binary"))
 
 
 def _links(tested: DataFrame) -> DataFrame:
@@ -267,9 +270,9 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _DIFFERENCE = ["k1", "k2", "rep", "n", "size", "extra", "base", "upto"]
 
 
-def _difference_lists(lead: DataFrame) -> DataFrame:
+def _difference_lists(lead: DataFrame, keep: Keep) -> DataFrame:
     """Prefixes of the sets' differences from their leaders, those that few sets of the leader have first, as _ENTRY."""
-    told = written(lead.mapInArrow(_differences, ", ".join(f"{c} long" for c in _DIFFERENCE)))
+    told = keep(lead.mapInArrow(_differences, ", ".join(f"{c} long" for c in _DIFFERENCE)))
     sets = told.groupBy("k1", "k2").agg(F.count("*").alias("sets"))
     pos = F.row_number().over(Window.partitionBy("rep").orderBy("sets", "k2", "k1")) - 1  # no more than two sets' tokens
     return told.join(sets, ["k1", "k2"]).withColumn("pos", pos).filter("pos < upto").withColumn("room", F.col("size") - F.col("pos")).select(*_ENTRY)
@@ -309,7 +312,7 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*o, np.zeros(0, np.int64)]), pa.int64()).cast(t) for o, t in zip(out, kinds, strict=True)], ["a", "b", "an", "bn", "derived"])
 
 
-def _across(entries: DataFrame) -> DataFrame:
+def _across(entries: DataFrame, keep: Keep) -> DataFrame:
     """a, b, an, bn, derived: pairs of different components that share a list and may link, block by block.
 
     entries: _ENTRY, component, lead, sets (entries of the list), _FOLDS. A pair needs 4 / 9 of its tokens, and the two
@@ -323,7 +326,7 @@ def _across(entries: DataFrame) -> DataFrame:
     parts = classed.filter(long).groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("parts")).filter("parts > 1")
     dealt = classed.join(parts, key, "left").withColumn("part", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))))
     ends = [F.min("n").alias("n"), F.max("room").alias("room"), F.min("extra").alias("extra"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("base").alias("base"), F.first("sets").alias("sets")]
-    blocks = written(dealt.groupBy(*key, "part").agg(F.collect_list(F.struct(*_ITEM, *_FOLDS)).alias("items"), *ends).withColumn("id", F.struct("size", "rooms", "part")))
+    blocks = keep(dealt.groupBy(*key, "part").agg(F.collect_list(F.struct(*_ITEM, *_FOLDS)).alias("items"), *ends).withColumn("id", F.struct("size", "rooms", "part")))
     alone = blocks.filter(~long).select(F.col("items").alias("xs"), F.col("items").alias("ys"), "base", F.lit(True).alias("own"))
     x, y = (blocks.filter(long).select("k1", "k2", *(F.col(c).alias(s + c) for c in ("id", "size", "items", "n", "room", "extra", "lo", "hi", "base"))) for s in "xy")
     needed = NUM * (F.col("xn") + F.col("yn")) + (NUM + DEN) * (F.col("xextra") + F.col("yextra") - F.col("xbase"))
@@ -345,7 +348,7 @@ def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _class_components(classes: DataFrame, texts: DataFrame, edges: DataFrame) -> DataFrame:
+def _class_components(classes: DataFrame, texts: DataFrame, edges: DataFrame, keep: Keep) -> DataFrame:
     """node, component of the classes that link, or that edges join."""
     spark = classes.sparkSession
     counts = texts.mapInArrow(_repeated, "token long, sets long").groupBy("token").agg(F.sum("sets").alias("sets"))
@@ -357,7 +360,7 @@ def _class_components(classes: DataFrame, texts: DataFrame, edges: DataFrame) ->
     several = entries.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1").select("token")
     size = F.floor(F.log("n") / F.log(F.lit(DEN / NUM))).cast("int")
     folds = classes.select("rep", *_FOLDS)
-    lists = written(entries.join(several, "token").join(folds, "rep").withColumn("size", size))
+    lists = keep(entries.join(several, "token").join(folds, "rep").withColumn("size", size))
 
     # each entry against the leaders of its size class in the list, and of the next smaller one
     heads = lists.groupBy("token", F.col("size").alias("of")).agg(F.min(F.struct("rep", "n", "room", *_FOLDS)).alias("head"))
@@ -365,53 +368,54 @@ def _class_components(classes: DataFrame, texts: DataFrame, edges: DataFrame) ->
     least = sum((F.bit_count(F.col(f"head.{c}").bitwiseXOR(F.col(c))) for c in _FOLDS), F.lit(0))  # by which they differ
     both = F.col("head.n") + F.col("n")
     met = met.filter(_reaches(F.least("head.room", "room"), both) & (least * (LEAD_NUM + LEAD_DEN) <= both * (LEAD_DEN - LEAD_NUM)))
-    stars = written(met.select(F.col("head.rep").alias("a"), F.col("rep").alias("b"), F.col("head.n").alias("an"), F.col("n").alias("bn")).distinct())
-    first = _tested(stars, classes, texts, LEAD_NUM, LEAD_DEN)
-    lead = written(_leaders(first))
+    stars = keep(met.select(F.col("head.rep").alias("a"), F.col("rep").alias("b"), F.col("head.n").alias("an"), F.col("n").alias("bn")).distinct())
+    first = _tested(stars, classes, texts, keep, LEAD_NUM, LEAD_DEN)
+    lead = keep(_leaders(first))
     # sets that don't link with their leader may still be like each other, or like what links with it: they meet some hubs
     of_lead = lead.select("lead", "rep", "n", "far", (F.length("missing") + F.length("added")).alias("apart"))
     hubs = of_lead.groupBy("lead", "far", F.pmod(F.xxhash64("rep"), F.lit(HUBS)).alias("of")).agg(F.min(F.struct("apart", "rep", "n")).alias("hub"))
     met = of_lead.filter("far").join(hubs.select("lead", "hub"), "lead").filter("hub.rep <> rep")
     first_is_hub, hub_n = F.col("hub.rep") < F.col("rep"), F.col("hub.n")
     beside = met.select(F.least("hub.rep", "rep").alias("a"), F.greatest("hub.rep", "rep").alias("b"), F.when(first_is_hub, hub_n).otherwise(F.col("n")).alias("an"), F.when(first_is_hub, F.col("n")).otherwise(hub_n).alias("bn"))
-    hubbed = _links(_tested(written(beside.distinct()), classes, texts))
-    parts = connected_components(_links(first).union(hubbed).union(edges))
+    hubbed = _links(_tested(keep(beside.distinct()), classes, texts, keep))
+    parts = connected_components(_links(first).union(hubbed).union(edges), keep)
 
     # across components: lists of tokens, and lists of differences where a leader has sets that don't link with it
     odd = lead.groupBy("lead").agg(F.max("far").alias("odd"), F.count("*").alias("sets")).filter("odd and sets > 1").select("lead")
-    differences = _difference_lists(lead.join(odd, "lead", "left_semi"))
+    differences = _difference_lists(lead.join(odd, "lead", "left_semi"), keep)
     both = lists.select(F.col("token").alias("k1"), F.lit(_TOKENS).cast("long").alias("k2"), "rep", F.col("n").cast("long").alias("n"), F.col("room").cast("long").alias("room"), F.lit(0).cast("long").alias("extra"), F.lit(0).cast("long").alias("base")).union(differences)
     named = both.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    named = written(named.join(lead.select("rep", "lead"), "rep", "left").select(*_ENTRY, "component", "lead"))
+    named = keep(named.join(lead.select("rep", "lead"), "rep", "left").select(*_ENTRY, "component", "lead"))
     mixed = named.groupBy("k1", "k2").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("sets")).filter("lo <> hi").select("k1", "k2", "sets")
-    pairs = _across(named.join(mixed, ["k1", "k2"]).join(folds, "rep"))
+    pairs = _across(named.join(mixed, ["k1", "k2"]).join(folds, "rep"), keep)
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = written(pairs.join(done, ["a", "b"], "left_anti").select("a", "b", "an", "bn", "derived"))
-    second = _links(_tested(pairs.filter("not derived").drop("derived").distinct(), classes, texts))
+    pairs = keep(pairs.join(done, ["a", "b"], "left_anti").select("a", "b", "an", "bn", "derived"))
+    second = _links(_tested(pairs.filter("not derived").drop("derived").distinct(), classes, texts, keep))
     side = lambda x: lead.select(F.col("rep").alias(x), F.col("missing").alias(f"{x}missing"), F.col("added").alias(f"{x}added"))
     by_lead = pairs.filter("derived").join(side("a"), "a").join(side("b").join(lead.select(F.col("rep").alias("b"), "base"), "b"), "b")
     more = second.union(by_lead.mapInArrow(_derived, "a long, b long"))
-    return connected_components(parts.union(more))
+    return connected_components(parts.union(more), keep)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, for every row of docs."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    told = written(texts.mapInArrow(_describe, f"doc_id long, n int, digest binary, sketch binary, {', '.join(f'{c} long' for c in _FOLDS)}"))
-    full = told.filter("doc_id is not null and n > 0")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), *(F.first(c).alias(c) for c in _FOLDS))
-    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()))
-    members = written(full.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep"))
-    of_doc = members.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
-    edges = members.withColumnRenamed("rep", "b").join(of_doc.filter("rep <> other").select("doc_id", F.col("rep").alias("a")), "doc_id").select("a", "b")
-    parts = _class_components(classes, texts.filter("doc_id is not null"), edges)
-
-    named = written(classes.select("rep", "doc_id").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("component")))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = named.join(least, "component").select("rep", "component_id")
-    component = of_doc.join(of_class, "rep").select("doc_id", "component_id")
-    rows = told.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
-    return rows.join(component, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    """doc_id, n_shingles, component_id, for every row of docs: a table in the shared folder, where nothing else is left."""
+    with scratch(docs.sparkSession) as keep:
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        told = keep(texts.mapInArrow(_describe, f"doc_id long, n int, digest binary, sketch binary, {', '.join(f'{c} long' for c in _FOLDS)}"))
+        full = told.filter("doc_id is not null and n > 0")
+        classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), *(F.first(c).alias(c) for c in _FOLDS))
+        classes = keep(classes.withColumn("rep", F.monotonically_increasing_id()))
+        members = keep(full.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep"))
+        of_doc = members.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
+        edges = members.withColumnRenamed("rep", "b").join(of_doc.filter("rep <> other").select("doc_id", F.col("rep").alias("a")), "doc_id").select("a", "b")
+        parts = _class_components(classes, texts.filter("doc_id is not null"), edges, keep)
+
+        named = keep(classes.select("rep", "doc_id").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("component")))
+        least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        of_class = named.join(least, "component").select("rep", "component_id")
+        component = of_doc.join(of_class, "rep").select("doc_id", "component_id")
+        rows = told.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
+        return written(rows.join(component, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
 def keep_smallest(docs: DataFrame) -> DataFrame:
