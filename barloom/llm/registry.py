@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, exact_dedup, jaccard_join, licenses, mixing, quality_classifier, quality_rules, token_rollup, token_shards, url_filter
+from barloom.llm import bpe, exact_dedup, jaccard_join, licenses, mixing, quality_classifier, quality_rules, spelling, token_rollup, token_shards, url_filter
 from barloom.llm.common import shared_folder, table, written
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -203,5 +203,45 @@ def op10_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_quality_rules, op4_url_filters, op5_jaccard_join, op6_exact_dedup, op7_mixing, op8_token_shards, op9_quality_classifier, op10_bpe)} | {"pipeline": corpus_pipeline.run}
-ORACLE_SQL = {"op1_license_scan": OP1_SQL, "op2_token_counts": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_url_filters": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL}
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+#: Pairs by what is left of words without one code point: a replaced one leaves the same at the same place, an inserted one the other word.
+OP11_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+), counted AS (
+  SELECT id, run, count(*) AS c FROM runs WHERE length(run) >= 7 GROUP BY id, run
+), crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), b) ORDER BY b) AS t FROM range(256) r(b)
+), spelt AS (
+  SELECT id, run, c, hex(encode(id || ':' || run)) AS x FROM counted
+), hashed AS (
+  SELECT id, run, c, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: (16 * (instr('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1)::BIGINT),
+                               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h
+  FROM spelt, crc_table
+), words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(c)::BIGINT AS n FROM hashed GROUP BY 1
+), w AS (
+  SELECT word, n FROM words WHERE length(word) >= 7 AND n >= 2
+), cuts AS (
+  SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)
+), near AS (
+  SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cuts c JOIN w ON c.cut = w.word
+  UNION SELECT w.word, c.word FROM cuts c JOIN w ON c.cut = w.word
+), best AS (
+  SELECT near.word, count(*) AS n_near, first(other ORDER BY w.n DESC, other) AS form, max(w.n) AS form_n FROM near JOIN w ON w.word = other GROUP BY near.word
+), told AS (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n FROM w LEFT JOIN best ON best.word = w.word
+), chain AS (
+  SELECT word, word AS root, form AS next FROM told
+  UNION ALL SELECT chain.word, chain.next, told.form FROM chain JOIN told ON told.word = chain.next
+)
+SELECT told.word, n, n_near, form, form_n, root FROM told JOIN chain ON chain.word = told.word AND chain.next IS NULL
+"""
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_quality_rules, op4_url_filters, op5_jaccard_join, op6_exact_dedup, op7_mixing, op8_token_shards, op9_quality_classifier, op10_bpe, op11_spelling_variants)} | {"pipeline": corpus_pipeline.run}
+ORACLE_SQL = {"op1_license_scan": OP1_SQL, "op2_token_counts": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_url_filters": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op11_spelling_variants": OP11_SQL}
