@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, exact_dedup, jaccard_join, licenses, mixing, quality_classifier, quality_rules, spelling, token_rollup, token_shards, url_filter
+from barloom.llm import bpe, exact_dedup, fill_middle, jaccard_join, licenses, minhash, mixing, quality_classifier, quality_rules, spelling, token_rollup, token_shards, url_filter
 from barloom.llm.common import shared_folder, table, written
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -243,5 +243,32 @@ WITH RECURSIVE runs AS (
 SELECT told.word, n, n_near, form, form_n, root FROM told JOIN chain ON chain.word = told.word AND chain.next IS NULL
 """
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_quality_rules, op4_url_filters, op5_jaccard_join, op6_exact_dedup, op7_mixing, op8_token_shards, op9_quality_classifier, op10_bpe, op11_spelling_variants)} | {"pipeline": corpus_pipeline.run}
-ORACLE_SQL = {"op1_license_scan": OP1_SQL, "op2_token_counts": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_url_filters": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op11_spelling_variants": OP11_SQL}
+def op12_fill_in_middle(spark, sf_dir):
+    return fill_middle.digests(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+#: What is restored is the text itself, which the SQL takes as it is.
+OP12_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents
+), h AS (
+  SELECT doc_id, text, n, list_transform(range(4), lambda k: list_reduce(list_transform(range(8), lambda i: (instr('0123456789abcdef', substr(digest, 8 * k + i + 1, 1)) - 1)::BIGINT), lambda a, b: 16 * a + b)) AS h FROM d
+), f AS (
+  SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+         least(h[1] % (n + 1), h[2] % (n + 1)) AS lo, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS hi
+  FROM h
+), p AS (
+  SELECT *, substring(text, 1, lo) AS prefix, substring(text, lo + 1, hi - lo) AS middle, substring(text, hi + 1) AS suffix FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+def op13_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_quality_rules, op4_url_filters, op5_jaccard_join, op6_exact_dedup, op7_mixing, op8_token_shards, op9_quality_classifier, op10_bpe, op11_spelling_variants, op12_fill_in_middle, op13_minhash)} | {"pipeline": corpus_pipeline.run}
+ORACLE_SQL = {"op1_license_scan": OP1_SQL, "op2_token_counts": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_url_filters": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op11_spelling_variants": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
