@@ -155,17 +155,6 @@ def with_volume_surge(bars: DataFrame, n: int = 5, surge: float = 1.5) -> DataFr
     return out.withColumn("surge", F.coalesce(F.col("volume_ratio") >= surge, F.lit(False)))
 
 
-def with_hvn(bars: DataFrame, n: int = 60, least: int = 20, bucket: float = 0.005) -> DataFrame:
-    """hvn_pct: where volume gathers among the last n bars, in percent of the close; of equal buckets the first met."""
-    near = F.collect_list(F.struct(((F.col("high") + F.col("low") + F.col("close")) / 3).alias("tp"), F.col("volume").alias("v"))).over(last(n))
-    out = bars.withColumn("_bars", near)
-    keys = F.transform("_bars", lambda b: F.rint((b["tp"] / F.col("close") - 1) / bucket).cast("int"))
-    out = out.withColumn("_k", keys)
-    sums = F.transform(F.array_distinct("_k"), lambda k: F.struct(F.aggregate(F.zip_with("_k", "_bars", lambda a, b: F.when(a == k, b["v"]).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x).alias("v"), (-F.array_position("_k", k)).alias("at"), k.alias("k")))
-    best = F.array_max(sums)["k"]
-    return out.withColumn("hvn_pct", F.when((F.size("_bars") >= least) & (F.col("close") > 0), places(best * bucket * 100, 2))).drop("_bars", "_k")
-
-
 def with_forward_returns(bars: DataFrame, horizons: tuple[int, ...] = (5, 10, 20, 30, 60)) -> DataFrame:
     """return_{h}d: the return over the next h bars; null where they aren't there yet."""
     return bars.select("*", *(ratio(F.lead("close", h).over(by_day()) - F.col("close"), F.col("close")).alias(f"return_{h}d") for h in horizons))

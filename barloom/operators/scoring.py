@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,21 +74,31 @@ def buy_amount(score: Column) -> Column:
     return at_least(score, {80: 200.0, 60: 100.0, 40: 50.0}, 0.0)
 
 
-def technical_items(bars: DataFrame, weekly: DataFrame) -> DataFrame:
+_RECURSIVE = {"hvn_pct": "double", "hist": "double", "rsi": "double", "divergence": "boolean", "ema20": "double", "ema50": "double", "ema200": "double", "weeks": "long", "week_rsi": "double", "week_hist": "double", "week_hist_before": "double"}
+_FLOW = ("obv_points", "mfi", "vol_contraction", "cmf_skip", "stoch_k", "stoch_d", "drawdown_atr", "_m")
+
+
+def _recursive(g) -> dict:
+    """All that depends on every bar before, of one symbol's bars in order."""
+    close = g["close"].to_numpy(float)
+    _, _, hist = recursive.macd(close)
+    hist = np.where(np.arange(len(close)) < 34, np.nan, recursive.rounded(hist, 4))
+    means = {f"ema{n}": recursive.ema(close, n) for n in (20, 50, 200)}
+    node = recursive.volume_node(g["high"].to_numpy(float), g["low"].to_numpy(float), close, g["volume"].to_numpy(float))
+    return {"hvn_pct": node, "hist": hist, "rsi": recursive.rsi(close), "divergence": recursive.rsi_divergence(close), **means, **recursive.week_to_date(close, g["week"].to_numpy())}
+
+
+def technical_items(bars: DataFrame) -> DataFrame:
     """symbol, d, and the points of 14 items in five layers, for every bar from the 30th on.
 
-    Weekly items are those of the bars' weeks up to and including the current one, as that week stands complete.
+    Weekly items take the closed weeks and the running one up to the bar, so a bar's score depends on no later one. Windows
+    and one grouped map share the partitioning by symbol: bars are read and shuffled once.
     """
-    flow = rolling.with_drawdown_atr(rolling.with_bands(rolling.with_hvn(rolling.with_stochastic(rolling.with_cmf(rolling.with_contraction(rolling.with_mfi(rolling.with_obv(bars))))))))
+    flow = rolling.with_drawdown_atr(rolling.with_bands(rolling.with_stochastic(rolling.with_cmf(rolling.with_contraction(rolling.with_mfi(rolling.with_obv(bars)))))))
     flow = flow.withColumn("_ok", rolling.full(F.lit(True), 30, False)).withColumn("_m", F.avg("close").over(rolling.last(20)) - 2 * F.stddev_pop("close").over(rolling.last(20)))
-    more = recursive.with_macd(bars).select("symbol", "d", F.col("convergence_points").alias("B1"))
-    more = more.join(recursive.with_emas(bars).select("symbol", "d", F.col("structure_points").alias("B2")), ["symbol", "d"])
-    more = more.join(recursive.with_rsi(bars).select("symbol", "d", "rsi"), ["symbol", "d"]).join(recursive.with_divergence(bars).select("symbol", "d", "divergence"), ["symbol", "d"])
-    by_week = Window.partitionBy("symbol").orderBy("week")
-    wrsi = recursive.with_rsi(weekly, "week").withColumn("_n", F.row_number().over(by_week))
-    wmacd = recursive.with_macd(weekly, "week").withColumn("_prev", F.lag("hist").over(by_week))
-    week = wrsi.join(wmacd.select("symbol", "week", "hist", "_prev"), ["symbol", "week"]).select("symbol", "week", weekly_rsi_points().alias("E1"), weekly_macd_points().alias("E2"))
-    rows = flow.filter("_ok").join(more, ["symbol", "d"]).withColumn("week", F.date_trunc("week", "d").cast("date")).join(week, ["symbol", "week"])
+    flow = flow.withColumn("week", F.datediff(F.date_trunc("week", "d").cast("date"), F.lit("1970-01-05")))
+    rows = recursive.by_symbol(flow, ["high", "low", "close", "volume", "week", "_ok", *_FLOW], "d", _RECURSIVE, _recursive)
+    rows = rows.withColumn("B1", recursive.convergence_points("d")).withColumn("B2", recursive.structure_points()).filter("_ok")
     mfi, ratio, cmf, hvn, rsi, k, d = (F.col(c) for c in ("mfi", "vol_contraction", "cmf_skip", "hvn_pct", "rsi", "stoch_k", "stoch_d"))
     below = (F.col("close") - F.col("_m")) / F.col("_m") * 100
     both_low, crossed = (k < 20) & (d < 20), k > d
@@ -106,20 +117,20 @@ def technical_items(bars: DataFrame, weekly: DataFrame) -> DataFrame:
         F.when(F.col("divergence"), 5).otherwise(0).alias("C3"),
         F.when(F.col("close") < F.col("_m"), 7).when((F.col("_m") <= 0) | (below < 3), 5).otherwise(2).alias("D1"),
         ladder([(F.col("drawdown_atr").isNull(), 2), (F.col("drawdown_atr") < 1.5, 5), (F.col("drawdown_atr") < 2.5, 2)], 0).alias("D2"),
-        "E1",
-        "E2",
+        weekly_rsi_points("week_rsi", "weeks").alias("E1"),
+        weekly_macd_points("week_hist", "week_hist_before").alias("E2"),
     )
 
 
-def weekly_rsi_points() -> Column:
-    rsi = F.col("rsi")
-    return ladder([(F.col("_n") < 14, 1), (rsi < 30, 4), (rsi < 40, 3), (rsi < 50, 2), (rsi >= 70, 0)], 1)
+def weekly_rsi_points(rsi: str = "rsi", weeks: str = "_n") -> Column:
+    rsi = F.col(rsi)
+    return ladder([(F.col(weeks) < 14, 1), (rsi < 30, 4), (rsi < 40, 3), (rsi < 50, 2), (rsi >= 70, 0)], 1)
 
 
-def weekly_macd_points() -> Column:
+def weekly_macd_points(hist: str = "hist", before: str = "_prev") -> Column:
     """A histogram that has just begun counts as unchanged."""
-    hist = F.col("hist")
-    return ladder([(hist.isNull(), 1), (hist > 0, 4), (hist > F.coalesce("_prev", hist), 3)], 0)
+    hist = F.col(hist)
+    return ladder([(hist.isNull(), 1), (hist > 0, 4), (hist > F.coalesce(before, hist), 3)], 0)
 
 
 #: The items of each layer.
@@ -133,22 +144,32 @@ def technical_total(items: DataFrame) -> DataFrame:
     return items.select("symbol", "d", *(v.alias(f"layer_{k}") for k, v in sums.items()), total.alias("total")).withColumn("grade", grade(F.col("total")))
 
 
-def safety_margin(bars: DataFrame, benchmark: DataFrame, beta: DataFrame) -> DataFrame:
-    """symbol, d, bands, beta_expected_pct, beta_excess_pct and attraction (1 to 10) of the latest bar of every symbol.
+def safety_margin(bars: DataFrame, changes: DataFrame, beta: DataFrame, momentum: DataFrame, market: str, peers: tuple[str, ...]) -> DataFrame:
+    """symbol, d, bands, beta_expected_pct, beta_excess_pct, momentum, diverges and attraction (1 to 10) of the latest bar of every symbol.
 
-    benchmark: one row, change_pct of the market; beta: symbol, beta. Minute data are another operator's
-    (profile.momentum); without them the momentum is stable and takes nothing off.
+    changes: symbol, change_pct (one row for each symbol: the market's and the peers' are taken from it); beta: symbol, beta;
+    momentum: symbol, momentum by the minute, stable where there is none. A fall that accelerates takes a point off, and
+    another one if the symbol has lost more than 2 % while all peers gain.
     """
     newest = F.lead("d").over(by_day()).isNull()
-    rows = rolling.with_change(rolling.with_bands(bars)).withColumn("_newest", newest).filter("_newest and sma is not null").drop("_newest")
-    rows = rows.join(recursive.with_rsi(bars).select("symbol", "d", "rsi"), ["symbol", "d"]).join(beta, "symbol", "left")
-    actual = places(F.coalesce("change_pct", F.lit(0.0)), 2)
-    market = F.coalesce(benchmark.select("change_pct").scalar(), F.lit(0.0))
-    known = (F.coalesce(F.col("beta"), F.lit(0.0)) != 0) & (actual != 0)
-    expected = F.when(known, places(F.col("beta") * market, 2)).otherwise(0.0)
-    rows = rows.withColumn("beta_expected_pct", expected).withColumn("beta_excess_pct", F.when(known, places(actual - F.col("beta_expected_pct"), 2)).otherwise(0.0))
+    # one grouped map after the windows: bars are read once
+    rows = recursive.by_symbol(rolling.with_bands(bars).withColumn("_newest", newest), ["close", "_newest", "sma", "bb_upper", "bb_lower", "bb_signal", "pct_from_lower"], "d", {"rsi": "double"}, lambda g: {"rsi": recursive.rsi(g["close"].to_numpy())})
+    rows = rows.filter("_newest and sma is not null").join(beta.select("symbol", "beta"), "symbol", "left").join(momentum.select("symbol", "momentum"), "symbol", "left")
+    of = lambda name: F.max(F.when(F.col("symbol") == name, F.col("change_pct")))
+    all_gain = [F.coalesce(of(p), F.lit(0.0)) > 0 for p in peers]
+    beside = changes.agg(F.coalesce(of(market), F.lit(0.0)).alias("_market"), *(g.alias(f"_p{k}") for k, g in enumerate(all_gain)))
+    beside = beside.select("_market", F.forall(F.array(*(f"_p{k}" for k in range(len(peers)))), lambda g: g).alias("_peers_gain"))
+    # one row of aggregates beside each symbol's row
+    rows = rows.join(changes.select("symbol", F.col("change_pct").alias("_actual")), "symbol", "left").withColumn("_market", beside.select("_market").scalar()).withColumn("_peers_gain", beside.select("_peers_gain").scalar())
+    rows = rows.withColumn("_actual", F.coalesce("_actual", F.lit(0.0)))
+    actual, known = F.col("_actual"), (F.coalesce("beta", F.lit(0.0)) != 0) & (F.col("_actual") != 0)
+    rows = rows.withColumn("beta_expected_pct", F.when(known, places(F.col("beta") * F.col("_market"), 2)).otherwise(0.0))
+    rows = rows.withColumn("beta_excess_pct", F.when(known, places(actual - F.col("beta_expected_pct"), 2)).otherwise(0.0)).withColumn("momentum", F.coalesce("momentum", F.lit("stable")))
+    rows = rows.withColumn("diverges", (F.col("momentum") == "accelerating") & (actual < -2) & F.col("_peers_gain"))
     rsi, excess = F.col("rsi"), F.col("beta_excess_pct")
     points = ladder([(rsi <= 25, 4), (rsi <= 30, 3), (rsi <= 40, 2), (rsi <= 50, 1)], 0)
     points += F.when(F.col("bb_signal") == "extreme_oversold", 3).when(F.col("bb_signal") == "oversold", 2).when(F.col("pct_from_lower") < 5, 1).otherwise(0)
     points += ladder([(excess <= -5, 3), (excess <= -3, 2), (excess <= -1, 1)], 0)
-    return rows.select("symbol", "d", places("sma", 2).alias("sma20"), "bb_upper", "bb_lower", "bb_signal", "pct_from_lower", "beta_expected_pct", "beta_excess_pct", clamp(points, 1, 10).cast("int").alias("attraction"))
+    points = F.greatest(points - (F.col("momentum") == "accelerating").cast("int"), F.lit(0))
+    points = F.greatest(points - F.col("diverges").cast("int"), F.lit(0))
+    return rows.select("symbol", "d", places("sma", 2).alias("sma20"), "bb_upper", "bb_lower", "bb_signal", "pct_from_lower", "beta_expected_pct", "beta_excess_pct", "momentum", "diverges", clamp(points, 1, 10).cast("int").alias("attraction"))

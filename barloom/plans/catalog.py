@@ -57,7 +57,7 @@ _of_bars("obv", rolling.with_obv, "obv", "obv_points")
 _of_bars("vol_contraction", rolling.with_contraction, "vol_contraction")
 _of_bars("drawdown_atr", rolling.with_drawdown_atr, "drawdown_atr")
 _of_bars("volume_surge", rolling.with_volume_surge, "avg_volume", "volume_ratio", "surge")
-_of_bars("daily_hvn", rolling.with_hvn, "hvn_pct")
+_of_bars("daily_hvn", recursive.with_hvn, "hvn_pct")
 _of_bars("forward_returns", rolling.with_forward_returns, *(f"return_{h}d" for h in analysis.HORIZONS))
 _of_bars("rsi", recursive.with_rsi, "rsi")
 _of_bars("ema_stack", recursive.with_emas, "ema20", "ema50", "ema200", "structure_points", n=3)
@@ -262,20 +262,21 @@ def beta_divergence(spark, sf_dir):
 @query
 def technical_score_items(spark, sf_dir):
     bars = daily_bars(spark, sf_dir)
-    return scoring.technical_items(bars, weekly_bars(bars))
+    return scoring.technical_items(bars)
 
 
 @query
 def technical_score_total(spark, sf_dir):
     bars = daily_bars(spark, sf_dir)
-    return scoring.technical_total(scoring.technical_items(bars, weekly_bars(bars)))
+    return scoring.technical_total(scoring.technical_items(bars))
 
 
 @query
 def safety_margin(spark, sf_dir):
+    """Minutes of a symbol are its lines, each at a minute of its shipping day that follows from its order."""
     bars = daily_bars(spark, sf_dir)
-    market = _last_changes(bars).filter(F.col("symbol") == MARKET)
-    return scoring.safety_margin(bars, market, analysis.beta_by_date(bars, MARKET).select("symbol", "beta"))
+    minutes = profile.momentum(tables.line_ticks(spark, sf_dir), tolerance=1800)
+    return scoring.safety_margin(bars, _last_changes(bars), analysis.beta_by_date(bars, MARKET).select("symbol", "beta"), minutes, MARKET, PEERS)
 
 
 @query

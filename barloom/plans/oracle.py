@@ -133,6 +133,26 @@ ORACLE_SQL["rsi_divergence"] = f"WITH {BARS}, {DIVERGENCE} SELECT t.symbol, t.d,
 WEEK_SCORES = f"""{WEEKS}, wx AS (SELECT *, row_number() OVER w - 1 AS i, lag(close) OVER w AS pc FROM weeks WINDOW w AS (PARTITION BY symbol ORDER BY week)), {_rsi('wr', 'wx', 'week')}, {_macd('wm', 'wx', 'week')},
 ws AS (SELECT wr.symbol, wr.week, rsi, hist, CASE WHEN wr.i < 13 THEN 1 WHEN rsi < 30 THEN 4 WHEN rsi < 40 THEN 3 WHEN rsi < 50 THEN 2 WHEN rsi >= 70 THEN 0 ELSE 1 END AS rsi_points,
   CASE WHEN hist IS NULL THEN 1 WHEN hist > 0 THEN 4 WHEN hist > coalesce(prev, hist) THEN 3 ELSE 0 END AS macd_points FROM wr JOIN wm USING (symbol, week))"""
+#: Of every bar, its week's RSI and histograms with the bar's close as the week's, one step from the closed weeks before it.
+_step = lambda name, own, n: f"CASE WHEN w.i = 0 THEN {own} ELSE {name}.y * {1 - 2 / (n + 1)!r} + {own} * {2 / (n + 1)!r} END"
+WEEK_TO_DATE = f"""wd0 AS (SELECT t.symbol, t.d, t.close, w.i, p.close AS before FROM t JOIN wx w ON w.symbol = t.symbol AND w.week = date_trunc('week', t.d) LEFT JOIN wx p ON p.symbol = w.symbol AND p.i = w.i - 1),
+wd1 AS (SELECT symbol, sum(up) FILTER (WHERE i BETWEEN 1 AND 13) AS up13, sum(down) FILTER (WHERE i BETWEEN 1 AND 13) AS down13 FROM wr_d GROUP BY 1),
+wd2 AS (
+  SELECT w.*, CASE WHEN w.i = 14 THEN (up13 + greatest(w.close - before, 0)) / 14 WHEN w.i > 14 THEN g.y * 13 / 14 + greatest(w.close - before, 0) / 14 END AS gain,
+         CASE WHEN w.i = 14 THEN (down13 + greatest(before - w.close, 0)) / 14 WHEN w.i > 14 THEN l.y * 13 / 14 + greatest(before - w.close, 0) / 14 END AS loss,
+         {_step('f', 'w.close', 12)} - {_step('s', 'w.close', 26)} AS line, e.y AS signal, h.hist AS hist_before
+  FROM wd0 w JOIN wd1 USING (symbol) LEFT JOIN wr_g g ON g.symbol = w.symbol AND g.i = w.i - 1 LEFT JOIN wr_l l ON l.symbol = w.symbol AND l.i = w.i - 1
+  LEFT JOIN wm_f f ON f.symbol = w.symbol AND f.i = w.i - 1 LEFT JOIN wm_s s ON s.symbol = w.symbol AND s.i = w.i - 1
+  LEFT JOIN wm_e e ON e.symbol = w.symbol AND e.i = w.i - 1 LEFT JOIN wm_h h ON h.symbol = w.symbol AND h.i = w.i - 1
+), wd3 AS (
+  SELECT symbol, d, i, CASE WHEN gain IS NULL THEN 50.0 WHEN loss = 0 THEN 100.0 ELSE round(100 - 100 / (1 + gain / loss), 2) END AS rsi,
+         CASE WHEN i >= 34 THEN round(line - (signal * 0.8::DOUBLE + line * 0.2::DOUBLE), 4) END AS hist, hist_before
+  FROM wd2
+), wd AS (
+  SELECT symbol, d, CASE WHEN i < 13 THEN 1 WHEN rsi < 30 THEN 4 WHEN rsi < 40 THEN 3 WHEN rsi < 50 THEN 2 WHEN rsi >= 70 THEN 0 ELSE 1 END AS rsi_points,
+         CASE WHEN hist IS NULL THEN 1 WHEN hist > 0 THEN 4 WHEN hist > coalesce(hist_before, hist) THEN 3 ELSE 0 END AS macd_points
+  FROM wd3
+)"""
 ORACLE_SQL["weekly_rsi_macd"] = f"WITH {BARS}, {WEEK_SCORES} SELECT * FROM ws"
 
 # scores
@@ -253,7 +273,7 @@ CHANGES = "ch AS (SELECT symbol, round(round((close - pc) / pc * 100, 4), 2) AS
 ORACLE_SQL["beta_divergence"] = f"""WITH {BARS}, {BETA}, {CHANGES}, mk AS (SELECT max(change_pct) FILTER (WHERE symbol = 'NATION_0') AS m, avg(change_pct) FILTER (WHERE symbol IN ('NATION_1', 'NATION_2')) AS p FROM ch),
 v AS (SELECT symbol, change_pct, round(beta * m, 2) AS expected, round(change_pct - round(beta * m, 2), 2) AS divergence, round(p, 2) AS peer_avg, round(change_pct - round(p, 2), 2) AS peer_diff FROM ch JOIN be USING (symbol), mk)
 SELECT symbol, expected, divergence, {_of('divergence', 3, 1)} AS signal, peer_avg, peer_diff, {_of('peer_diff', 2, 0.5)} AS peer_signal FROM v"""
-ITEMS = f"""{BARS}{MFI}{STOCH}{OBV}{HVN}, {RSI}, {MACD}, {EMAS}, {DIVERGENCE}, {WEEK_SCORES},
+ITEMS = f"""{BARS}{MFI}{STOCH}{OBV}{HVN}, {RSI}, {MACD}, {EMAS}, {DIVERGENCE}, {WEEK_SCORES}, {WEEK_TO_DATE},
 f AS (SELECT *, {CONTRACTION} AS ratio, CASE WHEN i >= 20 THEN coalesce(round(sum({MF}) OVER w21 / nullif(sum(CASE WHEN high <> low THEN volume ELSE 0.0 END) OVER w21, 0), 4), 0.0) END AS cmf, {DRAWDOWN} AS dd, avg(close) OVER w20 - 2 * stddev_pop(close) OVER w20 AS lower FROM t {WIN}),
 items AS (SELECT symbol, f.d, obv_points AS A1, CASE WHEN mfi IS NULL THEN 0 WHEN mfi < 20 THEN 10 WHEN mfi < 30 THEN 7 WHEN mfi < 40 THEN 4 WHEN mfi > 80 THEN 0 ELSE 1 END AS A2,
   CASE WHEN ratio IS NULL THEN 0 WHEN ratio < 0.70 THEN 8 WHEN ratio < 0.85 THEN 5 WHEN ratio < 1 THEN 2 ELSE 0 END AS A3, CASE WHEN cmf > 0.15 THEN 7 WHEN cmf > 0.05 THEN 5 WHEN cmf > -0.05 THEN 2 WHEN cmf > -0.15 THEN 1 WHEN cmf IS NULL THEN 2 ELSE 0 END AS A4,
@@ -261,15 +281,27 @@ items AS (SELECT symbol, f.d, obv_points AS A1, CASE WHEN mfi IS NULL THEN 0 WHE
   CASE WHEN rsi.rsi <= 25 THEN 8 WHEN rsi.rsi <= 30 THEN 7 WHEN rsi.rsi <= 40 THEN 5 WHEN rsi.rsi <= 50 THEN 2 WHEN rsi.rsi >= 70 THEN 0 ELSE 1 END AS C1,
   CASE WHEN stoch_k IS NULL THEN 1 WHEN stoch_k < 20 AND stoch_d < 20 AND stoch_k > stoch_d THEN 7 WHEN stoch_k < 20 AND stoch_d < 20 THEN 4 WHEN stoch_k < 50 AND stoch_k > stoch_d THEN 2 WHEN stoch_k > 80 THEN 0 ELSE 1 END AS C2,
   CASE WHEN divergence THEN 5 ELSE 0 END AS C3, CASE WHEN f.close < lower THEN 7 WHEN lower <= 0 OR (f.close - lower) / lower * 100 < 3 THEN 5 ELSE 2 END AS D1, CASE WHEN dd IS NULL THEN 2 WHEN dd < 1.5 THEN 5 WHEN dd < 2.5 THEN 2 ELSE 0 END AS D2, rsi_points AS E1, macd_points AS E2
-  FROM f JOIN obv USING (symbol, d) JOIN mfi USING (symbol, d) JOIN stoch USING (symbol, d) JOIN hvn USING (symbol, d) JOIN rsi USING (symbol, d) JOIN md USING (symbol, d) JOIN stack USING (symbol, d) LEFT JOIN dv ON dv.symbol = f.symbol AND dv.i = f.i JOIN ws ON ws.symbol = f.symbol AND ws.week = CAST(date_trunc('week', f.d) AS DATE) WHERE f.i >= 29)"""
+  FROM f JOIN obv USING (symbol, d) JOIN mfi USING (symbol, d) JOIN stoch USING (symbol, d) JOIN hvn USING (symbol, d) JOIN rsi USING (symbol, d) JOIN md USING (symbol, d) JOIN stack USING (symbol, d) LEFT JOIN dv ON dv.symbol = f.symbol AND dv.i = f.i JOIN wd ON wd.symbol = f.symbol AND wd.d = f.d WHERE f.i >= 29)"""
 ITEMS = ITEMS.replace("items AS (SELECT symbol,", "items AS (SELECT f.symbol,")
 ORACLE_SQL["technical_score_items"] = f"WITH {ITEMS} SELECT * FROM items"
 ORACLE_SQL["technical_score_total"] = f"WITH {ITEMS}, s AS (SELECT symbol, d, A1 + A2 + A3 + A4 AS layer_A, B1 + B2 + B3 AS layer_B, C1 + C2 + C3 AS layer_C, D1 + D2 AS layer_D, E1 + E2 AS layer_E FROM items), u AS (SELECT *, greatest(0, least(100, layer_A + layer_B + layer_C + layer_D + layer_E)) AS total FROM s) SELECT *, {GRADE.format('total')} AS grade FROM u"
-ORACLE_SQL["safety_margin"] = f"""WITH {BARS}{BANDS}, {RSI}, {BETA}, {CHANGES}, mk AS (SELECT max(change_pct) FILTER (WHERE symbol = 'NATION_0') AS m FROM ch),
-v AS (SELECT bx.*, rsi.rsi, coalesce(change_pct, 0) AS c, CASE WHEN coalesce(beta, 0) <> 0 AND coalesce(change_pct, 0) <> 0 THEN round(beta * coalesce(m, 0), 2) ELSE 0.0 END AS ex, coalesce(beta, 0) <> 0 AND coalesce(change_pct, 0) <> 0 AS known FROM bx JOIN rsi USING (symbol, d) JOIN ch USING (symbol) LEFT JOIN be USING (symbol), mk WHERE bx.i = bx.n - 1 AND sma IS NOT NULL),
-u AS (SELECT *, CASE WHEN known THEN round(c - ex, 2) ELSE 0.0 END AS xs FROM v)
-SELECT symbol, d, round(sma, 2) AS sma20, bb_upper, bb_lower, bb_signal, pct_from_lower, ex AS beta_expected_pct, xs AS beta_excess_pct,
-  CAST(greatest(1, least(10, CASE WHEN rsi <= 25 THEN 4 WHEN rsi <= 30 THEN 3 WHEN rsi <= 40 THEN 2 WHEN rsi <= 50 THEN 1 ELSE 0 END + CASE WHEN bb_signal = 'extreme_oversold' THEN 3 WHEN bb_signal = 'oversold' THEN 2 WHEN pct_from_lower < 5 THEN 1 ELSE 0 END + CASE WHEN xs <= -5 THEN 3 WHEN xs <= -3 THEN 2 WHEN xs <= -1 THEN 1 ELSE 0 END)) AS INT) AS attraction FROM u"""
+_near_line = lambda m: f"(SELECT DISTINCT ON (symbol) symbol, close AS price_{m}m FROM lk JOIN ln USING (symbol) WHERE abs(epoch_us(ts) - epoch_us(now) + {m} * 60000000::BIGINT) <= 1800000000 ORDER BY symbol, abs(epoch_us(ts) - epoch_us(now) + {m} * 60000000::BIGINT), ts, close)"
+LINE_MOMENTUM = f"""lk AS (SELECT n_name AS symbol, CAST(l_shipdate AS TIMESTAMP) + to_minutes(l_orderkey % 1440) AS ts, round(l_extendedprice / l_quantity, 4) AS close FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_quantity <> 0),
+ln AS (SELECT symbol, max(ts) AS now, arg_max(close, row(ts, close)) AS current FROM lk GROUP BY 1), la30 AS {_near_line(30)}, la60 AS {_near_line(60)},
+lm AS (SELECT symbol, CASE WHEN price_30m > 0 AND price_60m > 0 THEN CASE
+    WHEN current < price_30m AND price_30m < price_60m THEN CASE WHEN (current - price_30m) / price_30m * 100 < (price_30m - price_60m) / price_60m * 100 THEN 'accelerating' ELSE 'decelerating' END
+    WHEN current > price_30m AND price_30m < price_60m THEN 'decelerating' ELSE 'stable' END ELSE 'stable' END AS momentum FROM ln LEFT JOIN la30 USING (symbol) LEFT JOIN la60 USING (symbol))"""
+ORACLE_SQL["safety_margin"] = f"""WITH {BARS}{BANDS}, {RSI}, {BETA}, {CHANGES}, {LINE_MOMENTUM},
+mk AS (SELECT max(change_pct) FILTER (WHERE symbol = 'NATION_0') AS m, coalesce(max(change_pct) FILTER (WHERE symbol = 'NATION_1'), 0) > 0 AND coalesce(max(change_pct) FILTER (WHERE symbol = 'NATION_2'), 0) > 0 AS gain FROM ch),
+v AS (SELECT bx.*, rsi.rsi, gain, coalesce(momentum, 'stable') AS momentum, coalesce(change_pct, 0) AS c, CASE WHEN coalesce(beta, 0) <> 0 AND coalesce(change_pct, 0) <> 0 THEN round(beta * coalesce(m, 0), 2) ELSE 0.0 END AS ex, coalesce(beta, 0) <> 0 AND coalesce(change_pct, 0) <> 0 AS known
+  FROM bx JOIN rsi USING (symbol, d) JOIN ch USING (symbol) LEFT JOIN be USING (symbol) LEFT JOIN lm USING (symbol), mk WHERE bx.i = bx.n - 1 AND sma IS NOT NULL),
+u AS (SELECT *, CASE WHEN known THEN round(c - ex, 2) ELSE 0.0 END AS xs, momentum = 'accelerating' AND c < -2 AND gain AS diverges FROM v),
+p AS (SELECT *, CASE WHEN rsi <= 25 THEN 4 WHEN rsi <= 30 THEN 3 WHEN rsi <= 40 THEN 2 WHEN rsi <= 50 THEN 1 ELSE 0 END
+  + CASE WHEN bb_signal = 'extreme_oversold' THEN 3 WHEN bb_signal = 'oversold' THEN 2 WHEN pct_from_lower < 5 THEN 1 ELSE 0 END
+  + CASE WHEN xs <= -5 THEN 3 WHEN xs <= -3 THEN 2 WHEN xs <= -1 THEN 1 ELSE 0 END AS s FROM u),
+q AS (SELECT *, CASE WHEN momentum = 'accelerating' THEN greatest(0, s - 1) ELSE s END AS s1 FROM p)
+SELECT symbol, d, round(sma, 2) AS sma20, bb_upper, bb_lower, bb_signal, pct_from_lower, ex AS beta_expected_pct, xs AS beta_excess_pct, momentum, diverges,
+  CAST(greatest(1, least(10, CASE WHEN diverges THEN greatest(0, s1 - 1) ELSE s1 END)) AS INT) AS attraction FROM q"""
 
 # ticks
 TICKS = "tk AS (SELECT event_type AS symbol, ts, round(value, 4) AS close, 1 AS volume FROM events WHERE value IS NOT NULL), nw AS (SELECT symbol, max(ts) AS now, arg_max(close, row(ts, close)) AS current FROM tk GROUP BY 1)"
@@ -328,3 +360,24 @@ _DATES = {
 for _column, _names in _DATES.items():
     for _name in _names:
         ORACLE_SQL[_name] = f"SELECT * REPLACE (CAST({_column} AS VARCHAR) AS {_column}) FROM ({ORACLE_SQL[_name]})"
+
+
+def _exactly_rounded(sql: str) -> str:
+    """sql with round(x, n) spelled out: printed to n places, which goes by the exact value of a double, and read back."""
+    at = 0
+    while (at := sql.find("round(", at)) >= 0:
+        if sql[at - 1].isalnum() or sql[at - 1] == "_":  # part of another name
+            at += 6
+            continue
+        depth, k, comma = 1, at + 6, None
+        while depth:
+            depth += (sql[k] == "(") - (sql[k] == ")")
+            comma = k if sql[k] == "," and depth == 1 else comma
+            k += 1
+        n = int(sql[comma + 1 : k - 1])
+        sql = f"{sql[:at]}CAST(format('{{:.{n}f}}', CAST({sql[at + 6 : comma]} AS DOUBLE)) AS DOUBLE){sql[k:]}"
+    return sql
+
+
+for _name in ORACLE_SQL:
+    ORACLE_SQL[_name] = _exactly_rounded(ORACLE_SQL[_name])

@@ -60,6 +60,15 @@ def macro_point(macro: DataFrame) -> DataFrame:
     return last.select(F.coalesce("btc_above", F.lit(False)).alias("btc_above"), *(places(F.coalesce(c, F.lit(0.0)), 2).alias(c) for c in ("vix", "btc_price", "btc_sma20")))
 
 
+def line_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, ts, close, volume of every line with a quantity, at minute orderkey % 1440 of its shipping day."""
+    lines = table(spark, sf_dir, "lineitem").filter("l_quantity <> 0")
+    ts = F.col("l_shipdate").cast("date").cast("timestamp") + F.make_interval(mins=(F.col("l_orderkey") % 1440).cast("int"))
+    rows = lines.select("l_suppkey", ts.alias("ts"), places(F.try_divide("l_extendedprice", "l_quantity"), 4).alias("close"), F.col("l_quantity").cast("long").alias("volume"))
+    sites = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return rows.join(sites, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("n_name").alias("symbol"), "ts", "close", "volume")
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, ts, close, volume (1 per event)."""
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), places("value", 4).alias("close"), F.lit(1).cast("long").alias("volume"), "event_id").filter("close is not null")
