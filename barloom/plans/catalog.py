@@ -11,7 +11,7 @@ from barloom.functions import text
 from barloom.functions.maths import places
 from barloom.operators import alerts, analysis, profile, recursive, rolling, scoring, simulate
 from barloom.plans.oracle import ORACLE_SQL
-from barloom.sources import feeds, tables
+from barloom.sources import feeds, state, tables
 from barloom.sources.tables import daily_bars, macro_history, macro_point, table, ticks, weekly_bars
 
 MARKET, PEERS = "NATION_0", ("NATION_1", "NATION_2")
@@ -329,7 +329,31 @@ def alert_deferred(spark, sf_dir):
 @query
 def weekly_accumulators(spark, sf_dir):
     readings = ticks(spark, sf_dir).select("ts", F.col("symbol").alias("name"), F.col("close").alias("value"))
-    return alerts.weekly_readings(readings)
+    return alerts.weekly_readings(readings, {"click": 8})
+
+
+@query
+def ledger_state(spark, sf_dir):
+    """Positions after two states: what was bought before 1998, then that read back and the rest added to it."""
+    bars = daily_bars(spark, sf_dir).select("symbol", "d", F.col("volume").alias("shares"), (F.col("volume") * F.col("close")).alias("paid"))
+    kept = state.StateTable(spark, state.new_folder(spark))
+    total = lambda df: df.groupBy("symbol").agg(F.sum("shares").alias("shares"), F.sum("paid").alias("paid"), F.sum("days").alias("days"))
+    # the first state has no days yet: a column that came later
+    kept.write(total(bars.filter("d < '1998-01-01'").withColumn("days", F.lit(0))).drop("days"))
+    before = kept.read({"symbol": ("string", ""), "shares": ("double", 0.0), "paid": ("double", 0.0), "days": ("long", 0)})
+    kept.write(total(before.unionByName(bars.filter("d >= '1998-01-01'").withColumn("days", F.lit(1).cast("long")).drop("d"))))
+    now = kept.read({"symbol": ("string", ""), "shares": ("double", 0.0), "paid": ("double", 0.0), "days": ("long", 0), "note": ("string", "none")})
+    return now.select("symbol", "shares", places(F.try_divide("paid", "shares"), 4).alias("avg_price"), "days", "note")
+
+
+@query
+def day_totals_once(spark, sf_dir):
+    """Each day's volume and symbols, computed for the days that aren't stored: those of 1995 first, then the others."""
+    bars = daily_bars(spark, sf_dir)
+    kept = state.StateTable(spark, state.new_folder(spark))
+    compute = lambda days: bars.join(days, "d").groupBy("d").agg(F.sum("volume").alias("volume"), F.count("*").alias("symbols"))
+    kept.once(bars.select("d").filter("year(d) = 1995"), compute)
+    return kept.once(bars.select("d"), compute)
 
 
 @query

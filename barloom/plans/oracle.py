@@ -322,15 +322,18 @@ SELECT symbol, last AS current, prev_close, round((last - prev_close) / nullif(p
 ORACLE_SQL["market_session"] = f"""WITH {TICKS} SELECT symbol, CASE WHEN isodow(ts) > 5 OR hour(ts) * 60 + minute(ts) < 480 THEN 'CLOSED' WHEN hour(ts) * 60 + minute(ts) < 810 THEN 'PRE' WHEN hour(ts) * 60 + minute(ts) < 1200 THEN 'REGULAR' ELSE 'POST' END AS session, count(*) AS n FROM tk GROUP BY 1, 2"""
 # the state machine as a recursion over each day's large changes
 ORACLE_SQL["alert_hysteresis"] = f"""WITH RECURSIVE {TICKS}, {DAYS}, pv AS (SELECT symbol, day, lag(last) OVER (PARTITION BY symbol ORDER BY day) AS prev FROM dy),
-ev AS MATERIALIZED (SELECT *, CAST(ts + INTERVAL 9 HOUR AS DATE) AS kday, row_number() OVER (PARTITION BY symbol, CAST(ts + INTERVAL 9 HOUR AS DATE) ORDER BY ts, change_pct) AS k FROM (SELECT tk.symbol, ts, round((close - prev) / prev * 100, 2) AS change_pct FROM tk JOIN pv ON pv.symbol = tk.symbol AND pv.day = CAST(ts AS DATE) WHERE prev > 0)
+ev AS MATERIALIZED (SELECT *, CAST(ts + INTERVAL 9 HOUR AS DATE) AS kday, hour(ts + INTERVAL 9 HOUR) >= 5 AS closed, row_number() OVER (PARTITION BY symbol, CAST(ts + INTERVAL 9 HOUR AS DATE), hour(ts + INTERVAL 9 HOUR) >= 5 ORDER BY ts, change_pct) AS k FROM (SELECT tk.symbol, ts, round((close - prev) / prev * 100, 2) AS change_pct FROM tk JOIN pv ON pv.symbol = tk.symbol AND pv.day = CAST(ts AS DATE) WHERE prev > 0)
   WHERE abs(change_pct) >= 4 AND isodow(ts) <= 5 AND hour(ts) * 60 + minute(ts) >= 480),
-st AS (SELECT symbol, kday, k, ts, change_pct, true AS fired, change_pct > 0 AS up, abs(change_pct) AS top FROM ev WHERE k = 1
-  UNION ALL SELECT e.symbol, e.kday, e.k, e.ts, e.change_pct, (e.change_pct > 0) <> st.up OR abs(e.change_pct) >= st.top + 1, e.change_pct > 0, CASE WHEN (e.change_pct > 0) <> st.up THEN abs(e.change_pct) WHEN abs(e.change_pct) >= st.top + 1 THEN abs(e.change_pct) ELSE st.top END
-  FROM st JOIN ev e ON e.symbol = st.symbol AND e.kday = st.kday AND e.k = st.k + 1)
+st AS (SELECT symbol, kday, closed, k, ts, change_pct, true AS fired, change_pct > 0 AS up, abs(change_pct) AS top FROM ev WHERE k = 1
+  UNION ALL SELECT e.symbol, e.kday, e.closed, e.k, e.ts, e.change_pct, (e.change_pct > 0) <> st.up OR abs(e.change_pct) >= st.top + 1, e.change_pct > 0, CASE WHEN (e.change_pct > 0) <> st.up THEN abs(e.change_pct) WHEN abs(e.change_pct) >= st.top + 1 THEN abs(e.change_pct) ELSE st.top END
+  FROM st JOIN ev e ON e.symbol = st.symbol AND e.kday = st.kday AND e.closed = st.closed AND e.k = st.k + 1)
 SELECT symbol, kday AS day, ts, change_pct, CASE WHEN up THEN 'up' ELSE 'down' END AS direction FROM st WHERE fired"""
-ORACLE_SQL["alert_deferred"] = f"WITH {BARS}, v AS (SELECT symbol, d, lead(d) OVER w AS alert_on, round((close - pc) / pc * 100, 4) AS change_pct FROM t {WIN}) SELECT *, CASE WHEN change_pct > 0 THEN 'up' ELSE 'down' END AS direction FROM v WHERE abs(change_pct) >= 4 AND alert_on IS NOT NULL"
+ORACLE_SQL["alert_deferred"] = f"""WITH {BARS}, v AS (SELECT symbol, d, round(round((close - pc) / pc * 100, 4), 2) AS c FROM t)
+SELECT symbol, d, CAST(d + 1 AS DATE) AS alert_on, round(c, 1) AS change_pct, round(abs(c), 1) AS abs_pct, CASE WHEN c > 0 THEN 'up' ELSE 'down' END AS direction FROM v WHERE abs(c) >= 4"""
+ORACLE_SQL["ledger_state"] = f"""WITH {BARS} SELECT symbol, sum(volume) AS shares, round(sum(volume * close) / nullif(sum(volume), 0), 4) AS avg_price, count(*) FILTER (WHERE d >= DATE '1998-01-01') AS days, 'none' AS note FROM bars GROUP BY symbol"""
+ORACLE_SQL["day_totals_once"] = f"WITH {BARS} SELECT d, sum(volume) AS volume, count(*) AS symbols FROM bars GROUP BY d"
 ORACLE_SQL["weekly_accumulators"] = f"""WITH {TICKS}, v AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week, symbol AS name, ts, close, row_number() OVER (PARTITION BY symbol, date_trunc('week', ts) ORDER BY ts DESC, close DESC) AS k FROM tk)
-SELECT week, name, count(*) AS n, round(avg(close), 2) AS average, string_agg(CAST(round(close, 2) AS VARCHAR), ',' ORDER BY k DESC) FILTER (WHERE k <= 8) AS last FROM v GROUP BY 1, 2"""
+SELECT week, name, count(*) AS n, round(avg(close), 2) AS average, string_agg(CAST(round(close, 2) AS VARCHAR), ',' ORDER BY k DESC) FILTER (WHERE k <= CASE WHEN name = 'click' THEN 8 ELSE 5 END) AS last FROM v GROUP BY 1, 2"""
 ORACLE_SQL["pcr"] = """WITH v AS (SELECT CAST(ts AS DATE) AS day, sum(value) FILTER (WHERE event_type = 'purchase') / nullif(sum(value) FILTER (WHERE event_type = 'click'), 0) AS r FROM events GROUP BY 1)
 SELECT day, round(r, 4) AS pcr, CASE WHEN r > 1.2 THEN 'heavy_hedging' WHEN r < 0.5 THEN 'bullish' WHEN r IS NOT NULL THEN 'neutral' END AS signal FROM v"""
 ORACLE_SQL["short_pct"] = """WITH v AS (SELECT CAST(l_shipdate AS DATE) AS d, coalesce(sum(l_quantity) FILTER (WHERE l_returnflag = 'R'), 0)::BIGINT AS short_volume, sum(l_quantity)::BIGINT AS total_volume FROM lineitem GROUP BY 1),
@@ -354,7 +357,7 @@ ORACLE_SQL["sector_universe"] = f"WITH {BARS}, c AS (SELECT symbol, count(*) AS
 _DATES = {
     "week": ("weekly_bars", "weekly_rsi_macd", "weekly_accumulators"),
     "day": ("pcr", "alert_hysteresis"),
-    "d": ("daily_bars", "macro", "day_change", "sma_bbands", "bb_squeeze", "atr", "cmf", "cmf_turning", "evsr", "upvol", "mfi", "stoch", "obv", "vol_contraction", "drawdown_atr", "volume_surge", "daily_hvn", "forward_returns", "rsi", "ema_stack", "ema_reclaim", "macd", "macd_signals", "macd_hist_scan", "adx", "rsi_divergence", "market_scan", "rolling_scores", "forward_returns_clipped", "dca_dynamic", "dca_baseline", "technical_score_items", "technical_score_total", "safety_margin", "alert_deferred", "short_pct", "insider_new"),
+    "d": ("daily_bars", "macro", "day_change", "sma_bbands", "bb_squeeze", "atr", "cmf", "cmf_turning", "evsr", "upvol", "mfi", "stoch", "obv", "vol_contraction", "drawdown_atr", "volume_surge", "daily_hvn", "forward_returns", "rsi", "ema_stack", "ema_reclaim", "macd", "macd_signals", "macd_hist_scan", "adx", "rsi_divergence", "market_scan", "rolling_scores", "forward_returns_clipped", "dca_dynamic", "dca_baseline", "technical_score_items", "technical_score_total", "safety_margin", "alert_deferred", "short_pct", "insider_new", "day_totals_once"),
     "alert_on": ("alert_deferred",),
 }
 for _column, _names in _DATES.items():
