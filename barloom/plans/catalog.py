@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from barloom.functions import text
 from barloom.functions.maths import places
 from barloom.operators import alerts, analysis, profile, recursive, rolling, scoring, simulate
-from barloom.plans.oracle import ORACLE_SQL
-from barloom.sources import feeds, state, tables
+from barloom.plans.oracle import ORACLE_SQL, exactly_rounded
+from barloom.plans.oracle_feeds import FEED_SQL
+from barloom.sources import feeds, filings, state, tables
 from barloom.sources.tables import daily_bars, macro_history, macro_point, table, ticks, weekly_bars
 
 MARKET, PEERS = "NATION_0", ("NATION_1", "NATION_2")
@@ -442,4 +444,108 @@ def sector_universe(spark, sf_dir):
     return tables.universe(spark, sf_dir).join(bars, "symbol", "left").select("symbol", F.coalesce("sector", F.lit("Unknown")).alias("sector"), F.coalesce("bars", F.lit(0)).alias("bars"))
 
 
+@query
+def option_chain_pcr(spark, sf_dir):
+    """Each day's put to call ratio from the option chains of two publishers, made of the day's events.
+
+    Purchases are puts and clicks calls, in ten classes. The first publisher has even days, with a broken document every
+    seventh day; the second has all days, with twice the puts.
+    """
+    events = table(spark, sf_dir, "events").filter("event_type in ('purchase', 'click')")
+    kind = F.when(F.col("event_type") == "purchase", "P").otherwise("C")
+    sums = events.groupBy(F.to_date("ts").alias("day"), (F.col("event_id") % 10).alias("class"), kind.alias("kind")).agg(F.coalesce(F.sum(F.floor(F.col("value") * 100)), F.lit(0)).cast("bigint").alias("n"))
+    # a day has no more than 20 sums
+    of = lambda k: F.collect_list(F.when(F.col("kind") == k, F.struct(F.col("n").alias("openInterest"))))
+    chain = F.struct(F.struct(F.array(F.struct(F.array(F.struct(of("P").alias("puts"), of("C").alias("calls"))).alias("options"))).alias("result")).alias("optionChain"))
+    quote = F.struct(F.struct(F.collect_list(F.struct(F.col("kind").alias("option_type"), F.when(F.col("kind") == "P", 2 * F.col("n")).otherwise(F.col("n")).alias("open_interest"))).alias("options")).alias("data"))
+    days = sums.groupBy("day").agg(F.to_json(chain).alias("chain"), F.to_json(quote).alias("quote")).withColumn("number", F.datediff("day", F.lit("1970-01-01")))
+    first = days.filter("number % 2 = 0").select("day", F.lit(1).alias("source"), F.when(F.col("number") % 7 == 0, F.lit("<html>busy</html>")).otherwise(F.col("chain")).alias("body"))
+    return filings.put_call_ratio(first.union(days.select("day", F.lit(2), "quote")), "day")
+
+
+@query
+def app_ranks(spark, sf_dir):
+    """Places of small parts among the 200 dearest parts, and among the 200 dearest ones of one brand."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice", "p_size")
+
+    def listed(name: str, parts: DataFrame) -> DataFrame:
+        top = parts.orderBy(F.desc("p_retailprice"), "p_partkey").limit(200)
+        ids = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("p_retailprice")).alias("a"), "p_partkey"))), lambda x: F.struct(x["p_partkey"].cast("string").alias("id")))
+        return top.agg(F.to_json(F.struct(F.struct(ids.alias("results")).alias("feed"))).alias("body")).select(F.lit(name).alias("list"), "body")
+
+    lists = listed("overall", part).union(listed("brand", part.filter("p_brand = 'Brand#1'")))
+    return filings.places_in_lists(lists, part.filter("p_size <= 5").select(F.col("p_partkey").cast("string").alias("id")))
+
+
+@query
+def filing_links(spark, sf_dir):
+    """Forms' addresses by way of Atom feeds of 20 pages each and the pages that they link to."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
+    n = F.col("page_id").cast("string")
+    url = F.concat(F.lit("https://forms.example.com/Archives/edgar/data/"), n, F.lit("/i"), n, F.lit("-index.htm"))
+    tags = [F.concat(F.lit("<filing-href>"), url, F.lit("</filing-href>")), F.concat(F.lit('<content type="text/xml" href="'), url, F.lit('"/>')), F.concat(F.lit('<content type="text/xml">none</content><link rel="alternate" href="http://example.org/"/><link href="'), url, F.lit('"/>')), F.concat(F.lit("<id>"), url, F.lit("</id>"))]
+    tag = F.lit("<id>urn:none</id>")
+    for k, t in enumerate(tags):
+        tag = F.when(F.col("page_id") % 5 == k, t).otherwise(tag)
+    entry = F.concat(F.lit("<entry><title>4</title><updated>"), F.date_add(F.lit("2020-01-01"), (F.col("page_id") % 1000).cast("int")).cast("string"), F.lit("T10:00:00-04:00</updated>"), tag, F.lit("</entry>"))
+    parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", entry.alias("e")))), lambda x: x["e"]), "\n")
+    feeds_of = pages.groupBy(F.floor(F.col("page_id") / 20).alias("feed")).agg(F.concat(F.lit('<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom">'), parts, F.lit("</feed>")).alias("xml"))
+    link = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("http://other.example.com/a"), n, F.lit(".xml"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("/Archives/x/b"), n, F.lit(".xml"))).otherwise(F.concat(F.lit("sub/c"), n, F.lit(".xml")))
+    index = pages.select(url.alias("href"), F.concat("html", F.lit('<a href="xslF345X05/form.xml">x</a><a href=\'R2.xml\'>r</a><a href="Financial_Report.xml">f</a><a href="'), link, F.lit('">form</a><a href="later.xml">l</a>')).alias("page"))
+    met = filings.atom_entries(feeds_of).join(index, "href")
+    return met.select("feed", "position", "href", "date", filings.form_link(F.col("page"), F.col("href")).alias("form"))
+
+
+@query
+def filing_positions(spark, sf_dir):
+    """Positions in one issuer by way of search results, filings' listings and their tables, made of customers."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.floor(F.abs("c_acctbal")).cast("long").alias("value"))
+    k = F.col("c_custkey")
+    digits = F.lpad(k.cast("string"), 10, "0")
+    accession = F.when(k % 11 == 0, F.lit("")).otherwise(F.concat(F.lit("0001-24-"), digits))
+    source = F.struct(
+        F.when(k % 3 == 1, F.array("c_name", F.lit("CIK"))).otherwise(F.array().cast("array<string>")).alias("display_names"), F.when(k % 3 == 2, F.concat("c_name", F.lit(" Inc"))).alias("entity_name"),
+        F.date_sub(F.lit("2024-06-01"), (k % 150).cast("int")).cast("string").alias("file_date"), accession.alias("accession_no"), F.when(k % 13 == 0, F.lit("")).otherwise(digits).alias("entity_id"),
+    )
+    hits = F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", source.alias("_source")))), lambda x: F.struct(x["_source"].alias("_source")))
+    results = rows.groupBy(F.floor(k / 15).alias("page")).agg(F.to_json(F.struct(F.struct(hits.alias("hits")).alias("hits"))).alias("body"))
+    names = F.when(k % 4 == 0, F.array(F.lit("primary_doc.xml"), F.lit("Form13F_InfoTable.xml"))).when(k % 4 == 1, F.array(F.lit("xslForm/a.xml"), F.lit("infotable.html"), F.lit("form13f.xml"))).when(k % 4 == 2, F.array(F.lit("readme.txt"))).otherwise(F.array(F.lit("a-infotable.xml")))
+    listing = F.to_json(F.struct(F.struct(F.transform(names, lambda x: F.struct(x.alias("name"))).alias("item")).alias("directory")))
+    row = lambda issuer, value, shares, kind="": F.concat(F.lit(f"<ns1:infoTable><ns1:nameOfIssuer>{issuer}</ns1:nameOfIssuer><ns1:value>"), value.cast("string"), F.lit("</ns1:value><ns1:shrsOrPrnAmt><ns1:sshPrnamt>"), shares.cast("string"), F.lit(f"</ns1:sshPrnamt></ns1:shrsOrPrnAmt>{kind}</ns1:infoTable>"))
+    xml = F.concat(F.lit('<ns1:informationTable xmlns:ns1="http://www.example.com/ns">'), row("OTHER CO", F.lit(5), F.lit(6)), row("Wanted Corp", F.lit(7), F.lit(8), "<ns1:putCall>Put</ns1:putCall>"), row("Wanted Corp Class A", F.col("value"), k * 7), F.lit("</ns1:informationTable>"))
+    published = rows.select(k.cast("string").alias("cik"), F.replace(accession, F.lit("-"), F.lit("")).alias("accession"), listing.alias("listing"), xml.alias("xml"))
+    found = filings.search_hits(results, dt.date(2024, 6, 1)).join(published, ["cik", "accession"], "left").withColumn("file", filings.table_file(F.col("listing")))
+    url = F.concat_ws("/", "cik", "accession", "file")
+    held = feeds.infotable_position(found.filter("file is not null").select("xml", url.alias("url")), "wanted")
+    met = found.withColumn("url", url).join(held, "url", "left")
+    return met.select("institution", "filing_date", "cik", "accession", "file", F.coalesce("shares", F.lit(0)).cast("long").alias("shares"), F.coalesce("value_usd", F.lit(0.0)).alias("value_usd"))
+
+
+@query
+def news_items(spark, sf_dir):
+    """The first 15 items of news feeds of 20 documents each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"))
+    n = F.col("doc_id").cast("string")
+    item = F.concat(F.lit("<item><title>Item "), n, F.lit(" in "), "lang", F.lit("</title><pubDate>day "), n, F.lit("</pubDate><link>https://news.example.com/"), n, F.lit("</link></item>"))
+    items = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", item.alias("i")))), lambda x: x["i"]), "")
+    return feeds.rss_items(docs.groupBy(F.floor(F.col("doc_id") / 20)).agg(F.concat(F.lit('<rss version="2.0"><channel><title>all</title>'), items, F.lit("</channel></rss>")).alias("xml")).select("xml"))
+
+
+@query
+def insider_forms(spark, sf_dir):
+    """Trades in ownership forms, one form for each order."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.floor(F.col("o_totalprice") / 10).cast("long").alias("shares"), F.col("o_orderdate").cast("date").cast("string").alias("date"))
+    rows = rows.join(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+    k = F.col("o_orderkey")
+    code = F.element_at(F.array(*map(F.lit, "PSAGMF")), (k % 6 + 1).cast("int"))
+    role = F.element_at(F.array(*map(F.lit, ("<officerTitle>Chief</officerTitle>", "<isDirector>1</isDirector>", "<isTenPercentOwner>true</isTenPercentOwner>", "<isOfficer>0</isOfficer>"))), (F.col("o_custkey") % 4 + 1).cast("int"))
+    deal = lambda tag, code, shares, price, way: F.concat(F.lit(f"<{tag}><transactionCoding><transactionCode>"), code, F.lit("</transactionCode></transactionCoding><transactionAmounts><transactionShares><value>"), shares.cast("string"), F.lit("</value></transactionShares><transactionPricePerShare><value>"), price.cast("string"), F.lit("</value></transactionPricePerShare><transactionAcquiredDisposedCode><value>"), way, F.lit(f"</value></transactionAcquiredDisposedCode></transactionAmounts></{tag}>"))
+    plain = deal("nonDerivativeTransaction", code, F.col("shares"), k % 100 + 0.25, F.when(k % 4 == 0, "D").otherwise("A"))
+    other = F.when(k % 3 == 0, F.concat(F.lit("<derivativeTable>"), deal("derivativeTransaction", F.lit("M"), F.lit("12.0"), F.lit("0.5"), F.when(k % 2 == 0, "D").otherwise("A")), F.lit("</derivativeTable>"))).otherwise("")
+    xml = F.concat(F.lit("<ownershipDocument><reportingOwner><reportingOwnerId><rptOwnerName>"), "c_name", F.lit("</rptOwnerName></reportingOwnerId><reportingOwnerRelationship>"), role, F.lit("</reportingOwnerRelationship></reportingOwner><nonDerivativeTable>"), plain, F.lit("</nonDerivativeTable>"), other, F.lit("</ownershipDocument>"))
+    return feeds.form4_trades(rows.select("date", k.cast("string").alias("url"), xml.alias("xml")))
+
+
+ORACLE_SQL |= {name: exactly_rounded(sql) for name, sql in FEED_SQL.items()}
+
 __all__ = ["ORACLE_SQL", "QUERIES"]

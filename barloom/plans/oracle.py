@@ -365,7 +365,7 @@ for _column, _names in _DATES.items():
         ORACLE_SQL[_name] = f"SELECT * REPLACE (CAST({_column} AS VARCHAR) AS {_column}) FROM ({ORACLE_SQL[_name]})"
 
 
-def _exactly_rounded(sql: str) -> str:
+def exactly_rounded(sql: str) -> str:
     """sql with round(x, n) spelled out: printed to n places, which goes by the exact value of a double, and read back."""
     at = 0
     while (at := sql.find("round(", at)) >= 0:
@@ -383,4 +383,4 @@ def _exactly_rounded(sql: str) -> str:
 
 
 for _name in ORACLE_SQL:
-    ORACLE_SQL[_name] = _exactly_rounded(ORACLE_SQL[_name])
+    ORACLE_SQL[_name] = exactly_rounded(ORACLE_SQL[_name])
