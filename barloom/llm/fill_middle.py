@@ -1,13 +1,14 @@
-"""Fill-in-the-middle documents: texts cut into units, and a prefix, middle and suffix that change places.
+"""Fill-in-middle documents: texts cut into units, and a prefix, middle and suffix that change places.
 
 A text's units are the matches of a pattern, left to right; a cut lies after so many units. Where a cut lies in the text is
 found relationally. Matches are exploded with their ordinals, running sums of their lengths are windows over a document's
-ordinals, the cuts that documents request are joined by ordinal, and the offsets found are aggregated per document, which
-then is cut by substrings. This is done at two levels: the first one's matches are blocks of up to BLOCK units, so that a
-document gives one row for every BLOCK units, and only the blocks that a cut lies in keep their text, which the second
-level explodes into units. So no text is moved but once, to meet its offsets.
+ordinals, the cuts that documents request are joined and meet the match of their ordinal, and the offsets found are
+aggregated per document, which then is cut by substrings. This is done at two levels: the first one's matches are blocks of
+up to BLOCK units, so that a document gives one row for every BLOCK units, and the second level explodes only the blocks
+that a cut lies in into units.
 
-Documents are known by doc_id and a hash of their text: rows that share both are one document, and give equal rows.
+Documents are known by doc_id and a hash of their text: rows that share both are one document, collapsed before they are
+moved. All steps share the partitioning by document, so texts are moved once, and those that stay plain not at all.
 
 Defined results: null texts are empty; a null doc_id counts as an empty one; empty texts and texts with a marker in them
 stay plain; what the pattern doesn't match behind the last unit belongs to the last part; repeated rows stay; only doc_id
@@ -25,7 +26,7 @@ from barloom.llm.common import let
 CODE_POINT = r"(?s)."
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Units of a block, and the percentages of documents that are transformed, and of those that have their suffix first.
-BLOCK = 512
+BLOCK = 128
 TRANSFORMED, SUFFIX_FIRST = 90, 20
 
 
@@ -34,43 +35,41 @@ def _number(digest: Column, k: int) -> Column:
     return F.conv(F.substring(digest, 8 * k - 7, 8), 16, 10).cast("long")
 
 
+#: What a document is known by: its doc_id (0 for none), and a hash of its text, its length and whether it has a doc_id.
+_KEY = ["doc", "h"]
+
+
 def requests(docs: DataFrame, unit: str = CODE_POINT) -> DataFrame:
-    """key, doc_id, text, n (units), form, and the cuts lo and hi (null if plain) of every row."""
+    """_KEY, doc_id, text, n (units), form, and the cuts lo and hi (null if plain) of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     length = F.length("text") if unit == CODE_POINT else F.regexp_count("text", F.lit(unit))
     digest = F.sha2(F.concat(F.lit("1:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
-    told = own.select("doc_id", "text", length.cast("long").alias("n"), digest.alias("digest"))
+    key = [F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc"), F.xxhash64("text", F.length("text"), F.col("doc_id").isNull()).alias("h")]
+    told = own.select(*key, "doc_id", "text", length.cast("long").alias("n"), digest.alias("digest"))
     h = [_number(F.col("digest"), k) for k in (1, 2, 3, 4)]
     marked = F.contains("text", F.lit(PREFIX)) | F.contains("text", F.lit(SUFFIX)) | F.contains("text", F.lit(MIDDLE))
     plain = (F.col("text") == "") | marked | (h[2] % 100 >= TRANSFORMED)
     form = F.when(plain, "plain").when(h[3] % 100 < SUFFIX_FIRST, "spm").otherwise("psm")
     at = [F.when(~plain, x % (F.col("n") + 1)) for x in h[:2]]
-    key = F.struct("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("size"))
-    return told.select(key.alias("key"), "doc_id", "text", "n", form.alias("form"), F.least(*at).alias("lo"), F.greatest(*at).alias("hi"))
+    return told.select(*_KEY, "doc_id", "text", "n", form.alias("form"), F.least(*at).alias("lo"), F.greatest(*at).alias("hi"))
 
 
-def cut_offsets(requested: DataFrame, unit: str = CODE_POINT, block: int = BLOCK) -> DataFrame:
-    """key, lo_chars, hi_chars: how many code points lie before the cuts lo and hi of each document that has them."""
-    inner = unit.removeprefix("(?s)")
+def cut_offsets(texts: DataFrame, cuts: DataFrame, unit: str = CODE_POINT, block: int = BLOCK) -> DataFrame:
+    """_KEY, lo_chars, hi_chars: how many code points of the texts (_KEY, text) lie before the cuts (_KEY, lo, hi)."""
     flags = "(?s)" if unit.startswith("(?s)") else ""
-    blocks = F.regexp_extract_all("text", F.lit(f"{flags}(?:{inner}){{1,{block}}}"), F.lit(0))
-    cut = requested.filter("lo is not null")
-    # the block in which a cut's last unit is; a cut before all units has none, and its offset is 0
-    of = lambda c: F.floor((F.col(c) - 1) / block).cast("int")
-    exploded = cut.select("key", "lo", "hi", F.posexplode(blocks).alias("ordinal", "match"))
-    wanted = (F.col("ordinal") == of("lo")) | (F.col("ordinal") == of("hi"))
-    matches = exploded.select("key", "ordinal", F.length("match").alias("chars"), F.when(wanted, F.col("match")).alias("match")).distinct()
-    in_order = Window.partitionBy("key").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    placed = matches.withColumn("before", F.coalesce(F.sum("chars").over(in_order), F.lit(0))).filter("match is not null")
-
-    asked = cut.select("key", F.posexplode(F.array("lo", "hi")).alias("which", "after")).distinct()
-    asked = asked.filter("after > 0").select("key", "which", of("after").alias("ordinal"), F.pmod(F.col("after") - 1, F.lit(block)).alias("rest"))
-    met = asked.join(placed, ["key", "ordinal"])
-    units = met.select("key", "which", "before", "rest", F.posexplode(F.regexp_extract_all("match", F.lit(unit), F.lit(0))).alias("k", "unit"))
-    in_block = Window.partitionBy("key", "which").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = F.regexp_extract_all("text", F.lit(f"{flags}(?:{unit.removeprefix('(?s)')}){{1,{block}}}"), F.lit(0))
+    matches = texts.select(*_KEY, F.posexplode(blocks).alias("ordinal", "match"))
+    in_order = Window.partitionBy(*_KEY).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    placed = matches.withColumn("before", F.coalesce(F.sum(F.length("match")).over(in_order), F.lit(0)))
+    # the match in which a cut's last unit is; a cut before all units has none, and its offset is 0
+    last = [F.struct(F.lit(k).alias("which"), (F.col(c) - 1).alias("unit")) for k, c in enumerate(("lo", "hi"))]
+    asked = placed.join(cuts, _KEY).select(*_KEY, "ordinal", "match", "before", F.explode(F.array(*last)).alias("cut"))
+    asked = asked.filter("cut.unit >= 0").filter(F.floor(F.col("cut.unit") / block) == F.col("ordinal"))
+    units = asked.select(*_KEY, "cut.which", "before", F.pmod("cut.unit", F.lit(block)).alias("rest"), F.posexplode(F.regexp_extract_all("match", F.lit(unit), F.lit(0))).alias("k", "unit"))
+    in_block = Window.partitionBy(*_KEY, "which").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     ends = units.withColumn("end", F.col("before") + F.sum(F.length("unit")).over(in_block)).filter("k = rest")
-    return ends.groupBy("key").agg(*(F.max(F.when(F.col("which") == k, F.col("end"))).alias(c) for k, c in enumerate(("lo_chars", "hi_chars"))))
+    return ends.groupBy(*_KEY).agg(*(F.max(F.when(F.col("which") == k, F.col("end"))).alias(c) for k, c in enumerate(("lo_chars", "hi_chars"))))
 
 
 def fill_in_middle(docs: DataFrame, unit: str = CODE_POINT, block: int = BLOCK) -> DataFrame:
@@ -79,15 +78,22 @@ def fill_in_middle(docs: DataFrame, unit: str = CODE_POINT, block: int = BLOCK)
     unit: a pattern whose matches follow each other without gaps, such as a code point, or a word with the space before it.
     """
     asked = requests(docs, unit)
-    met = asked.join(cut_offsets(asked, unit, block), "key", "left")
-    lo, hi = (F.when(F.col("form") != "plain", F.coalesce(c, F.lit(0).cast("long"))) for c in ("lo_chars", "hi_chars"))
-    told = met.select("doc_id", "text", "n", "form", lo.alias("lo"), hi.alias("hi"))
-    prefix, middle = F.substring("text", F.lit(1), F.col("lo").cast("int")), F.substring("text", (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int"))
-    suffix = F.substring("text", (F.col("hi") + 1).cast("int"), F.length("text"))
+    none = F.lit(None).cast("long")
+    plain = asked.filter("form = 'plain'").select("doc_id", "text", "n", "form", none.alias("prefix_chars"), none.alias("middle_chars"), F.col("text").alias("output"))
+    cut = asked.filter("form <> 'plain'")
+    texts = cut.groupBy(*_KEY).agg(F.first("text").alias("text"))
+    cuts = cut.groupBy(*_KEY).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    zero = F.lit(0).cast("long")
+    lo, hi = F.coalesce("lo_chars", zero), F.coalesce("hi_chars", zero)
+    whole = texts.join(cut_offsets(texts, cuts, unit, block), _KEY, "left").select(*_KEY, "text", lo.alias("lo_at"), hi.alias("hi_at"))
+    # every row, without its text, meets its document
+    told = cut.select(*_KEY, "doc_id", "n", "form").join(whole, _KEY)
+    at = lambda c: F.col(c).cast("int")
+    prefix, middle, suffix = F.substring("text", F.lit(1), at("lo_at")), F.substring("text", at("lo_at") + 1, at("hi_at") - at("lo_at")), F.substring("text", at("hi_at") + 1, F.length("text"))
     psm = F.concat(F.lit(PREFIX), prefix, F.lit(SUFFIX), suffix, F.lit(MIDDLE), middle)
     spm = F.concat(F.lit(SUFFIX), suffix, F.lit(PREFIX), prefix, F.lit(MIDDLE), middle)
-    output = F.when(F.col("form") == "plain", F.col("text")).when(F.col("form") == "psm", psm).otherwise(spm)
-    return told.select("doc_id", "text", "n", "form", F.col("lo").alias("prefix_chars"), (F.col("hi") - F.col("lo")).alias("middle_chars"), output.alias("output"))
+    output = F.when(F.col("form") == "psm", psm).otherwise(spm)
+    return told.select("doc_id", "text", "n", "form", F.col("lo_at").alias("prefix_chars"), (F.col("hi_at") - F.col("lo_at")).alias("middle_chars"), output.alias("output")).union(plain)
 
 
 def restored(output: Column, form: Column) -> Column:
