@@ -7,11 +7,12 @@ BANDS bands of ROWS coordinates each are hashed; two sets share a band's bucket
 chance that a link of J = 0.8 shares no bucket is (1 - 0.8 ** ROWS) ** BANDS, less than one in a hundred million; links are
 confirmed on full sets, so nothing is linked by chance.
 
-No bucket gives all its pairs. Equal sets are one class. In each bucket the classes first meet one leader, another one in
-each band, as many pairs as entries; links give components. Only buckets that still hold several components go on: a class
-meets those of other components there, if their sizes and parity sketches (lower bounds of their difference, which never
-reject a link) allow one. That join is on the bucket alone and may be skewed, which adaptive joins deal out; its filter
-stands in the join.
+No bucket gives all its pairs. Equal sets are one class. In each bucket the classes first meet one leader, as many pairs as
+entries; links give components. The leader is the class that meets most others in all its buckets together, which in a group
+of edited copies is one of the least edited: so leaders don't depend on chance, are the same ones in most of a group's
+buckets, and most copies link with them. Only buckets that still hold several components go on: a class meets those of other
+components there, if their sizes and parity sketches (lower bounds of their difference, which never reject a link) allow one.
+That join is on the bucket alone and may be skewed, which adaptive joins deal out; its filter stands in the join.
 
 Defined results: null text and texts without words have an empty set and link with nothing; a text with fewer words than
 n has its whole sequence as its one n-gram; rows that share a doc_id are one node, with the links of all their texts; rows
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import TO_LOWER, mix64, scratch, text_bytes, written
 from barloom.llm.components import connected_components
-from barloom.llm.jaccard_join import least_difference, parity_sketch, token_sets
+from barloom.llm.jaccard_join import least_difference, token_sets
 
 WORDS = 2
 BANDS, ROWS = 48, 5
@@ -38,8 +39,8 @@ BANDS, ROWS = 48, 5
 NUM, DEN = 4, 5
 #: Bytes of text whose words are hashed at once, and grams whose coordinates are made at once (a few arrays that fit a cache).
 SLICE, BATCH = 1 << 20, 1 << 15
-#: Cells of the small sketch that bucket entries carry, in 64-bit columns.
-FOLD = 256
+#: Cells of the sketch that entries of buckets with several components carry, in 64-bit columns.
+FOLD = 1024
 _FOLDS = [f"f{k}" for k in range(FOLD // 64)]
 
 
@@ -99,6 +100,15 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """One bit per cell: whether an odd number of grams falls into it; a power of two of cells, at least FOLD and twice the grams."""
+    bits = FOLD
+    while bits < 2 * len(s):
+        bits *= 2
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
 def _fold(sketch: bytes) -> bytes:
     x = np.frombuffer(sketch, np.uint8)
     while len(x) > FOLD // 8:
@@ -116,7 +126,7 @@ def _describe(words: int):
             first = set(own.values())
             bands = dict(zip(own.values(), band_hashes(signatures([sets[k] for k in own.values()])).view(np.int64), strict=True))
             full = [k in first for k in range(len(sets))]
-            sketches = [parity_sketch(s) if f else None for s, f in zip(sets, full, strict=True)]
+            sketches = [_parity(s) if f else None for s, f in zip(sets, full, strict=True)]
             columns = [docs, pa.array([len(s) for s in sets], pa.int32()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array([bands.get(k) for k in range(len(sets))], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "sketch", "bands"])
 
@@ -126,7 +136,7 @@ def _describe(words: int):
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         folds = np.frombuffer(b"".join(_fold(s) for s in b.column("sketch").to_pylist()), np.int64).reshape(-1, len(_FOLDS))
-        yield pa.RecordBatch.from_arrays([*b.select(["rep", "n", "bands"]).columns, *map(pa.array, np.ascontiguousarray(folds.T))], ["rep", "n", "bands", *_FOLDS])
+        yield pa.RecordBatch.from_arrays([b.column("rep"), *map(pa.array, np.ascontiguousarray(folds.T))], ["rep", *_FOLDS])
 
 
 def _keyed_sets(words: int):
@@ -171,23 +181,26 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, k
 
 def _class_components(classes: DataFrame, texts: DataFrame, edges: DataFrame, words: int, keep) -> DataFrame:
     """node, component of the classes that link or that edges join."""
-    told = classes.select("rep", "n", "sketch", "bands").mapInArrow(_folded, f"rep long, n int, bands array<long>, {', '.join(f'{c} long' for c in _FOLDS)}")
-    entries = told.select("rep", "n", F.explode("bands").alias("bucket"), *_FOLDS)
-    several = entries.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
+    entries = classes.select("rep", "n", F.explode("bands").alias("bucket"))
+    several = entries.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
     entries = keep(entries.join(several, "bucket"))
 
-    # each entry against its bucket's leader, which another hash chooses in each bucket
-    leaders = entries.groupBy("bucket").agg(F.min_by("rep", F.struct(F.xxhash64("bucket", "rep"), "rep")).alias("lead"))
+    # each entry against its bucket's leader
+    met = entries.groupBy("rep").agg(F.sum("c").alias("met"))
+    leaders = entries.join(met, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("met", "rep")).alias("lead"))
     stars = entries.join(leaders, "bucket").filter("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
     stars = keep(stars.distinct())
     first = _links(stars, classes, texts, words, keep)
     parts = connected_components(first.union(edges), keep)
 
     # pairs across components in buckets that still have several
-    named = entries.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    named = keep(named)
+    named = entries.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    named = keep(named.select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component")))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
     left = keep(named.join(mixed, "bucket"))
+    sketches = classes.select("rep", "sketch").join(left.select("rep").distinct(), "rep", "left_semi")
+    folds = sketches.mapInArrow(_folded, f"rep long, {', '.join(f'{c} long' for c in _FOLDS)}")
+    left = keep(left.join(folds, "rep"))
     x, y = (left.select("bucket", *(F.col(c).alias(s + c) for c in ("rep", "n", "component", *_FOLDS))) for s in "xy")
     apart = sum((F.bit_count(F.col(f"x{c}").bitwiseXOR(F.col(f"y{c}"))) for c in _FOLDS), F.lit(0))
     sizes = F.col("xn") + F.col("yn")
