@@ -89,8 +89,24 @@ def period_schedule(targets: DataFrame) -> DataFrame:
     return slots.join(ranked, "rank").select("key", turn.cast("long").alias("turn"), F.col("slot").cast("long").alias("slot"), "share", "period")
 
 
+#: What placing adds to a row.
+RESULTS = ("block", "release", "deadline", "slot", "place")
+
+
 def placed(docs: DataFrame, targets: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """docs with columns block, release, deadline, slot, place: its source's block number, and where it goes."""
+    """docs with columns block, release, deadline, slot, place: its source's block number, and where it goes.
+
+    Columns of docs may have any names; those named like a result give way to it.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "source")]
+    own = [F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row")] if rest else []
+    at = _placed(docs.select(*own, "doc_id", "source"), targets, block_docs)
+    kept = [F.col(c) if c not in rest else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in RESULTS]
+    return at.select(*kept, *RESULTS)
+
+
+def _placed(docs: DataFrame, targets: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """placed() for docs with no columns but doc_id, source and _row."""
     keyed = docs.withColumn("_key", _key(F.col("source"))).withColumn("_range", F.expr(f"coalesce(doc_id div {RANGE}, -1152921504606846976)"))
     sizes = keyed.groupBy("_key", "_range").agg(F.count("*").alias("n"))
     targets = targets.select("source", "share").union(sizes.select("_key", F.lit(1).cast("long")).distinct())
@@ -115,5 +131,5 @@ def placed(docs: DataFrame, targets: DataFrame, block_docs: int = BLOCK_DOCS) ->
 
 def mixed(docs: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """The rows of docs in the order of the mix, by default to root_targets."""
-    at = placed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source"), root_targets(docs) if targets is None else targets)
+    at = _placed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source"), root_targets(docs) if targets is None else targets)
     return at.orderBy("slot", "place").select("_row.*")

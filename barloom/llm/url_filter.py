@@ -41,10 +41,11 @@ def _key(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
 
-def _suffixes(host: Column) -> Column:
-    """host and what remains of it after each of its dots."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+def _suffixes(host: Column, counts: list[int]) -> Column:
+    """The last labels of host, as many of them as each of the counts says, where it has so many."""
+    labels = F.size(F.split(host, r"\."))
+    ends = [F.when(labels >= n, F.substring_index(host, ".", -n)) for n in counts] or [F.lit(None).cast("string")]
+    return F.filter(F.array(*ends), lambda h: h.isNotNull())
 
 
 def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
@@ -58,10 +59,12 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow") ->
     told = told.withColumn("rule", F.concat("rule_host", "rule_path"))
     # lengths of rule paths: no more of them than a URL has characters
     lengths = sorted(r[0] for r in told.select(F.length("rule_path")).distinct().collect())
+    # numbers of labels of rule hosts, likewise: only such ends of a host are hashed, so a long host costs no more than its length
+    counts = sorted(r[0] for r in told.select(F.size(F.split("rule_host", r"\.")).alias("labels")).distinct().collect())
     at = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     places = at.select("host", "path").filter("host <> ''").distinct()
     prefixes = F.filter(F.array([F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths] or [F.lit(None).cast("string")]), lambda p: p.isNotNull())
-    terms = places.select("host", "path", F.explode(_suffixes(F.col("host"))).alias("h"), F.col("path").alias("full")).select("host", "path", "h", F.explode(prefixes).alias("p"))
+    terms = places.select("host", "path", F.explode(_suffixes(F.col("host"), counts)).alias("h"), F.col("path").alias("full")).select("host", "path", "h", F.explode(prefixes).alias("p"))
     terms = terms.withColumn("term", _key(F.col("h"), F.col("p"))).withColumn("prefix", F.substring("term", 1, 8))
     hits = terms.join(told, "prefix").filter(F.col("term") == F.col("digest"))
     best = hits.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("size"), "rule", "verdict")).alias("best"))
