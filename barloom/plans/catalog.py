@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from barloom.functions import text
 from barloom.functions.maths import places
-from barloom.operators import alerts, analysis, profile, recursive, rolling, scoring, simulate
+from barloom.operators import alerts, analysis, notes, profile, recursive, rolling, scoring, simulate
 from barloom.plans.oracle import ORACLE_SQL, exactly_rounded
 from barloom.plans.oracle_feeds import FEED_SQL
-from barloom.sources import feeds, filings, state, tables
+from barloom.plans.oracle_quotes import QUOTE_SQL
+from barloom.sources import feeds, filings, quotes, state, summaries, tables
 from barloom.sources.tables import daily_bars, macro_history, macro_point, table, ticks, weekly_bars
 
 MARKET, PEERS = "NATION_0", ("NATION_1", "NATION_2")
@@ -546,6 +547,130 @@ def insider_forms(spark, sf_dir):
     return feeds.form4_trades(rows.select("date", k.cast("string").alias("url"), xml.alias("xml")))
 
 
-ORACLE_SQL |= {name: exactly_rounded(sql) for name, sql in FEED_SQL.items()}
+def _chart(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, body: charts made of rows (keys, ts, prices and volumes as they are named in charts), a document for each key."""
+    names = [c for c in rows.columns if c in quotes.PRICES]
+    every = F.sort_array(F.collect_list(F.struct(F.unix_seconds("ts").alias("at"), *names)))
+    lists = rows.groupBy(*keys).agg(every.alias("x"))
+    told = F.struct(F.col("x.at").alias("timestamp"), F.struct(F.array(F.struct(*(F.col(f"x.{c}").alias(c) for c in names))).alias("quote")).alias("indicators"))
+    return lists.select(*keys, F.to_json(F.struct(F.struct(F.array(told).alias("result")).alias("chart"))).alias("body"))
+
+
+def _quotes(spark, sf_dir):
+    """Daily bars, minutes and moments with the keys symbol and day, read from charts made of events.
+
+    Each day is seen at an hour that follows from its number, from a chart of the ten days up to it and one of its minutes
+    so far, behind one of the day before. Every seventh day and fifth minute has no close, every eleventh day no volume.
+    """
+    t = ticks(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    number = F.datediff("day", F.lit("1970-01-01"))
+    last = F.max_by("close", F.struct("ts", "close"))
+    days = t.groupBy("symbol", "day").agg(last.alias("close"), F.sum("volume").alias("volume"))
+    days = days.select("symbol", "day", F.when(number % 7 != 3, F.col("close")).alias("close"), F.when(number % 11 != 5, F.col("volume")).alias("volume"))
+    # a bar is told in the charts of its own day and the nine after it that the symbol has
+    ahead = Window.partitionBy("symbol").orderBy("day").rowsBetween(0, 9)
+    told = days.withColumn("seen", F.collect_list("day").over(ahead)).select("symbol", F.explode("seen").alias("day"), F.col("day").cast("timestamp").alias("ts"), "close", "volume")
+    moments = days.select("symbol", "day", (F.col("day").cast("timestamp") + F.make_dt_interval(hours=number * 5 % 24, mins=F.lit(30))).alias("now"))
+    minutes = t.groupBy("symbol", "day", F.date_trunc("minute", "ts").alias("ts")).agg(last.alias("close"), F.sum("volume").alias("volume"))
+    minutes = minutes.withColumn("close", F.when(F.minute("ts") % 5 != 0, F.col("close"))).join(moments, ["symbol", "day"]).filter("ts <= now").drop("now")
+    before = moments.select("symbol", "day", (F.col("day").cast("timestamp") - F.expr("interval 1 hour")).alias("ts"), F.lit(1.0).alias("close"), F.lit(99).cast("long").alias("volume"))
+    read = lambda rows: quotes.chart_bars(_chart(rows, "symbol", "day"), "symbol", "day")
+    return read(told), read(minutes.unionByName(before)), moments
+
+
+@query
+def quote_snapshot(spark, sf_dir):
+    return quotes.snapshot(*_quotes(spark, sf_dir), "symbol", "day")
+
+
+@query
+def quote_snapshot_close(spark, sf_dir):
+    return quotes.snapshot(*_quotes(spark, sf_dir), "symbol", "day", realtime=False)
+
+
+@query
+def quote_change(spark, sf_dir):
+    return quotes.ticker_change(*_quotes(spark, sf_dir), "symbol", "day")
+
+
+def _yearly_charts(spark, sf_dir):
+    """Bars read from one chart for each symbol and year; some have no close, volume or high."""
+    n = F.datediff("d", F.lit("1970-01-01"))
+    bars = daily_bars(spark, sf_dir).withColumn("close", F.when(n % 7 != 3, F.col("close"))).withColumn("volume", F.when(n % 11 != 5, F.col("volume"))).withColumn("high", F.when(n % 13 != 1, F.col("high")))
+    return quotes.chart_bars(_chart(bars.select("symbol", F.year("d").alias("year"), F.col("d").cast("timestamp").alias("ts"), *quotes.PRICES), "symbol", "year"), "symbol", "year")
+
+
+@query
+def close_history(spark, sf_dir):
+    return quotes.close_history(_yearly_charts(spark, sf_dir), "symbol", "year")
+
+
+@query
+def bars_zero_filled(spark, sf_dir):
+    return rounded(quotes.clean_bars(_yearly_charts(spark, sf_dir), "zero").select("symbol", F.to_date("ts").alias("d"), *quotes.PRICES))
+
+
+@query
+def bars_nulls_dropped(spark, sf_dir):
+    return rounded(quotes.clean_bars(_yearly_charts(spark, sf_dir)).select("symbol", F.to_date("ts").alias("d"), *quotes.PRICES))
+
+
+def _annotated(spark, sf_dir):
+    """Items of 20 documents a feed with notes by their place; every fifth feed's answer can't be read."""
+    k, feed = F.col("doc_id"), F.floor(F.col("doc_id") / 20).alias("feed")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    items = docs.select(feed, (k % 20).cast("int").alias("position"), F.concat(F.lit("Item "), k.cast("string"), F.lit(" in "), F.coalesce("lang", F.lit(""))).alias("title"))
+    said = lambda word: F.concat(F.lit(word), k.cast("string"))
+    idx = (k % 20 + 1).cast("int")
+    note = F.struct(
+        idx.alias("idx"), F.when(k % 3 != 0, True).when(k % 2 == 0, False).alias("relevant"), F.when(k % 4 != 0, said("note ")).alias("summary"),
+        F.when(k % 5 != 0, said("text ")).alias("translation"), F.when(k % 3 == 1, "positive").when(k % 7 == 0, "negative").alias("sentiment"),
+    )
+    none = F.lit(None).cast("string")
+    more = lambda at: F.struct(at.cast("int").alias("idx"), F.lit(True).alias("relevant"), said("again ").alias("summary"), none.alias("translation"), none.alias("sentiment"))
+    each = F.when(k % 10 == 4, F.array(note, more(idx))).when(k % 20 == 0, F.array(more(F.lit(0)), note, more(F.lit(99)))).otherwise(F.array(note))
+    # a feed has no more than 20 documents
+    answers = docs.select(feed, "doc_id", each.alias("each")).groupBy("feed").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "each"))), lambda x: x["each"])).alias("notes"))
+    text_of = F.to_json("notes")
+    answers = answers.select("feed", F.when(F.col("feed") % 5 == 4, F.concat(F.lit("```json\n"), F.substring(text_of, 1, 30))).otherwise(F.concat(F.lit("```json\n"), text_of, F.lit("\n```"))).alias("body"))
+    return notes.annotated(items, answers)
+
+
+@query
+def news_notes(spark, sf_dir):
+    return _annotated(spark, sf_dir)
+
+
+@query
+def news_shown(spark, sf_dir):
+    return notes.shown(_annotated(spark, sf_dir)).select("feed", "place", "title", "summary", "mark")
+
+
+@query
+def score_bars(spark, sf_dir):
+    return _scan(spark, sf_dir).select("symbol", "score", "grade", notes.bar_of(F.col("score")).alias("bar"))
+
+
+@query
+def scan_coverage(spark, sf_dir):
+    """Of each sector's symbols, those that the scan could score."""
+    scored = _scan(spark, sf_dir).select("symbol", "score")
+    return notes.coverage(tables.universe(spark, sf_dir).join(scored, "symbol", "left"), "sector", F.col("score").isNotNull())
+
+
+@query
+def study_summaries(spark, sf_dir):
+    """Each symbol's study as a JSON document, read back from the folder that it was written to."""
+    scored = _scored(spark, sf_dir)
+    means = scored.groupBy("symbol").agg(F.count("*").alias("n_samples"), places(F.avg("score"), 2).alias("score_mean"))
+    best = analysis.sweet_spots(analysis.bucket_analysis(analysis.labelled(scored)))
+    told = summaries.study_summary(means, best, simulate.summary(simulate.dynamic_plan(scored)), simulate.summary(simulate.baseline_plan(scored)))
+    path = state.new_folder(spark)
+    summaries.write_summaries(told, path)
+    plan = lambda name: [F.col(f"{name}.{c}").alias(f"{name}_{c}") for c in ("shares", "final_value", "total_return", "mdd")]
+    return summaries.read_summaries(spark, path).select("symbol", "n_samples", "score_mean", F.col("sweet_spot.bucket").alias("sweet_bucket"), F.col("sweet_spot.ev").alias("sweet_ev"), *plan("dca_dynamic"), *plan("dca_baseline"))
+
+
+ORACLE_SQL |= {name: exactly_rounded(sql) for name, sql in (FEED_SQL | QUOTE_SQL).items()}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

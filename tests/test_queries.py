@@ -7,8 +7,6 @@ from barloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
-CHOSEN = ["daily_bars", "weekly_bars", "macro", "cmf", "bb_squeeze", "evsr", "mfi", "stoch", "rsi", "macd_signals", "adx", "market_scan", "sector_rollup", "bucket_analysis", "cmf_evsr_cross", "layer_tiers_compat", "dca_dynamic", "btc_corr", "volume_profile", "nearest_price", "alert_hysteresis", "insider_new", "html_excerpt", "pcr"]
-CHOSEN += ["daily_hvn", "technical_score_items", "safety_margin", "alert_deferred", "weekly_accumulators", "ledger_state", "day_totals_once", "option_chain_pcr", "app_ranks", "filing_links", "filing_positions", "news_items", "insider_forms"]
 
 
 def _plain(v):
@@ -17,7 +15,7 @@ def _plain(v):
     return round(float(v), 6) + 0.0 if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", catalog.QUERIES)
 def test_equals_its_sql(spark, name):
     db = duckdb.connect()
     for t in TABLES:
