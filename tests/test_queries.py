@@ -1,5 +1,7 @@
 """Registered queries against their SQL at the smallest scale."""
 
+from decimal import Decimal
+
 import duckdb
 import pytest
 
@@ -12,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def _plain(v):
     if v is None or v != v:
         return None
-    return round(float(v), 6) + 0.0 if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
+    return round(float(v), 6) + 0.0 if isinstance(v, int | float | Decimal) and not isinstance(v, bool) else str(v)
 
 
 @pytest.mark.parametrize("name", catalog.QUERIES)
