@@ -10,8 +10,8 @@ by relations between sets:
 - Index-level skipping. A token's list is dealt into blocks by size, room (n - pos) and a bounded number of
   entries. Blocks meet as wholes: a pair of blocks whose sizes, largest rooms or single component rule out every
   pair of their entries is skipped, and only pairs of the others are looked at one by one, inside the block.
-- Answer-level skipping. Each list's sets first meet the list's leaders only (one for each size class), as many
-  pairs as entries; those of a leader that don't link with it meet a few hubs, the ones nearest to it among
+- Answer-level skipping. Each list's sets first meet the list's leaders only (one for each size class, the set that
+  meets most others), as many pairs as entries; those of a leader that don't link with it meet a few hubs, the ones nearest to it among
   themselves and among those that do. Sets that link get one component, and only pairs across components are left.
   Where two sets have one leader R that is like both, their pair isn't taken from the lists: with m tokens of R missing and tokens added,
   |A & B| = |R| - |mA | mB| + |aA & aB| is derived from the answers with R. If A doesn't link with R, then A and any
@@ -357,14 +357,18 @@ def _class_components(classes: DataFrame, texts: DataFrame, edges: DataFrame, ke
     own = texts.mapInArrow(_prefixes(shared), "digest binary, tokens array<long>").groupBy("digest").agg(F.first("tokens").alias("tokens"))
     index = own.join(classes.select("digest", "rep", "n"), "digest").select("rep", "n", "tokens")
     entries = index.select("rep", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "rep", "n", (F.col("n") - F.col("pos")).alias("room"))
-    several = entries.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1").select("token")
+    several = entries.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1")
     size = F.floor(F.log("n") / F.log(F.lit(DEN / NUM))).cast("int")
     folds = classes.select("rep", *_FOLDS)
-    lists = keep(entries.join(several, "token").join(folds, "rep").withColumn("size", size))
-
-    # each entry against the leaders of its size class in the list, and of the next smaller one
-    heads = lists.groupBy("token", F.col("size").alias("of")).agg(F.min(F.struct("rep", "n", "room", *_FOLDS)).alias("head"))
-    met = lists.withColumn("of", F.explode(F.array("size", F.col("size") - 1))).join(heads, ["token", "of"]).filter("head.rep <> rep")
+    # how many entries a set meets in its lists: what lies in the middle of a group meets most, as its own tokens are others' too
+    meets = F.sum("sets").over(Window.partitionBy("rep"))  # one set's prefix
+    lists = keep(entries.join(several, "token").withColumn("meets", meets).drop("sets").join(folds, "rep").withColumn("size", size))
+
+    # each entry against the leaders of its size class in the list, and of the next smaller one; a list has one for each class, so a bounded number
+    heads = lists.groupBy("token", "size").agg(F.min(F.struct(-F.col("meets"), "rep", "n", "room", *_FOLDS)).alias("head"))
+    heads = heads.groupBy("token").agg(F.collect_list(F.struct("size", "head")).alias("heads"))
+    near = F.filter("heads", lambda h: (h["size"] == F.col("size")) | (h["size"] == F.col("size") - 1))
+    met = lists.join(heads, "token").select("rep", "n", "room", *_FOLDS, F.explode(near).alias("of")).select("*", "of.head").filter("head.rep <> rep")
     least = sum((F.bit_count(F.col(f"head.{c}").bitwiseXOR(F.col(c))) for c in _FOLDS), F.lit(0))  # by which they differ
     both = F.col("head.n") + F.col("n")
     met = met.filter(_reaches(F.least("head.room", "room"), both) & (least * (LEAD_NUM + LEAD_DEN) <= both * (LEAD_DEN - LEAD_NUM)))
@@ -372,8 +376,8 @@ def _class_components(classes: DataFrame, texts: DataFrame, edges: DataFrame, ke
     first = _tested(stars, classes, texts, keep, LEAD_NUM, LEAD_DEN)
     lead = keep(_leaders(first))
     # sets that don't link with their leader may still be like each other, or like what links with it: they meet some hubs
-    of_lead = lead.select("lead", "rep", "n", "far", (F.length("missing") + F.length("added")).alias("apart"))
-    hubs = of_lead.groupBy("lead", "far", F.pmod(F.xxhash64("rep"), F.lit(HUBS)).alias("of")).agg(F.min(F.struct("apart", "rep", "n")).alias("hub"))
+    of_lead = lead.select("lead", "rep", "n", "far", (F.length("missing") + F.length("added")).alias("apart"), F.pmod(F.xxhash64("missing", "added"), F.lit(HUBS)).alias("of"))
+    hubs = of_lead.groupBy("lead", "far", "of").agg(F.min(F.struct("apart", "rep", "n")).alias("hub"))
     met = of_lead.filter("far").join(hubs.select("lead", "hub"), "lead").filter("hub.rep <> rep")
     first_is_hub, hub_n = F.col("hub.rep") < F.col("rep"), F.col("hub.n")
     beside = met.select(F.least("hub.rep", "rep").alias("a"), F.greatest("hub.rep", "rep").alias("b"), F.when(first_is_hub, hub_n).otherwise(F.col("n")).alias("an"), F.when(first_is_hub, F.col("n")).otherwise(hub_n).alias("bn"))
@@ -404,7 +408,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         told = keep(texts.mapInArrow(_describe, f"doc_id long, n int, digest binary, sketch binary, {', '.join(f'{c} long' for c in _FOLDS)}"))
         full = told.filter("doc_id is not null and n > 0")
         classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), *(F.first(c).alias(c) for c in _FOLDS))
-        classes = keep(classes.withColumn("rep", F.monotonically_increasing_id()))
+        # numbers follow the digests, so that which sets lead doesn't depend on how rows are dealt
+        classes = keep(classes.orderBy("digest").withColumn("rep", F.monotonically_increasing_id()))
         members = keep(full.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep"))
         of_doc = members.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
         edges = members.withColumnRenamed("rep", "b").join(of_doc.filter("rep <> other").select("doc_id", F.col("rep").alias("a")), "doc_id").select("a", "b")
