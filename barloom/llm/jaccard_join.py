@@ -354,15 +354,18 @@ def _class_components(classes: DataFrame, texts: DataFrame, edges: DataFrame, ke
     counts = texts.mapInArrow(_repeated, "token long, sets long").groupBy("token").agg(F.sum("sets").alias("sets"))
     common = counts.orderBy(F.desc("sets"), "token").limit(COMMON).select("token").toArrow().column("token").to_numpy()
     shared = spark.sparkContext.broadcast(common.astype(np.int64).tobytes())
-    own = texts.mapInArrow(_prefixes(shared), "digest binary, tokens array<long>").groupBy("digest").agg(F.first("tokens").alias("tokens"))
-    index = own.join(classes.select("digest", "rep", "n"), "digest").select("rep", "n", "tokens")
-    entries = index.select("rep", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "rep", "n", (F.col("n") - F.col("pos")).alias("room"))
-    several = entries.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1")
     size = F.floor(F.log("n") / F.log(F.lit(DEN / NUM))).cast("int")
     folds = classes.select("rep", *_FOLDS)
     # how many entries a set meets in its lists: what lies in the middle of a group meets most, as its own tokens are others' too
     meets = F.sum("sets").over(Window.partitionBy("rep"))  # one set's prefix
-    lists = keep(entries.join(several, "token").withColumn("meets", meets).drop("sets").join(folds, "rep").withColumn("size", size))
+    # one exchange of all prefixes at a time: by set, to count tokens, to meet those counts
+    with scratch(spark) as brief:
+        own = texts.mapInArrow(_prefixes(shared), "digest binary, tokens array<long>").groupBy("digest").agg(F.first("tokens").alias("tokens"))
+        index = brief(own.join(classes.select("digest", "rep"), "digest").select("rep", "tokens"))
+        entries = index.select("rep", F.posexplode("tokens").alias("pos", "token"))
+        several = brief(entries.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1"))
+        met = entries.join(several, "token").withColumn("meets", meets).join(classes.select("rep", "n", *_FOLDS), "rep")
+        lists = keep(met.select("token", "rep", "n", (F.col("n") - F.col("pos")).alias("room"), "meets", *_FOLDS, size.alias("size")))
 
     # each entry against the leaders of its size class in the list, and of the next smaller one; a list has one for each class, so a bounded number
     heads = lists.groupBy("token", "size").agg(F.min(F.struct(-F.col("meets"), "rep", "n", "room", *_FOLDS)).alias("head"))
