@@ -18,8 +18,9 @@ by relations between sets:
   B of R that it links with share at least needed(A, B) - |R| + |mA| + |mB| > 0 of their differences from R. So
   the differences have an index of their own, whose prefixes and rooms follow from that number, and no text is read.
 
-Tokens are 64-bit: XXH3 of every distinct word, mixed by position. Pairs from the lists are tested by parity sketches
-(which never reject a link), inside the blocks already, then by the sets themselves.
+Tokens are 64-bit hashes: words by their length and bytes, eight at a time (long words by XXH3), mixed by position.
+Pairs from the lists are tested by parity sketches (which never reject a link), inside the blocks already, then by the
+sets themselves. Texts are tokenised once to describe and count them, once for prefixes, and where pairs are tested.
 
 Defined results: null text and texts without words have an empty set and link with nothing; a text with
 fewer words than n has its whole sequence as its one n-gram; equal texts link; rows that share a doc_id are one
@@ -58,21 +59,32 @@ BLOCK, FOLD = 64, 256
 #: Sets which those that don't link with their leader meet: so many of these themselves, and of those that link with it.
 HUBS = 8
 _FOLDS = [f"f{k}" for k in range(FOLD // 64)]
+#: Bytes of the longest words that are hashed eight bytes at a time, all such words at once.
+CHAINED = 64
+#: Pairs of entries that are looked at together: some 30 MB of arrays.
+PAIRS = 1 << 18
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Which bits of eight bytes are those of the first 0 to 8 of them.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: The second key of tokens' lists; lists of differences have their leader there (or its complement, for missing tokens).
 _TOKENS = -(1 << 63)
 
 
 def word_digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """XXH3 of every word, worked out once for each distinct word."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    letters = np.ones(256, bool)
-    letters[list(SPACE_BYTES)] = False
-    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-    spelt = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[letters[raw]])]).dictionary_encode()
-    own = np.fromiter(map(xxhash.xxh3_64_intdigest, spelt.dictionary.to_pylist()), np.uint64, len(spelt.dictionary))
-    return own[spelt.indices.to_numpy()]
+    """A 64-bit hash of every word: of its length and its bytes, eight at a time; XXH3 of words of more than CHAINED bytes."""
+    size = ends - starts
+    # the eight bytes from every place on, of which a word's own are kept
+    eight = np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]).tobytes(), 0, (1,))
+    out, some = mix64(size), np.arange(len(size))
+    with np.errstate(over="ignore"):
+        for at in range(0, CHAINED, 8):
+            some = some[size[some] > at]
+            if not len(some):
+                break
+            out[some] = mix64(out[some] * _STEP + (eight[starts[some] + at] & _FIRST[np.minimum(size[some] - at, 8)]))
+    for k in np.flatnonzero(size > CHAINED).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]].tobytes())
+    return out
 
 
 def token_sets(raw: np.ndarray, at: np.ndarray, n: int = WORDS) -> list[np.ndarray]:
@@ -142,26 +154,25 @@ def folded(sketch: bytes) -> bytes:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for docs, sets in _sets_of(batches):
-        kinds, sketches = [pa.int32(), pa.binary(), pa.binary()], [parity_sketch(s) for s in sets]
-        cols = [[len(s) for s in sets], [_digest(s) for s in sets], sketches]
-        folds = np.frombuffer(b"".join(map(folded, sketches)), np.int64).reshape(-1, len(_FOLDS))
-        yield pa.RecordBatch.from_arrays([docs, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *map(pa.array, np.ascontiguousarray(folds.T))], ["doc_id", "n", "digest", "sketch", *_FOLDS])
-
-
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens that two or more different sets of about WINDOW tokens have, with their number."""
+    """_TOLD: a row for each text and, without n, one for each token that several different sets of about WINDOW tokens have."""
     own: dict[bytes, np.ndarray] = {}
+    held = 0
+
+    def rows(**cols: pa.Array) -> pa.RecordBatch:
+        size = len(next(iter(cols.values())))
+        return pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) if f.name in cols else pa.nulls(size, f.type) for f in _TOLD], schema=_TOLD)
 
     def told() -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate([*own.values(), np.zeros(0, np.uint64)]), return_counts=True)
         some = counts > 1
-        return pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(counts[some], pa.int64())], ["token", "sets"])
+        return rows(token=pa.array(tokens[some].view(np.int64)), sets=pa.array(counts[some]))
 
-    held = 0
-    for _, sets in _sets_of(batches):
-        for s in sets:
-            if len(s) and (key := _digest(s)) not in own:
+    for docs, sets in _sets_of(batches):
+        digests, sketches = [_digest(s) for s in sets], [parity_sketch(s) for s in sets]
+        folds = np.ascontiguousarray(np.frombuffer(b"".join(map(folded, sketches)), np.int64).reshape(-1, len(_FOLDS)).T)
+        yield rows(doc_id=docs, n=pa.array([len(s) for s in sets], pa.int32()), digest=pa.array(digests, pa.binary()), sketch=pa.array(sketches, pa.binary()), **dict(zip(_FOLDS, map(pa.array, folds), strict=True)))
+        for key, s in zip(digests, sets, strict=True):
+            if len(s) and key not in own:
                 own[key] = s
                 held += len(s)
         if held > WINDOW:
@@ -171,6 +182,9 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield told()
 
 
+_TOLD = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("sketch", pa.binary()), *((c, pa.int64()) for c in _FOLDS), ("token", pa.int64()), ("sets", pa.int64())])
+
+
 def _prefixes(shared):
     """Each different set's prefix, in the order of tokens: those that aren't common by value, then by frequency."""
 
@@ -283,33 +297,41 @@ _ITEM = ["rep", "n", "room", "extra", "component", "lead"]
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of entries of two blocks that may link."""
+    """The pairs of entries of two blocks that may link, many small blocks at once."""
     for b in batches:
-        sides, base, own = [], b.column("base").to_numpy(), b.column("own").to_pylist()
+        sides, bases, owns = [], b.column("base").to_numpy(), b.column("own").to_numpy(zero_copy_only=False)
         for name in ("xs", "ys"):
             lists = b.column(name)
             items = lists.flatten()
             folds = np.stack([items.field(c).to_numpy() for c in _FOLDS], 1).view(np.uint64)
             sides.append(([items.field(c).fill_null(-1).to_numpy() for c in _ITEM], folds, np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])))
-        out = [[] for _ in range(5)]
         (xs, xfold, xat), (ys, yfold, yat) = sides
-        for k in range(len(base)):
-            (rx, nx, ox, ex, cx, lx), (ry, ny, oy, ey, cy, ly) = [c[xat[k] : xat[k + 1], None] for c in xs], [c[None, yat[k] : yat[k + 1]] for c in ys]
-            room, of_list = np.minimum(ox, oy), base[k] == 0
-            ok = (cx != cy) & ((NUM + DEN) * room >= NUM * (nx + ny) + (NUM + DEN) * (ex + ey - base[k]))
-            ok &= (np.minimum(nx, ny) * DEN >= np.maximum(nx, ny) * NUM) & (rx < ry if own[k] else rx != ry)
-            if of_list:
-                ok &= (lx != ly) | (lx < 0)
-            i, j = np.nonzero(ok)
+        (rx, nx, ox, ex, cx, lx), (ry, ny, oy, ey, cy, ly) = xs, ys
+        high = np.diff(yat)
+        until = np.concatenate([[0], np.cumsum(np.diff(xat) * high)])
+        first = 0
+        while first < len(bases):
+            last = max(first + 1, int(np.searchsorted(until, until[first] + PAIRS, "right")) - 1)
+            k = np.repeat(np.arange(first, last), np.diff(until[first : last + 1]))
+            i, j = np.divmod(np.arange(until[first], until[last]) - until[k], high[k])
+            i, j = i + xat[k], j + yat[k]
+            first = last
+
+            ok = np.where(owns[k], rx[i] < ry[j], rx[i] != ry[j]) & (cx[i] != cy[j])
+            i, j, k = i[ok], j[ok], k[ok]
+            m, n, base = nx[i], ny[j], bases[k]
+            ok = (NUM + DEN) * np.minimum(ox[i], oy[j]) >= NUM * (m + n) + (NUM + DEN) * (ex[i] + ey[j] - base)
+            ok &= np.minimum(m, n) * DEN >= np.maximum(m, n) * NUM
+            ok &= (base != 0) | (lx[i] != ly[j]) | (lx[i] < 0)
+            i, j, m, n, base = i[ok], j[ok], m[ok], n[ok], base[ok]
             # sets differ by no less than their sketches do
-            near = (NUM + DEN) * np.bitwise_count(xfold[xat[k] + i] ^ yfold[yat[k] + j]).sum(1, dtype=np.int64) <= (DEN - NUM) * (nx[i, 0] + ny[0, j])
-            i, j = i[near], j[near]
-            a, c = rx[i, 0], ry[0, j]
+            ok = (NUM + DEN) * np.bitwise_count(xfold[i] ^ yfold[j]).sum(1, dtype=np.int64) <= (DEN - NUM) * (m + n)
+            i, j, m, n, base = i[ok], j[ok], m[ok], n[ok], base[ok]
+            a, c = rx[i], ry[j]
             swap = a > c
-            for o, v in zip(out, (np.minimum(a, c), np.maximum(a, c), np.where(swap, ny[0, j], nx[i, 0]), np.where(swap, nx[i, 0], ny[0, j]), np.full(len(i), not of_list)), strict=True):
-                o.append(v)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*o, np.zeros(0, np.int64)]), pa.int64()).cast(t) for o, t in zip(out, kinds, strict=True)], ["a", "b", "an", "bn", "derived"])
+            cols = (np.minimum(a, c), np.maximum(a, c), np.where(swap, n, m), np.where(swap, m, n), base != 0)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(v).cast(t) for v, t in zip(cols, kinds, strict=True)], ["a", "b", "an", "bn", "derived"])
 
 
 def _across(entries: DataFrame, keep: Keep) -> DataFrame:
@@ -348,10 +370,9 @@ def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _class_components(classes: DataFrame, texts: DataFrame, edges: DataFrame, keep: Keep) -> DataFrame:
-    """node, component of the classes that link, or that edges join."""
+def _class_components(classes: DataFrame, texts: DataFrame, counts: DataFrame, edges: DataFrame, keep: Keep) -> DataFrame:
+    """node, component of the classes that link, or that edges join; counts: token, sets of tokens that several sets have."""
     spark = classes.sparkSession
-    counts = texts.mapInArrow(_repeated, "token long, sets long").groupBy("token").agg(F.sum("sets").alias("sets"))
     common = counts.orderBy(F.desc("sets"), "token").limit(COMMON).select("token").toArrow().column("token").to_numpy()
     shared = spark.sparkContext.broadcast(common.astype(np.int64).tobytes())
     size = F.floor(F.log("n") / F.log(F.lit(DEN / NUM))).cast("int")
@@ -408,7 +429,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, for every row of docs: a table in the shared folder, where nothing else is left."""
     with scratch(docs.sparkSession) as keep:
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        told = keep(texts.mapInArrow(_describe, f"doc_id long, n int, digest binary, sketch binary, {', '.join(f'{c} long' for c in _FOLDS)}"))
+        both = keep(texts.mapInArrow(_describe, f"doc_id long, n int, digest binary, sketch binary, {', '.join(f'{c} long' for c in _FOLDS)}, token long, sets long"))
+        told, counts = both.filter("n is not null"), both.filter("n is null").groupBy("token").agg(F.sum("sets").alias("sets"))
         full = told.filter("doc_id is not null and n > 0")
         classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), *(F.first(c).alias(c) for c in _FOLDS))
         # numbers follow the digests, so that which sets lead doesn't depend on how rows are dealt
@@ -416,7 +438,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         members = keep(full.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep"))
         of_doc = members.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
         edges = members.withColumnRenamed("rep", "b").join(of_doc.filter("rep <> other").select("doc_id", F.col("rep").alias("a")), "doc_id").select("a", "b")
-        parts = _class_components(classes, texts.filter("doc_id is not null"), edges, keep)
+        parts = _class_components(classes, texts.filter("doc_id is not null"), counts, edges, keep)
 
         named = keep(classes.select("rep", "doc_id").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("component")))
         least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
